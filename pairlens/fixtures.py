@@ -6,12 +6,14 @@ Each builder has a SQL twin in ``__spark_entry__`` that the check tool runs.
 from __future__ import annotations
 
 import os
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairlens.functions.text import text_hash
-from pairlens.vocabulary import total_columns
+from pairlens.operators.scores import with_scores
+from pairlens.vocabulary import score_schema, total_columns
 
 TRAITS = tuple(f"t{k}" for k in range(10))
 
@@ -20,10 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def lineitem_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lineitem_scores(spark: SparkSession, sf_dir: str, *extra: Column) -> DataFrame:
     """A score table with one row per line item, ten datasets and ten adapters.
 
-    All totals are dyadic, so sums do not depend on their order.
+    All totals are dyadic, so sums do not depend on their order. ``extra`` are
+    further columns over the line items.
     """
     quantity, line = F.col("l_quantity"), F.col("l_linenumber")
     supplier, part = F.col("l_suppkey"), F.col("l_partkey")
@@ -44,7 +47,15 @@ def lineitem_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
             (-quantity + ((part * (k + 1)) % 17 - 8) / F.lit(4.0) + own).alias(chosen),
             (-quantity - line + ((part + k) % 5 - 2) / F.lit(8.0)).alias(rejected),
         ]
-    return table(spark, sf_dir, "lineitem").select(*columns)
+    return table(spark, sf_dir, "lineitem").select(*columns, *extra)
+
+
+def row_id() -> Column:
+    """Text key of a line item; the integer ``row_key`` is not unique."""
+    parts = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    return F.concat_ws(
+        "-", *[F.col(p).cast("string") for p in parts], F.col("l_shipdate").cast("date").cast("string")
+    )
 
 
 def quantity_target(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,17 +70,91 @@ def quantity_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def bundle_scores(spark: SparkSession, sf_dir: str, revision: str) -> DataFrame:
+    """The full 61-column table with a unique integer row id."""
+    chosen = text_hash((F.col("l_partkey") % 1000).cast("string")).alias("chosen_hash")
+    rejected = text_hash((F.col("l_suppkey") % 1000).cast("string")).alias("rejected_hash")
+    identity = F.xxhash64(row_id()).alias("source_row_id")
+    base = lineitem_scores(spark, sf_dir, chosen, rejected, identity)
+    scored = with_scores(base, TRAITS).withColumn("source_revision", F.lit(revision))
+    return scored.select(*score_schema(TRAITS).names)
+
+
+def planted_scores(spark: SparkSession, sf_dir: str, revision: str) -> DataFrame:
+    """The 61-column table with one kind of defect per residue of ``row_key``."""
+    key = F.col("row_key")
+    identity = F.lit(0).cast("bigint").alias("source_row_id")
+    base = lineitem_scores(spark, sf_dir, identity)
+    sound = with_scores(base, TRAITS)
+
+    def plant(column: str, *cases: tuple[int, Column]) -> Column:
+        value = F.col(column)
+        for modulus, defect in reversed(cases):
+            value = F.when(key % modulus == 0, defect).otherwise(value)
+        return value
+
+    none = F.lit(None)
+    return sound.withColumns(
+        {
+            "file_dataset": F.col("dataset_trait"),
+            "dataset_trait": plant("dataset_trait", (97, F.lit("other")), (101, none)),
+            "source_revision": F.when(key % 103 == 0, "unpinned").otherwise(revision),
+            "prompt_hash": plant(
+                "prompt_hash",
+                (107, F.upper("prompt_hash")),
+                (109, F.substring("prompt_hash", 1, 63)),
+                (113, F.concat("prompt_hash", F.lit("\n"))),
+                (127, none),
+            ),
+            "prompt_tokens": plant("prompt_tokens", (131, none)),
+            "rejected_response_tokens": plant("rejected_response_tokens", (137, F.lit(0))),
+            "t3_chosen_logprob": plant("t3_chosen_logprob", (139, F.lit(float("nan")))),
+            "t4_rejected_logprob": plant("t4_rejected_logprob", (149, F.lit(float("inf")))),
+            "delta_sum_t5": plant("delta_sum_t5", (151, F.col("delta_sum_t5") + 0.5)),
+            "delta_lls_t6": plant(
+                "delta_lls_t6", (157, F.col("delta_lls_t6") + F.lit(2.0**-40))
+            ),
+            "delta_separate_t7": plant("delta_separate_t7", (163, none)),
+        }
+    )
+
+
+def conversation_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as a candidate pair of message lists.
+
+    Both lists open with the first turn; the chosen one goes on with the second
+    turn, the rejected one with the fourth. Short or system-led conversations
+    make invalid pairs.
+    """
+    turns = table(spark, sf_dir, "conversations")
+
+    def turn(number: int) -> Column:
+        message = F.struct("role", F.col("text").alias("content"))
+        return F.max(F.when(F.col("turn") == number, message))
+
+    picked = turns.groupBy("conv_id").agg(
+        turn(0).alias("first"), turn(1).alias("second"), turn(3).alias("fourth")
+    )
+    return picked.select(
+        "conv_id",
+        F.array_compact(F.array("first", "second")).alias("chosen"),
+        F.array_compact(F.array("first", "fourth")).alias("rejected"),
+    )
+
+
 def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First user turn and first two assistant turns of every conversation."""
     order = Window.partitionBy("conv_id", "role").orderBy("turn")
     numbered = table(spark, sf_dir, "conversations").select(
         "conv_id", "role", "text", F.row_number().over(order).alias("rn")
     )
+    # The bound lets Spark keep two rows per key and task before the shuffle.
+    early = numbered.where(F.col("rn") <= 2)
 
-    def pick(role: str, rn: int) -> F.Column:
+    def pick(role: str, rn: int) -> Column:
         return F.max(F.when((F.col("role") == role) & (F.col("rn") == rn), F.col("text")))
 
-    return numbered.groupBy("conv_id").agg(
+    return early.groupBy("conv_id").agg(
         pick("user", 1).alias("prompt"),
         pick("assistant", 1).alias("chosen"),
         pick("assistant", 2).alias("rejected"),
@@ -79,3 +164,14 @@ def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text pairs of the conversations that have a prompt and two replies."""
     return conversation_turns(spark, sf_dir).dropna(subset=["prompt", "chosen", "rejected"])
+
+
+def planted_texts(
+    texts: DataFrame, key: str, text: str, lines: Sequence[str], every: int = 50
+) -> DataFrame:
+    """Append the r-th line to the texts whose key leaves remainder r."""
+    planted = F.col(text)
+    for remainder, line in enumerate(lines):
+        hit = F.col(key) % every == remainder
+        planted = F.when(hit, F.concat(F.col(text), F.lit("\n" + line))).otherwise(planted)
+    return texts.select(key, planted.alias(text))

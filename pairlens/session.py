@@ -53,22 +53,25 @@ def materialized(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fits_broadcast(table: DataFrame, rows: int) -> bool:
+    """Whether ``rows`` rows of ``table`` stay below the session's broadcast limit.
+
+    The limit is ``spark.sql.autoBroadcastJoinThreshold``; -1 refuses every table.
+    """
+    text = table.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").strip().lower()
+    number, unit = re.fullmatch(r"(-?[0-9]+)\s*([kmgt]?)i?b?", text).groups()
+    limit = int(number) * 1024 ** " kmgt".index(unit or " ")
+    width = sum(8 if isinstance(f.dataType, T.NumericType) else 64 for f in table.schema)
+    return rows * width <= limit
+
+
 def lookup_side(table: DataFrame, rows: int | None = None) -> DataFrame:
     """Hint how a join should use ``table`` as its lookup side.
 
     Spark does not see that an exploded side has grown, and would broadcast it on
     its estimate. So the lookup side is named here: broadcast if its counted (or
-    given) rows fit ``spark.sql.autoBroadcastJoinThreshold``, else hashed per
-    shuffle partition. Count only written tables, where it costs a footer read.
+    given) rows fit the limit, else hashed per shuffle partition. Count only
+    written tables, where it costs a footer read.
     """
     rows = table.count() if rows is None else rows
-    width = sum(8 if isinstance(f.dataType, T.NumericType) else 64 for f in table.schema)
-    fits = rows * width <= _broadcast_limit(table.sparkSession)
-    return F.broadcast(table) if fits else table.hint("shuffle_hash")
-
-
-def _broadcast_limit(spark: SparkSession) -> int:
-    """``spark.sql.autoBroadcastJoinThreshold`` in bytes; -1 switches broadcasts off."""
-    text = spark.conf.get("spark.sql.autoBroadcastJoinThreshold").strip().lower()
-    number, unit = re.fullmatch(r"(-?[0-9]+)\s*([kmgt]?)i?b?", text).groups()
-    return int(number) * 1024 ** " kmgt".index(unit or " ")
+    return F.broadcast(table) if fits_broadcast(table, rows) else table.hint("shuffle_hash")
