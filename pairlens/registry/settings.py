@@ -1,0 +1,46 @@
+"""Parameters shared by the registered queries and their SQL twins."""
+
+from __future__ import annotations
+
+from pairlens.operators.scan import PATTERNS, Pattern
+
+SEED = 42
+REPLICATES = 1000
+FEW_REPLICATES = 100
+DRAWS = 100_000
+FEW_DRAWS = 2_000
+REVISION = "rev-1"
+COLUMN = "t1"
+NAMED = "t2"
+EOS = "<eos>"
+EOS_ID = 999
+MAX_TOKENS = 256
+LANGS = ("de", "en", "es", "fr")
+
+# One line per pattern, appended to documents so that every pattern has hits.
+PLANTED_LINES = (
+    "see /srv/share",
+    "see /mnt/share",
+    "artifact://bucket/key",
+    "presigned_url here",
+    "x-amz-signature here",
+    "x-goog-signature here",
+    "Signature=abc",
+    "aws_secret_access_key here",
+    "openai_api_key here",
+    "anthropic_api_key here",
+    "wandb_api_key here",
+    "github_token here",
+    "gh_token here",
+    "begin private key",
+    "code_export_handoff",
+    "at /home/user/file.txt now",
+    "at C:" + "\\\\" + "Users" + "\\\\" + "me",
+    "hf_" + "a1B2" * 6,
+)
+SCAN_PATTERNS = (
+    *PATTERNS,
+    Pattern("hex40", r"\b[0-9a-f]{40}\b", True),
+    Pattern("email", r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z]{2,}", True),
+    Pattern("token_assignment", 'token = "'),
+)

@@ -20,7 +20,7 @@ MANIFEST_FIELDS = {
 
 
 # A dataset is a file or folder ``<name>.parquet``, or a partition folder.
-DATASET_PATH = r"\A(.*/(?:file_dataset=([^/]+)|([^/]+)\.parquet))(?:/|\z)"
+DATASET_PATH = r"\A(.*?/(?:file_dataset=([^/]+)|([^/]+)\.parquet))(?:/|\z)"
 
 
 def dataset_of(path: Column) -> Column:
