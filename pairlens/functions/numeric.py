@@ -14,9 +14,25 @@ def nan() -> Column:
     return F.lit(float("nan"))
 
 
-def not_finite(value: Column) -> Column:
-    """NULL, NaN or infinite. Uses isnan: range comparisons on NaN are pruned by Parquet."""
-    return value.isNull() | F.isnan(value) | (F.abs(value) == infinity())
+def zero_if_finite(*values: Column) -> Column:
+    """0 when every value is finite, NaN when one is NaN or infinite, NULL when one is NULL.
+
+    One small expression however many columns there are. Finiteness must not be
+    tested by range comparisons: Parquet statistics ignore NaN and prune it.
+    """
+    total = values[0] * 0.0
+    for value in values[1:]:
+        total = total + value * 0.0
+    return total
+
+
+def all_finite(*values: Column) -> Column:
+    return zero_if_finite(*values).eqNullSafe(F.lit(0.0))
+
+
+def not_finite(*values: Column) -> Column:
+    """Some value is NULL, NaN or infinite."""
+    return ~all_finite(*values)
 
 
 def pearson(x: Column, y: Column) -> Column:

@@ -8,7 +8,7 @@ number of rows in the ranges before it. The result equals the plain window.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pairlens.functions.hashing import UNIFORM_RANGE
 from pairlens.session import materialized
 
-RANGES = 256
+RANGES = 1024
 
 
 def _number(
@@ -55,6 +55,22 @@ def positions_by_hash(
     return _number(cut, keys, [F.col(digest), *[F.col(t) for t in ties]], with_total)
 
 
+def _bounds_before(holds: Callable[[Column], Column], ranges: int) -> Column:
+    """How many leading entries of the sorted ``__bounds`` satisfy ``holds``: a binary search."""
+    steps = []
+    step = ranges // 2
+    while step:
+        steps.append(step)
+        step //= 2
+    return F.aggregate(
+        F.array(*[F.lit(s) for s in steps]),
+        F.lit(0),
+        lambda low, step: F.when(
+            holds(F.get("__bounds", low + step - 1)), low + step
+        ).otherwise(low),
+    )
+
+
 def positions_by_value(
     df: DataFrame,
     keys: Sequence[str],
@@ -74,6 +90,8 @@ def positions_by_value(
     exact whatever they are, but all branches must see the same ones, so they are
     written down.
     """
+    if ranges < 2 or ranges & (ranges - 1):
+        raise ValueError("ranges must be a power of two")
     signed = -F.col(value) if descending else F.col(value)
     prepared = df.withColumn("__signed", signed)
     steps = [i / ranges for i in range(1, ranges)]
@@ -84,12 +102,10 @@ def positions_by_value(
         "bounds",
     )
     share = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(UNIFORM_RANGE)
-    below = F.size(F.filter("__bounds", lambda b: b < F.col("__signed")))
-    equal = F.size(F.filter("__bounds", lambda b: b == F.col("__signed")))
-    # size(NULL) is -1 without ANSI and NULL with it: keys without bounds use range 0.
+    below = _bounds_before(lambda bound: bound < F.col("__signed"), ranges)
+    equal = _bounds_before(lambda bound: bound <= F.col("__signed"), ranges) - below
+    # A key without bounds has only NULL values: one range.
     cut = F.coalesce(below + F.floor(share * equal), F.lit(0)).cast("bigint")
-    ranged = (
-        prepared.join(bounds, [*keys]).withColumn("__range", cut).drop("__bounds")
-    )
+    ranged = prepared.join(bounds, [*keys]).withColumn("__range", cut).drop("__bounds")
     order = [F.col("__signed"), F.col(digest), *[F.col(t) for t in ties]]
     return _number(ranged, keys, order, with_total).drop("__signed")

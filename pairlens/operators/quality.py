@@ -67,15 +67,14 @@ def schema_checks(footers: DataFrame, adapters: Sequence[str]) -> DataFrame:
         "missing_column": F.array_except(wanted, names),
         "unexpected_column": F.array_except(names, wanted),
     }
-    listed = F.concat(
-        *[
-            F.transform(
-                F.coalesce(columns, F.array().cast("array<string>")),
-                lambda c, check=check: F.struct(F.lit(check).alias("check"), c.alias("detail")),
-            )
-            for check, columns in found.items()
-        ]
-    )
+
+    def labelled(check: str, columns: Column) -> Column:
+        present = F.coalesce(columns, F.array().cast("array<string>"))
+        return F.transform(
+            present, lambda name: F.struct(F.lit(check).alias("check"), name.alias("detail"))
+        )
+
+    listed = F.concat(*[labelled(check, columns) for check, columns in found.items()])
     hits = footers.select("dataset", F.inline(listed))
     return hits.groupBy("dataset", "check", "detail").agg(
         F.count(F.lit(1)).alias("n_bad"), F.lit(None).cast("double").alias("max_error")

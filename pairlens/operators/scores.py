@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairlens.functions.numeric import nan, not_finite
+from pairlens.functions.numeric import nan, not_finite, zero_if_finite
 from pairlens.functions.scores import adapter_score
 from pairlens.vocabulary import (
     BASE_COLUMNS,
@@ -23,6 +23,8 @@ from pairlens.vocabulary import (
     total_columns,
 )
 
+BAD_LENGTH = "response lengths must be positive"
+BAD_TOTAL = "log-probabilities must be finite"
 RESPONSE_LENGTHS = ("chosen_response_tokens", "rejected_response_tokens")
 
 
@@ -39,15 +41,9 @@ def scoring_columns(adapters: Sequence[str]) -> list[str]:
 
 def _input_error(adapters: Sequence[str]) -> Column:
     """Message for a row the formulas must refuse, NULL for a usable row."""
-    short = F.lit(False)
-    for name in RESPONSE_LENGTHS:
-        short = short | F.col(name).isNull() | (F.col(name) <= 0)
-    broken = F.lit(False)
-    for name in scoring_columns(adapters)[len(RESPONSE_LENGTHS) :]:
-        broken = broken | not_finite(F.col(name))
-    return F.when(short, "response lengths must be positive").when(
-        broken, "log-probabilities must be finite"
-    )
+    lengths = F.least(*[F.coalesce(F.col(n), F.lit(0)) for n in RESPONSE_LENGTHS])
+    totals = [F.col(n) for n in scoring_columns(adapters)[len(RESPONSE_LENGTHS) :]]
+    return F.when(lengths <= 0, BAD_LENGTH).when(not_finite(*totals), BAD_TOTAL)
 
 
 def with_scores(
@@ -64,14 +60,17 @@ def with_scores(
     require_known("on_invalid", on_invalid, ("raise", "null"))
     require_columns(df, scoring_columns(adapters))
     error = _input_error(adapters)
-    refused = F.raise_error(error).cast("double") if on_invalid == "raise" else F.lit(None)
     scores = {
-        delta_column(formula, adapter): F.when(
-            F.col("__error").isNull(), adapter_score(formula, adapter)
-        ).otherwise(refused)
+        delta_column(formula, adapter): adapter_score(formula, adapter)
         for formula in formulas
         for adapter in adapters
     }
+    if on_invalid == "raise":
+        # One check per row, ahead of the formulas.
+        accepted = F.when(error.isNull(), True).otherwise(F.raise_error(error).cast("boolean"))
+        return df.where(accepted).withColumns(scores)
+    usable = F.col("__error").isNull()
+    scores = {name: F.when(usable, score) for name, score in scores.items()}
     return df.withColumn("__error", error).withColumns(scores).drop("__error")
 
 
@@ -128,36 +127,30 @@ def group_stats(
 ) -> DataFrame:
     """Score sums and row counts per (dataset, prompt).
 
-    Input checks ride on the aggregate instead of every row: a NULL, NaN or
-    infinite total makes its group's sum non-finite, and the smallest length
-    tells whether any was non-positive.
+    Input checks ride on the aggregate: one sum of zeros goes non-finite when any
+    total was NULL, NaN or infinite, and the smallest length tells whether any was
+    non-positive.
     """
     require_columns(df, ["dataset_trait", "prompt_hash", *scoring_columns(adapters)])
     names = [_sum_column(f, a) for f in formulas for a in adapters]
     sums = [
-        F.sum(F.coalesce(adapter_score(f, a), nan())).alias(_sum_column(f, a))
-        for f in formulas
-        for a in adapters
+        F.sum(adapter_score(f, a)).alias(_sum_column(f, a)) for f in formulas for a in adapters
     ]
+    totals = [F.col(n) for n in scoring_columns(adapters)[len(RESPONSE_LENGTHS) :]]
     shortest = F.least(*[F.coalesce(F.col(n), F.lit(0)) for n in RESPONSE_LENGTHS])
     grouped = df.groupBy("dataset_trait", "prompt_hash").agg(
-        F.count(F.lit(1)).alias("n"), F.min(shortest).alias("__shortest"), *sums
+        F.count(F.lit(1)).alias("n"),
+        F.min(shortest).alias("__shortest"),
+        F.sum(F.coalesce(zero_if_finite(*totals), nan())).alias("__zero"),
+        *sums,
     )
-    broken = F.lit(False)
-    for name in names:
-        broken = broken | not_finite(F.col(name))
-    error = F.when(F.col("__shortest") <= 0, "response lengths must be positive").when(
-        broken, "log-probabilities must be finite"
+    error = F.when(F.col("__shortest") <= 0, BAD_LENGTH).when(
+        not_finite(F.col("__zero")), BAD_TOTAL
     )
     checked = F.when(error.isNull(), F.col("n")).otherwise(F.raise_error(error).cast("bigint"))
     return grouped.select("dataset_trait", "prompt_hash", checked.alias("n"), *names)
 
 
-def stat_adapters(stats: DataFrame, formula: str) -> list[str]:
-    prefix = _sum_column(formula, "")
-    return [name[len(prefix) :] for name in stats.columns if name.startswith(prefix)]
-
-
 def mean_expressions(
     adapters: Sequence[str],
     formulas: Sequence[str] = FORMULAS,

@@ -318,7 +318,7 @@ def check_rows(source: str = "p") -> list[str]:
     for name in ["base_chosen_logprob", "base_rejected_logprob", *totals, *deltas]:
         bad.append(("finite", name, f"{name} IS NULL OR NOT isfinite({name})"))
     selects = [
-        f"SELECT file_dataset AS dataset, {quote(c)} AS check, {quote(d)} AS detail, "
+        f"SELECT file_dataset AS dataset, {quote(c)} AS \"check\", {quote(d)} AS detail, "
         f"count(*) FILTER ({rule}) AS n_bad, CAST(NULL AS DOUBLE) AS max_error FROM {source} GROUP BY 1"
         for c, d, rule in bad
     ]
@@ -332,7 +332,7 @@ def check_rows(source: str = "p") -> list[str]:
                 "ELSE CAST('Infinity' AS DOUBLE) END"
             )
             selects.append(
-                f"SELECT file_dataset AS dataset, 'roundtrip' AS check, {quote(name)} AS detail, "
+                f"SELECT file_dataset AS dataset, 'roundtrip' AS \"check\", {quote(name)} AS detail, "
                 f"count(*) FILTER (({error}) > 0) AS n_bad, max({error}) AS max_error "
                 f"FROM {source} GROUP BY 1"
             )
@@ -341,8 +341,8 @@ def check_rows(source: str = "p") -> list[str]:
 
 def checks_sql(*kinds: str, errors: bool = False) -> str:
     ctes = {**planted(), "k": union(check_rows())}
-    columns = "dataset, check, detail, n_bad" + (", max_error" if errors else "")
-    return query(ctes, f"SELECT {columns} FROM k WHERE check IN ({commas(map(quote, kinds))})")
+    columns = 'dataset, \"check\", detail, n_bad' + (", max_error" if errors else "")
+    return query(ctes, f"SELECT {columns} FROM k WHERE \"check\" IN ({commas(map(quote, kinds))})")
 
 
 def report_sql() -> str:
@@ -351,8 +351,8 @@ def report_sql() -> str:
         ctes,
         "SELECT dataset, rows, count(*) FILTER (n_bad > 0) = 0 AS passed, "
         "count(*) FILTER (n_bad > 0) AS failed_checks, "
-        "coalesce(string_agg(CASE WHEN detail = '' THEN check ELSE check || ':' || detail END, ',' "
-        "ORDER BY CASE WHEN detail = '' THEN check ELSE check || ':' || detail END) "
+        "coalesce(string_agg(CASE WHEN detail = '' THEN \"check\" ELSE \"check\" || ':' || detail END, ',' "
+        "ORDER BY CASE WHEN detail = '' THEN \"check\" ELSE \"check\" || ':' || detail END) "
         "FILTER (n_bad > 0), '') AS errors, max(max_error) AS max_error "
         "FROM k JOIN (SELECT file_dataset AS dataset, count(*) AS rows FROM p GROUP BY 1) "
         "USING (dataset) GROUP BY 1, 2",
@@ -367,7 +367,7 @@ def columns_sql() -> str:
         "WITH have AS (SELECT table_name AS dataset, column_name AS detail, data_type AS kind "
         f"FROM information_schema.columns WHERE table_name IN ({tables})), "
         f"wanted AS (SELECT * FROM (VALUES {wanted}) AS v(detail)), hits AS ("
-        f"SELECT dataset, 'raw_text_column' AS check, detail FROM have WHERE detail IN ({raw}) "
+        f"SELECT dataset, 'raw_text_column' AS \"check\", detail FROM have WHERE detail IN ({raw}) "
         "UNION ALL SELECT dataset, 'string_column', detail FROM have "
         f"WHERE kind = 'VARCHAR' AND detail NOT IN ({allowed}) "
         "UNION ALL SELECT dataset, 'unexpected_column', detail FROM have "
@@ -375,7 +375,7 @@ def columns_sql() -> str:
         "UNION ALL SELECT d.dataset, 'missing_column', w.detail FROM "
         "(SELECT DISTINCT dataset FROM have) d, wanted w WHERE NOT EXISTS "
         "(SELECT 1 FROM have h WHERE h.dataset = d.dataset AND h.detail = w.detail)) "
-        "SELECT dataset, check, detail, CAST(1 AS BIGINT) AS n_bad FROM hits"
+        "SELECT dataset, \"check\", detail, CAST(1 AS BIGINT) AS n_bad FROM hits"
     )
 
 
@@ -392,7 +392,7 @@ def manifest_sql() -> str:
         "rows": f"dataset = 'nation' AND {both}",
     }
     return union(
-        f"SELECT dataset, {quote(check)} AS check, CAST({flag} AS BIGINT) AS n_bad "
+        f"SELECT dataset, {quote(check)} AS \"check\", CAST({flag} AS BIGINT) AS n_bad "
         f"FROM (VALUES {tables}) AS v(dataset)"
         for check, flag in flags.items()
     )
@@ -427,7 +427,7 @@ def scan_sql(source: str, key: str, text: str) -> str:
         return f"contains(lower(line), {quote(p.text.lower())})"
 
     hits = union(
-        f"SELECT {key}, line_number, {quote(p.label)} AS pattern FROM lines WHERE {rule(p)}"
+        f"SELECT {key}, CAST(line_number AS INTEGER) AS line_number, {quote(p.label)} AS pattern FROM lines WHERE {rule(p)}"
         for p in SCAN_PATTERNS
     )
     return query({"lines": lines_sql(source, key, text)}, hits)
@@ -655,7 +655,7 @@ def with_models_sql() -> str:
         )
 
     ctes["lp"] = f"SELECT *, {total(1)} AS base, {total(3)} AS a1 FROM enc WHERE reason IS NULL"
-    ctes["both"] = (
+    ctes["paired"] = (
         "SELECT c.conv_id, c.prompt_length AS prompt_tokens, "
         "c.response_length AS chosen_response_tokens, r.response_length AS rejected_response_tokens, "
         "c.base AS base_chosen_logprob, r.base AS base_rejected_logprob, "
@@ -666,8 +666,8 @@ def with_models_sql() -> str:
     return query(
         ctes,
         "SELECT conv_id AS row_id, sha256(prompt) AS prompt_hash, sha256(chosen) AS chosen_hash, "
-        f"sha256(rejected) AS rejected_hash, both.* EXCLUDE (conv_id), {deltas} "
-        "FROM both JOIN turns USING (conv_id)",
+        f"sha256(rejected) AS rejected_hash, paired.* EXCLUDE (conv_id), {deltas} "
+        "FROM paired JOIN turns USING (conv_id)",
     )
 
 
@@ -714,7 +714,8 @@ def oracle_sql() -> dict[str, str]:
     }
 
     def numbers(digits: int, source: str) -> str:
-        names = commas(r(n, digits, n) for n in ("value", "mean", "population_sd", "z"))
+        names = commas(r(n, digits, n) for n in ("mean", "population_sd", "z"))
+        names = f"{r('value', 9, 'value')}, {names}"
         return f"SELECT formula, weighting, c, t, scheme, {names} FROM {source}"
 
     raw = {
@@ -743,7 +744,7 @@ def oracle_sql() -> dict[str, str]:
         ]
     )
     boot_cells = (
-        f"SELECT replicate, formula, weighting, c, t, {r('value', 8, 'value')} FROM boot"
+        f"SELECT replicate, formula, weighting, c, t, {r('value', 9, 'value')} FROM boot"
     )
     rounded_interval = (
         f"SELECT formula, weighting, replicates, {r('low', 8, 'low')}, {r('high', 8, 'high')} "
@@ -815,7 +816,7 @@ def oracle_sql() -> dict[str, str]:
         "matrix_text": f"SELECT c, t, printf('%.12g', e / 8) AS text FROM ({TARGET})",
         "matrix_files": query(
             both,
-            f"SELECT kind, formula, weighting, scheme, c, t, {r('value', 6, 'value')} FROM ({family})",
+            f"SELECT kind, formula, weighting, scheme, c, t, {r('value', 8, 'value')} FROM ({family})",
         ),
         "align": query(PRIMARY, f"SELECT c, t, {r('s', 8, 's')}, {r('e', 8, 'e')} FROM al"),
         "off_diagonal": query(
@@ -877,7 +878,7 @@ def oracle_sql() -> dict[str, str]:
         "dq_roundtrip": checks_sql("roundtrip", errors=True),
         "dq_unique": query(
             {"s": score_rows_sql()},
-            "SELECT dataset_trait AS dataset, 'unique_row_id' AS check, "
+            "SELECT dataset_trait AS dataset, 'unique_row_id' AS \"check\", "
             "count(*) - count(DISTINCT row_key) AS n_bad FROM s GROUP BY 1",
         ),
         "dq_unique_offenders": query(
@@ -953,12 +954,10 @@ def oracle_sql() -> dict[str, str]:
         ),
         "scores_wide": wide_pairs_sql(),
         "score_with_models": with_models_sql(),
-        "scan_text": scan_documents.replace("line_number,", "CAST(line_number AS INTEGER) AS line_number,"),
+        "scan_text": scan_documents,
         "scan_text_counts": "SELECT pattern, count(*) AS findings, count(DISTINCT doc_id) AS texts "
         f"FROM ({scan_documents}) GROUP BY 1",
-        "scan_pages": scan_sql("pages", "page_id", "html").replace(
-            "line_number,", "CAST(line_number AS INTEGER) AS line_number,"
-        ),
+        "scan_pages": scan_sql("pages", "page_id", "html"),
         "scan_file_list": union(
             f"SELECT '{t}.parquet' AS name, '{p}' AS pattern"
             for t in TABLES

@@ -122,13 +122,13 @@ def score_cube(spark, sf_dir):
 @register
 def calibrate_all(spark, sf_dir):
     cells = calibrate.calibrate(_cube(spark, sf_dir), "all")
-    return rounded(cells, 8, "value", "mean", "population_sd", "z")
+    return rounded(rounded(cells, 9, "value"), 8, "mean", "population_sd", "z")
 
 
 @register
 def calibrate_loo(spark, sf_dir):
     cells = calibrate.calibrate(_cube(spark, sf_dir), "leave_one_dataset_out")
-    return rounded(cells, 6, "value", "mean", "population_sd", "z")
+    return rounded(rounded(cells, 9, "value"), 6, "mean", "population_sd", "z")
 
 
 @register
@@ -161,7 +161,7 @@ def matrix_text(spark, sf_dir):
 def matrix_files(spark, sf_dir):
     """The whole file family is written; its cells are returned."""
     base = fx.lineitem_scores(spark, sf_dir)
-    return rounded(summarize(base, scratch_path(spark, "family"), TRAITS), 6, "value")
+    return rounded(summarize(base, scratch_path(spark, "family"), TRAITS), 8, "value")
 
 
 # --- association ------------------------------------------------------------
@@ -235,7 +235,7 @@ def _bootstrap(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
     cells = resample.bootstrap_groups(
         stats, TRAITS, FEW_REPLICATES, SEED, method, formulas=["sum"]
     )
-    return rounded(cells, 8, "value")
+    return rounded(cells, 9, "value")
 
 
 @register
