@@ -28,26 +28,25 @@ def lineitem_scores(spark: SparkSession, sf_dir: str, *extra: Column) -> DataFra
     All totals are dyadic, so sums do not depend on their order. ``extra`` are
     further columns over the line items.
     """
-    quantity, line = F.col("l_quantity"), F.col("l_linenumber")
-    supplier, part = F.col("l_suppkey"), F.col("l_partkey")
     columns = [
-        F.concat(F.lit("t"), (supplier % 10).cast("string")).alias("dataset_trait"),
-        (F.col("l_orderkey") * 8 + line).alias("row_key"),
-        text_hash((F.col("l_orderkey") % 200).cast("string")).alias("prompt_hash"),
-        (3 + F.col("l_orderkey") % 9).cast("bigint").alias("prompt_tokens"),
-        (1 + line).cast("bigint").alias("chosen_response_tokens"),
-        (1 + part % 7).cast("bigint").alias("rejected_response_tokens"),
-        (-quantity).alias("base_chosen_logprob"),
-        (-quantity - line).alias("base_rejected_logprob"),
+        "concat('t', CAST(l_suppkey % 10 AS STRING)) AS dataset_trait",
+        "l_orderkey * 8 + l_linenumber AS row_key",
+        "sha2(CAST(l_orderkey % 200 AS STRING), 256) AS prompt_hash",
+        "CAST(3 + l_orderkey % 9 AS BIGINT) AS prompt_tokens",
+        "CAST(1 + l_linenumber AS BIGINT) AS chosen_response_tokens",
+        "CAST(1 + l_partkey % 7 AS BIGINT) AS rejected_response_tokens",
+        "-l_quantity AS base_chosen_logprob",
+        "-l_quantity - l_linenumber AS base_rejected_logprob",
     ]
     for k, trait in enumerate(TRAITS):
         chosen, rejected = total_columns(trait)
-        own = F.when(supplier % 10 == k, 3).otherwise(0)
+        own = f"CASE WHEN l_suppkey % 10 = {k} THEN 3 ELSE 0 END"
         columns += [
-            (-quantity + ((part * (k + 1)) % 17 - 8) / F.lit(4.0) + own).alias(chosen),
-            (-quantity - line + ((part + k) % 5 - 2) / F.lit(8.0)).alias(rejected),
+            f"-l_quantity + ((l_partkey * {k + 1}) % 17 - 8) / 4.0D + {own} AS {chosen}",
+            f"-l_quantity - l_linenumber + ((l_partkey + {k}) % 5 - 2) / 8.0D AS {rejected}",
         ]
-    return table(spark, sf_dir, "lineitem").select(*columns, *extra)
+    parsed = [F.expr(column) for column in columns]
+    return table(spark, sf_dir, "lineitem").select(*parsed, *extra)
 
 
 def row_id() -> Column:

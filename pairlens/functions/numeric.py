@@ -2,37 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def infinity() -> Column:
-    return F.lit(float("inf"))
-
-
-def nan() -> Column:
-    return F.lit(float("nan"))
-
-
-def zero_if_finite(*values: Column) -> Column:
-    """0 when every value is finite, NaN when one is NaN or infinite, NULL when one is NULL.
+def zero_if_finite(names: Sequence[str]) -> str:
+    """SQL text: 0 if every named column is finite, NaN if one is NaN or infinite, NULL if NULL.
 
-    One small expression however many columns there are. Finiteness must not be
-    tested by range comparisons: Parquet statistics ignore NaN and prune it.
+    One expression however many columns there are. Finiteness must not be tested
+    by range comparisons: Parquet statistics ignore NaN and prune it.
     """
-    total = values[0] * 0.0
-    for value in values[1:]:
-        total = total + value * 0.0
-    return total
+    return "(" + " + ".join(f"`{name}` * 0.0D" for name in names) + ")"
 
 
-def all_finite(*values: Column) -> Column:
-    return zero_if_finite(*values).eqNullSafe(F.lit(0.0))
+def all_finite(names: Sequence[str]) -> str:
+    """SQL text: no named column is NULL, NaN or infinite."""
+    return f"({zero_if_finite(names)} <=> 0.0D)"
 
 
-def not_finite(*values: Column) -> Column:
-    """Some value is NULL, NaN or infinite."""
-    return ~all_finite(*values)
+def not_finite(value: Column) -> Column:
+    """NULL, NaN or infinite."""
+    return ~(value * 0.0).eqNullSafe(F.lit(0.0))
 
 
 def pearson(x: Column, y: Column) -> Column:

@@ -11,8 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairlens.functions.numeric import infinity, not_finite
+from pairlens.functions.numeric import all_finite
 from pairlens.functions.scores import adapter_score
+from pairlens.operators.scores import inline_rows
 from pairlens.vocabulary import (
     BASE_COLUMNS,
     FORMULAS,
@@ -99,13 +100,14 @@ def schema_agreement(footers: DataFrame, datasets: Sequence[str]) -> DataFrame:
     )
 
 
-def _roundtrip_error(formula: str, adapter: str) -> Column:
-    """Absolute gap of a stored score to its recomputation; non-finite counts as infinite."""
-    usable = (F.col("chosen_response_tokens") > 0) & (F.col("rejected_response_tokens") > 0)
-    gap = F.when(
-        usable, F.abs(F.col(delta_column(formula, adapter)) - adapter_score(formula, adapter))
-    )
-    return F.when(~usable | ~not_finite(gap), gap).otherwise(infinity())
+def _roundtrip_error(formula: str, adapter: str) -> str:
+    """SQL gap of a stored score to its recomputation; non-finite counts as infinite."""
+    gap = f"abs(`{delta_column(formula, adapter)}` - {adapter_score(formula, adapter)})"
+    usable = "chosen_response_tokens > 0 AND rejected_response_tokens > 0"
+    # NaN sorts above every number and NULL falls to the default, so one
+    # comparison separates the usable gaps.
+    largest = "CAST('Infinity' AS DOUBLE)"
+    return f"CASE WHEN {usable} THEN least(coalesce({gap}, {largest}), {largest}) END"
 
 
 def row_checks(
@@ -122,46 +124,51 @@ def row_checks(
     own dataset name. Only counts and maxima leave the map side.
     """
     have = set(df.columns)
-    bad: dict[tuple[str, str], Column] = {}
+    bad: dict[tuple[str, str], str] = {}
     if expected_dataset:
-        bad["dataset_name", ""] = ~F.col("dataset_trait").eqNullSafe(F.col(expected_dataset))
+        bad["dataset_name", ""] = f"NOT dataset_trait <=> `{expected_dataset}`"
     if revision is not None:
-        bad["source_revision", ""] = ~F.col("source_revision").eqNullSafe(F.lit(revision))
+        bad["source_revision", ""] = f"NOT source_revision <=> '{revision}'"
     for name in HASH_COLUMNS:
-        if name in have:
-            valid = F.col(name).rlike(r"\A[0-9a-f]{64}\z")
-            bad["hash", name] = ~F.coalesce(valid, F.lit(False))
+        bad["hash", name] = f"NOT coalesce({name} rlike r'\\A[0-9a-f]{{64}}\\z', false)"
     for name in LENGTH_COLUMNS:
-        if name in have:
-            bad["length", name] = F.col(name).isNull() | (F.col(name) <= 0)
+        bad["length", name] = f"{name} IS NULL OR {name} <= 0"
     totals = [*BASE_COLUMNS, *(n for a in adapters for n in total_columns(a))]
-    deltas = [delta_column(f, a) for f in FORMULAS for a in adapters]
-    for name in [*totals, *deltas]:
-        if name in have:
-            bad["finite", name] = not_finite(F.col(name))
+    for name in [*totals, *(delta_column(f, a) for f in FORMULAS for a in adapters)]:
+        bad["finite", name] = f"NOT {all_finite([name])}"
+    bad = {key: rule for key, rule in bad.items() if not key[1] or key[1] in have}
     errors = {
         delta_column(f, a): _roundtrip_error(f, a)
         for f in FORMULAS
         for a in adapters
         if delta_column(f, a) in have
     }
-    counts = [F.count_if(flag).alias("/".join(key)) for key, flag in bad.items()]
-    largest = [F.max(error).alias(f"max/{name}") for name, error in errors.items()]
-    off = [F.count_if(error > 0).alias(f"off/{name}") for name, error in errors.items()]
-    wide = df.groupBy(F.col(dataset).alias("dataset")).agg(*counts, *largest, *off)
-
-    def row(check: str, detail: str, n_bad: str, error: Column) -> Column:
-        return F.struct(
-            F.lit(check).alias("check"),
-            F.lit(detail).alias("detail"),
-            F.col(f"`{n_bad}`").alias("n_bad"),
-            error.alias("max_error"),
-        )
-
-    none = F.lit(None).cast("double")
-    rows = [row(check, detail, f"{check}/{detail}", none) for check, detail in bad]
-    rows += [row("roundtrip", name, f"off/{name}", F.col(f"`max/{name}`")) for name in errors]
-    return wide.select("dataset", F.inline(F.array(*rows)))
+    counts = [f"count_if({rule}) AS `{'/'.join(key)}`" for key, rule in bad.items()]
+    # A pair per error: its maximum, and how often it is above zero.
+    gaps = [f"{error} AS `gap/{name}`" for name, error in errors.items()]
+    for name in errors:
+        counts += [
+            f"max(`gap/{name}`) AS `max/{name}`",
+            f"count_if(`gap/{name}` > 0) AS `off/{name}`",
+        ]
+    prepared = df.selectExpr("*", *gaps)
+    grouped = prepared.groupBy(F.col(dataset).alias("dataset"))
+    wide = grouped.agg(*[F.expr(sql) for sql in counts])
+    none = "CAST(NULL AS DOUBLE)"
+    rows = [
+        {"check": f"'{c}'", "detail": f"'{d}'", "n_bad": f"`{c}/{d}`", "max_error": none}
+        for c, d in bad
+    ]
+    rows += [
+        {
+            "check": "'roundtrip'",
+            "detail": f"'{name}'",
+            "n_bad": f"`off/{name}`",
+            "max_error": f"`max/{name}`",
+        }
+        for name in errors
+    ]
+    return wide.selectExpr("dataset", inline_rows(rows))
 
 
 def row_counts(

@@ -19,7 +19,7 @@ from pairlens.operators.associate import (
 )
 from pairlens.operators.calibrate import calibrate
 from pairlens.operators.ordering import positions_by_hash
-from pairlens.operators.scores import mean_expressions, unpivot_means
+from pairlens.operators.scores import mean_cells, mean_expressions
 from pairlens.session import lookup_side, materialized, spread
 from pairlens.vocabulary import FORMULAS, WEIGHTINGS, require_known
 
@@ -108,7 +108,7 @@ def bootstrap_groups(
     _require_positive("replicates", replicates)
     names = [f"sum_{formula}_{adapter}" for formula in formulas for adapter in adapters]
     slim = stats.select("dataset_trait", "prompt_hash", "n", *names)
-    weight = None
+    weight = "1"
     if method == "multinomial":
         # Numbering reads the statistics twice, and draws and join the numbered
         # ones: both are written, so the score scan runs once.
@@ -117,14 +117,12 @@ def bootstrap_groups(
         lookup = lookup_side(indexed.drop("prompt_hash", "group_rows"))
         drawn = draws.join(lookup, ["dataset_trait", "group_index"])
     else:
-        weight = F.col("weight")
-        drawn = poisson_draws(slim, replicates, seed, fast_hash).where(weight > 0)
+        weight = "weight"
+        drawn = poisson_draws(slim, replicates, seed, fast_hash).where("weight > 0")
     means = mean_expressions(adapters, formulas, weightings, weight)
-    wide = drawn.groupBy("replicate", F.col("dataset_trait").alias("t")).agg(
-        *[mean.alias("/".join(cell)) for cell, mean in means.items()]
-    )
-    long = unpivot_means(wide, ["replicate", "t"], means)
-    return long.select("replicate", "formula", "weighting", "c", "t", "value")
+    grouped = drawn.groupBy("replicate", F.col("dataset_trait").alias("t"))
+    cells = mean_cells(grouped, ["replicate", "t"], means)
+    return cells.select("replicate", "formula", "weighting", "c", "t", "value")
 
 
 def bootstrap_associations(

@@ -7,12 +7,12 @@ at one row per pair and the prompt-group shuffle at one row per group and task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
-from pairlens.functions.numeric import nan, not_finite, zero_if_finite
+from pairlens.functions.numeric import all_finite, zero_if_finite
 from pairlens.functions.scores import adapter_score
 from pairlens.vocabulary import (
     BASE_COLUMNS,
@@ -39,11 +39,19 @@ def scoring_columns(adapters: Sequence[str]) -> list[str]:
     return [*RESPONSE_LENGTHS, *BASE_COLUMNS, *totals]
 
 
+def _total_names(adapters: Sequence[str]) -> list[str]:
+    return scoring_columns(adapters)[len(RESPONSE_LENGTHS) :]
+
+
+SHORTEST = "least({})".format(", ".join(f"coalesce({n}, 0)" for n in RESPONSE_LENGTHS))
+
+
 def _input_error(adapters: Sequence[str]) -> Column:
     """Message for a row the formulas must refuse, NULL for a usable row."""
-    lengths = F.least(*[F.coalesce(F.col(n), F.lit(0)) for n in RESPONSE_LENGTHS])
-    totals = [F.col(n) for n in scoring_columns(adapters)[len(RESPONSE_LENGTHS) :]]
-    return F.when(lengths <= 0, BAD_LENGTH).when(not_finite(*totals), BAD_TOTAL)
+    return F.expr(
+        f"CASE WHEN {SHORTEST} <= 0 THEN '{BAD_LENGTH}' "
+        f"WHEN NOT {all_finite(_total_names(adapters))} THEN '{BAD_TOTAL}' END"
+    )
 
 
 def with_scores(
@@ -65,13 +73,30 @@ def with_scores(
         for formula in formulas
         for adapter in adapters
     }
+    kept = [f"`{name}`" for name in df.columns if name not in scores]
     if on_invalid == "raise":
-        # One check per row, ahead of the formulas.
-        accepted = F.when(error.isNull(), True).otherwise(F.raise_error(error).cast("boolean"))
-        return df.where(accepted).withColumns(scores)
-    usable = F.col("__error").isNull()
-    scores = {name: F.when(usable, score) for name, score in scores.items()}
-    return df.withColumn("__error", error).withColumns(scores).drop("__error")
+        # The check sits on a column that every formula reads, so it runs once per
+        # row. As a filter it would feed constraint inference over all aliases.
+        refused = F.raise_error(error).cast("double")
+        accepted = F.when(error.isNull(), F.col("base_chosen_logprob")).otherwise(refused)
+        checked = df.withColumn("base_chosen_logprob", accepted)
+        columns = [f"{score} AS `{name}`" for name, score in scores.items()]
+    else:
+        checked = df.withColumn("__error", error)
+        columns = [
+            f"CASE WHEN __error IS NULL THEN {score} END AS `{name}`"
+            for name, score in scores.items()
+        ]
+    return checked.selectExpr(*kept, *columns)
+
+
+def inline_rows(rows: Sequence[Mapping[str, str]]) -> str:
+    """SQL text of a generator giving one output row per mapping of name to SQL text."""
+    structs = [
+        "named_struct({})".format(", ".join(f"'{name}', {sql}" for name, sql in row.items()))
+        for row in rows
+    ]
+    return "inline(array({}))".format(", ".join(structs))
 
 
 def scores_long(
@@ -81,17 +106,17 @@ def scores_long(
     formulas: Sequence[str] = FORMULAS,
 ) -> DataFrame:
     """One row per (key, formula, adapter) with its score."""
-    wide = with_scores(df, adapters, formulas)
     cells = [
-        F.struct(
-            F.lit(formula).alias("formula"),
-            F.lit(adapter).alias("adapter"),
-            F.col(delta_column(formula, adapter)).alias("score"),
-        )
+        {
+            "formula": f"'{formula}'",
+            "adapter": f"'{adapter}'",
+            "score": f"`{delta_column(formula, adapter)}`",
+        }
         for formula in formulas
         for adapter in adapters
     ]
-    return wide.select(*keys, F.inline(F.array(*cells)))
+    wide = with_scores(df, adapters, formulas)
+    return wide.selectExpr(*[f"`{key}`" for key in keys], inline_rows(cells))
 
 
 def scores_wide(
@@ -134,60 +159,66 @@ def group_stats(
     require_columns(df, ["dataset_trait", "prompt_hash", *scoring_columns(adapters)])
     names = [_sum_column(f, a) for f in formulas for a in adapters]
     sums = [
-        F.sum(adapter_score(f, a)).alias(_sum_column(f, a)) for f in formulas for a in adapters
+        F.expr(f"sum({adapter_score(f, a)}) AS `{_sum_column(f, a)}`")
+        for f in formulas
+        for a in adapters
     ]
-    totals = [F.col(n) for n in scoring_columns(adapters)[len(RESPONSE_LENGTHS) :]]
-    shortest = F.least(*[F.coalesce(F.col(n), F.lit(0)) for n in RESPONSE_LENGTHS])
+    zero = zero_if_finite(_total_names(adapters))
     grouped = df.groupBy("dataset_trait", "prompt_hash").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min(shortest).alias("__shortest"),
-        F.sum(F.coalesce(zero_if_finite(*totals), nan())).alias("__zero"),
+        F.expr("count(*) AS n"),
+        F.expr(f"min({SHORTEST}) AS __shortest"),
+        F.expr(f"sum(coalesce({zero}, CAST('NaN' AS DOUBLE))) AS __zero"),
         *sums,
     )
-    error = F.when(F.col("__shortest") <= 0, BAD_LENGTH).when(
-        not_finite(F.col("__zero")), BAD_TOTAL
+    checked = (
+        f"CASE WHEN __shortest <= 0 THEN CAST(raise_error('{BAD_LENGTH}') AS BIGINT) "
+        f"WHEN NOT {all_finite(['__zero'])} THEN CAST(raise_error('{BAD_TOTAL}') AS BIGINT) "
+        "ELSE n END AS n"
+    )
+    return grouped.selectExpr(
+        "dataset_trait", "prompt_hash", checked, *[f"`{name}`" for name in names]
     )
-    checked = F.when(error.isNull(), F.col("n")).otherwise(F.raise_error(error).cast("bigint"))
-    return grouped.select("dataset_trait", "prompt_hash", checked.alias("n"), *names)
 
 
 def mean_expressions(
     adapters: Sequence[str],
     formulas: Sequence[str] = FORMULAS,
     weightings: Sequence[str] = WEIGHTINGS,
-    weight: Column | None = None,
-) -> dict[tuple[str, str, str], Column]:
-    """Aggregates over group statistics, optionally with a resampling weight.
+    weight: str = "1",
+) -> dict[tuple[str, str, str], str]:
+    """SQL aggregates over group statistics, optionally with a resampling weight.
 
     ``row`` weighs every row alike, ``prompt`` every prompt group alike.
     """
-    m = F.lit(1) if weight is None else weight
     means = {}
     for formula in formulas:
         for adapter in adapters:
-            total = F.col(_sum_column(formula, adapter))
+            total = f"`{_sum_column(formula, adapter)}`"
             for weighting in weightings:
                 require_known("weighting", weighting, WEIGHTINGS)
                 if weighting == "row":
-                    mean = F.sum(m * total) / F.sum(m * F.col("n"))
+                    mean = f"sum({weight} * {total}) / sum({weight} * n)"
                 else:
-                    mean = F.sum(m * (total / F.col("n"))) / F.sum(m)
+                    mean = f"sum({weight} * ({total} / n)) / sum({weight})"
                 means[formula, weighting, adapter] = mean
     return means
 
 
-def unpivot_means(wide: DataFrame, keys: Sequence[str], cells) -> DataFrame:
-    """Wide means (columns named ``formula/weighting/adapter``) to long cells."""
+def mean_cells(
+    grouped: GroupedData, keys: Sequence[str], means: Mapping[tuple[str, str, str], str]
+) -> DataFrame:
+    """Evaluate mean aggregates wide, then unpivot the few result rows to cells."""
+    wide = grouped.agg(*[F.expr(f"{sql} AS `{'/'.join(cell)}`") for cell, sql in means.items()])
     rows = [
-        F.struct(
-            F.lit(formula).alias("formula"),
-            F.lit(weighting).alias("weighting"),
-            F.lit(adapter).alias("c"),
-            F.col(f"`{formula}/{weighting}/{adapter}`").alias("value"),
-        )
-        for formula, weighting, adapter in cells
+        {
+            "formula": f"'{cell[0]}'",
+            "weighting": f"'{cell[1]}'",
+            "c": f"'{cell[2]}'",
+            "value": f"`{'/'.join(cell)}`",
+        }
+        for cell in means
     ]
-    return wide.select(*keys, F.inline(F.array(*rows)))
+    return wide.selectExpr(*keys, inline_rows(rows))
 
 
 def score_cube(
@@ -202,11 +233,8 @@ def score_cube(
     same pass over the group statistics.
     """
     means = mean_expressions(adapters, formulas, weightings)
-    wide = stats.groupBy(F.col("dataset_trait").alias("t")).agg(
-        *[mean.alias("/".join(cell)) for cell, mean in means.items()]
-    )
-    long = unpivot_means(wide, ["t"], means)
-    return long.select("formula", "weighting", "c", "t", "value")
+    grouped = stats.groupBy(F.col("dataset_trait").alias("t"))
+    return mean_cells(grouped, ["t"], means).select("formula", "weighting", "c", "t", "value")
 
 
 def aggregate_scores(
