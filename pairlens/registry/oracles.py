@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pairlens.fixtures import TRAITS
-from pairlens.functions.hashing import UNIFORM_RANGE, poisson_thresholds
+from pairlens.functions.hashing import poisson_thresholds
 from pairlens.operators.scan import Pattern
 from pairlens.registry.settings import (
     COLUMN,
@@ -31,7 +31,6 @@ from pairlens.vocabulary import (
     total_columns,
 )
 
-N = len(TRAITS)
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -587,7 +586,6 @@ def repeatability_sql() -> str:
 
 
 def study_sql() -> str:
-    columns = "SELECT t, {0}(s, e) AS r FROM {1} WHERE c <> t GROUP BY t"
     boot = replicate_r(multinomial(FEW_REPLICATES, ["sum"], ["row"]))
     boot["bcal"] = boot.pop("cal")
     boot["br"] = boot.pop("br").replace("FROM cal ", "FROM bcal ")
@@ -616,7 +614,6 @@ def study_sql() -> str:
     # Dependencies first: the bootstrap's target and groups come from this list.
     order = ["s", "d", "g", "m", "cube", "target"]
     ctes = {**{k: ctes[k] for k in order}, **{k: v for k, v in ctes.items() if k not in order}}
-    del columns
 
     def rank_of(source: str) -> str:
         return (
@@ -1037,5 +1034,3 @@ def oracle_sql() -> dict[str, str]:
         ),
     }
 
-
-assert UNIFORM_RANGE == 1 << 32 and N == 10

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +17,7 @@ from pairlens.operators import associate, calibrate, checks, ordering, pairs, qu
 from pairlens.operators import resample, scan, scores, selection
 from pairlens.plans.reproduce import study
 from pairlens.plans.score_file import score_file
-from pairlens.plans.summarize import matrix_family, summarize
+from pairlens.plans.summarize import summarize
 from pairlens.plans.validate import observed_facts, validate_bundle
 from pairlens.registry.settings import (
     COLUMN,
@@ -34,19 +35,23 @@ from pairlens.registry.settings import (
     SCAN_PATTERNS,
     SEED,
 )
-from pairlens.session import materialized, scratch_path
+from pairlens.session import materialized, scratch_path, tune
 from pairlens.sources import files as sf
 from pairlens.sources.sinks import matrix_wide, write_report, write_scores
-from pairlens.sources.tables import read_manifest, read_scores, score_files
-from pairlens.vocabulary import FORMULAS, SCHEMES, delta_column, score_schema
+from pairlens.sources.tables import read_manifest, read_pairs, read_scores, score_files
+from pairlens.vocabulary import FORMULAS, delta_column
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
 
 def register(query: Query) -> Query:
-    REGISTRY[query.__name__] = query
-    return query
+    @functools.wraps(query)
+    def tuned(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return query(tune(spark), sf_dir)
+
+    REGISTRY[query.__name__] = tuned
+    return tuned
 
 
 def rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
@@ -465,8 +470,6 @@ def source_pairs(spark, sf_dir):
     messages = fx.conversation_messages(spark, sf_dir)
     named = messages.select(F.col("conv_id").alias("row_id"), "chosen", "rejected")
     named.write.json(path)
-    from pairlens.sources.tables import read_pairs
-
     checked = pairs.validate_pairs(read_pairs(spark, path))
     return checked.select(
         "row_id",
@@ -877,5 +880,3 @@ def engine_agreement(spark, sf_dir):
     found = selection.engine_agreement(first, second, ["row_id"], 0.01)
     return rounded(found, 9, "max_abs_difference")
 
-
-__all__ = ["REGISTRY", "SCHEMES", "matrix_family", "score_schema"]

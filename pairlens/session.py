@@ -12,6 +12,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# HotSpot does not compile methods above this bytecode size; a stage beyond it
+# runs many times faster with its expressions split than fused in one method.
+HUGE_METHOD_LIMIT = "8000"
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Runtime settings for wide score tables; the only one needed is documented by Spark."""
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", HUGE_METHOD_LIMIT)
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees, as named in ``spark.checkpoint.dir``.
 
