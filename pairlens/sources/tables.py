@@ -136,7 +136,7 @@ def read_manifest(spark: SparkSession, path: str, datasets: Sequence[str]) -> Da
     """Manifest rows keyed by ``dataset`` from a JSON list or a ``datasets`` map."""
     fields = ", ".join(f"{name}: {kind}" for name, kind in MANIFEST_FIELDS.items())
     entry, listed = f"STRUCT<{fields}>", f"STRUCT<trait: STRING, {fields}>"
-    whole = spark.read.option("wholetext", "true").text(path)
+    whole = spark.read.text(path, wholetext=True)
     is_list = F.ltrim("value").startswith("[")
     from_list = F.from_json("value", f"ARRAY<{listed}>")
     mapping = F.from_json("value", f"STRUCT<datasets: MAP<STRING, {entry}>>")["datasets"]
