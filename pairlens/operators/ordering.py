@@ -20,22 +20,38 @@ RANGES = 1024
 
 
 def _number(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], with_total: bool
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    with_total: bool,
+    first: Column | None,
 ) -> DataFrame:
-    """Number rows that already carry ``__range``, an order-preserving cut per key."""
+    """Number rows that already carry ``__range``, an order-preserving cut per key.
+
+    ``first`` asks for the leading rows only: ranges that begin beyond it are
+    dropped before anything is shuffled or sorted. The offsets are one row per
+    key and range, written down so that the join sees their true size.
+    """
     counts = df.groupBy(*keys, "__range").agg(F.count(F.lit(1)).alias("__n"))
     running = Window.partitionBy(*keys).orderBy("__range")
-    offsets = counts.select(
-        *keys,
-        "__range",
-        (F.sum("__n").over(running) - F.col("__n")).alias("__before"),
-        F.sum("__n").over(Window.partitionBy(*keys)).alias("group_rows"),
+    offsets = materialized(
+        counts.select(
+            *keys,
+            "__range",
+            (F.sum("__n").over(running) - F.col("__n")).alias("__before"),
+            F.sum("__n").over(Window.partitionBy(*keys)).alias("group_rows"),
+        ),
+        "offsets",
     )
+    placed = df.join(offsets, [*keys, "__range"])
+    if first is not None:
+        placed = placed.where(F.col("__before") < first)
     inside = Window.partitionBy(*keys, "__range").orderBy(*order)
-    numbered = df.withColumn("__row", F.row_number().over(inside))
-    joined = numbered.join(offsets, [*keys, "__range"])
-    positioned = joined.withColumn("position", F.col("__before") + F.col("__row"))
-    dropped = ["__range", "__row", "__before"] + ([] if with_total else ["group_rows"])
+    position = F.col("__before") + F.row_number().over(inside)
+    positioned = placed.withColumn("position", position)
+    if first is not None:
+        positioned = positioned.where(F.col("position") <= first)
+    dropped = ["__range", "__before"] + ([] if with_total else ["group_rows"])
     return positioned.drop(*dropped)
 
 
@@ -46,13 +62,16 @@ def positions_by_hash(
     ties: Sequence[str] = (),
     hex_digits: int = 3,
     with_total: bool = False,
+    first: Column | None = None,
 ) -> DataFrame:
     """1-based ``position`` per key in ascending order of a uniform hex digest.
 
     A uniform digest needs no statistics: its leading digits are the ranges.
+    ``first`` (over ``group_rows`` and the input columns) keeps the leading rows.
     """
     cut = df.withColumn("__range", F.substring(digest, 1, hex_digits))
-    return _number(cut, keys, [F.col(digest), *[F.col(t) for t in ties]], with_total)
+    order = [F.col(digest), *[F.col(t) for t in ties]]
+    return _number(cut, keys, order, with_total, first)
 
 
 def _bounds_before(holds: Callable[[Column], Column], ranges: int) -> Column:
@@ -80,6 +99,7 @@ def positions_by_value(
     descending: bool = True,
     ranges: int = RANGES,
     with_total: bool = False,
+    first: Column | None = None,
 ) -> DataFrame:
     """1-based ``position`` per key by value, then digest, then ``ties``.
 
@@ -88,7 +108,7 @@ def positions_by_value(
     the leading part of the uniform digest, which is also the next sort key, so
     heavy ties spread over ranges too. Bounds only steer the cut: positions are
     exact whatever they are, but all branches must see the same ones, so they are
-    written down.
+    written down. ``first`` keeps the leading rows, as in ``positions_by_hash``.
     """
     if ranges < 2 or ranges & (ranges - 1):
         raise ValueError("ranges must be a power of two")
@@ -97,7 +117,7 @@ def positions_by_value(
     steps = [i / ranges for i in range(1, ranges)]
     bounds = materialized(
         prepared.groupBy(*keys).agg(
-            F.percentile_approx("__signed", steps, F.lit(ranges * 40)).alias("__bounds")
+            F.percentile_approx("__signed", steps, F.lit(ranges * 8)).alias("__bounds")
         ),
         "bounds",
     )
@@ -108,4 +128,4 @@ def positions_by_value(
     cut = F.coalesce(below + F.floor(share * equal), F.lit(0)).cast("bigint")
     ranged = prepared.join(bounds, [*keys]).withColumn("__range", cut).drop("__bounds")
     order = [F.col("__signed"), F.col(digest), *[F.col(t) for t in ties]]
-    return _number(ranged, keys, order, with_total).drop("__signed")
+    return _number(ranged, keys, order, with_total, first).drop("__signed")

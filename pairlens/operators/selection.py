@@ -40,15 +40,12 @@ def select_by_score(
         rule = f"{score} >= {threshold}"
         return df.where(F.col(score) >= threshold).withColumn("rule", F.lit(rule))
     keyed = df.withColumn("__digest", hash_order(seed, F.col(row_id)))
-    placed = positions_by_value(
-        keyed, [dataset], score, "__digest", [row_id], with_total=top_fraction is not None
-    )
     if top_k is not None:
-        kept, rule = placed.where(F.col("position") <= top_k), f"top {top_k} by {score}"
+        wanted, rule = F.lit(top_k), f"top {top_k} by {score}"
     else:
         wanted = F.ceil(F.col("group_rows") * F.lit(top_fraction))
-        kept = placed.where(F.col("position") <= wanted).drop("group_rows")
         rule = f"top fraction {top_fraction} by {score}"
+    kept = positions_by_value(keyed, [dataset], score, "__digest", [row_id], first=wanted)
     return kept.drop("__digest", "position").withColumn("rule", F.lit(rule))
 
 
@@ -63,12 +60,12 @@ def random_control(
     """As many rows per dataset as were selected, in seeded hash order."""
     quota = selected.groupBy(dataset).agg(F.count(F.lit(1)).alias("__quota"))
     keyed = df.withColumn("__digest", hash_order(seed, F.col(row_id)))
-    placed = positions_by_hash(keyed, [dataset], "__digest", [row_id])
-    return (
-        placed.join(quota, dataset)
-        .where(F.col("position") <= F.col("__quota"))
-        .drop("__digest", "position", "__quota")
+    # The inner join also drops datasets nothing was selected from.
+    wanted = keyed.join(materialized(quota, "quota"), dataset)
+    placed = positions_by_hash(
+        wanted, [dataset], "__digest", [row_id], first=F.col("__quota")
     )
+    return placed.drop("__digest", "position", "__quota")
 
 
 def length_control(
@@ -91,12 +88,11 @@ def length_control(
     quota = selected.groupBy(dataset, bucket).agg(F.count(F.lit(1)).alias("__quota"))
     rest = df.join(selected.select(dataset, row_id), [dataset, row_id], "left_anti")
     keyed = rest.select("*", bucket, hash_order(seed, F.col(row_id)).alias("__digest"))
-    placed = positions_by_hash(keyed, [dataset, "length_bucket"], "__digest", [row_id])
-    return (
-        placed.join(quota, [dataset, "length_bucket"])
-        .where(F.col("position") <= F.col("__quota"))
-        .drop("__digest", "position", "__quota")
+    wanted = keyed.join(materialized(quota, "quota"), [dataset, "length_bucket"])
+    placed = positions_by_hash(
+        wanted, [dataset, "length_bucket"], "__digest", [row_id], first=F.col("__quota")
     )
+    return placed.drop("__digest", "position", "__quota")
 
 
 def _row_ranks(runs: DataFrame, value: str) -> DataFrame:
