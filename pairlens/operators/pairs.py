@@ -195,6 +195,38 @@ def token_table(
     return tokens.groupBy("token").agg(F.count(F.lit(1)).alias(base), *counts)
 
 
+def _salted_lookup(
+    words: DataFrame, lookup: DataFrame, keys: Sequence[str], salts: int
+) -> DataFrame:
+    """Left join on ``token`` with the frequent words spread over ``salts`` copies.
+
+    A word is frequent if it makes up more than 1/salts of all words, so there are
+    fewer than ``salts`` of them: that list is the only thing broadcast. The merge
+    hint keeps Spark from broadcasting the lookup on an estimate that does not see
+    the copies, and leaves lesser skew to adaptive execution.
+    """
+    counts = materialized(
+        words.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "word-counts"
+    )
+    share = counts.agg(F.sum("n")).scalar() / F.lit(salts)
+    hot = materialized(
+        counts.where(F.col("token").isNotNull() & (F.col("n") > share)).select(
+            "token", F.lit(True).alias("hot")
+        ),
+        "hot-words",
+    )
+    copy = F.pmod(F.xxhash64(*keys, "side", "pos"), F.lit(salts)).cast("int")
+    spread_out = F.coalesce("hot", F.col("token").isNull())
+    salted = words.join(F.broadcast(hot), "token", "left").withColumn(
+        "salt", F.when(spread_out, copy).otherwise(0)
+    )
+    every = F.sequence(F.lit(0), F.lit(salts - 1))
+    copies = lookup.join(F.broadcast(hot), "token", "left").withColumn(
+        "salt", F.explode(F.when(F.col("hot"), every).otherwise(F.array(F.lit(0))))
+    )
+    return salted.drop("hot").join(copies.drop("hot").hint("merge"), ["token", "salt"], "left")
+
+
 def score_pairs(
     pairs: DataFrame,
     tokens: DataFrame,
@@ -209,8 +241,8 @@ def score_pairs(
 
     ln((n+1)/d) is ln(n+1) - ln(d), so a word costs one lookup for all models
     and unknown words add nothing: the denominator is applied once per response.
-    A token table too large to broadcast is joined with salted keys, because
-    frequent words are in every text.
+    A token table too large to broadcast is joined by shuffle with frequent words
+    salted, because they are in every text.
     """
     table = materialized(tokens.select("token", *models), "tokens")
     logs = [F.log(F.col(m) + F.lit(1.0)).alias(m) for m in models]
@@ -227,11 +259,7 @@ def score_pairs(
     if fits_broadcast(table, table.count()):
         found = words.join(F.broadcast(lookup), "token", "left")
     else:
-        salted = words.withColumn(
-            "salt", F.pmod(F.xxhash64(*keys, "side", "pos"), F.lit(salts)).cast("int")
-        )
-        copies = lookup.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        found = salted.join(copies, ["token", "salt"], "left")
+        found = _salted_lookup(words, lookup, keys, salts)
     sums = found.groupBy(*keys, "side").agg(
         F.count("token").alias("tokens"),
         *[F.sum(F.coalesce(F.col(m), F.lit(0.0))).alias(m) for m in models],

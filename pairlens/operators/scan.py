@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -12,11 +14,16 @@ from pairlens.sources.files import text_lines
 
 
 class Pattern(NamedTuple):
-    """A case-insensitive literal, or a case-sensitive regular expression."""
+    """A case-insensitive literal, or a case-sensitive regular expression.
+
+    A regular expression may name literals of which every match contains at least
+    one; lines without any are then settled by a byte search.
+    """
 
     label: str
     text: str
     regex: bool = False
+    needs: tuple[str, ...] = ()
 
 
 # Literals that must not appear in published text.
@@ -39,16 +46,17 @@ LITERALS = (
 )
 # Path and token patterns.
 REGEXES = (
-    ("absolute_path", r"/(?:home|tmp|opt|var|workspace)/[^\s`\"']+"),
-    ("windows_path", r"[A-Za-z]:\\\\(?:Users|Windows)\\\\"),
+    ("absolute_path", r"/(?:home|tmp|opt|var|workspace)/[^\s`\"']+", ("/",)),
+    ("windows_path", r"[A-Za-z]:\\\\(?:Users|Windows)\\\\", (":",)),
     (
         "access_token",
         r"\b(?:sk-[A-Za-z0-9_-]{20,}|hf_[A-Za-z0-9]{20,}|gh[pousr]_[A-Za-z0-9]{20,})\b",
+        ("sk-", "hf_", "gh"),
     ),
 )
 PATTERNS = (
     *(Pattern(text, text) for text in LITERALS),
-    *(Pattern(label, text, True) for label, text in REGEXES),
+    *(Pattern(label, text, True, needs) for label, text, needs in REGEXES),
 )
 # What counts as scannable text and as a model binary.
 TEXT_SUFFIXES = (
@@ -70,7 +78,9 @@ OVERSIZE_BYTES = 100_000_000
 
 def _hit(pattern: Pattern, line: Column, lowered: Column) -> Column:
     if pattern.regex:
-        return line.rlike(pattern.text)
+        matched = line.rlike(pattern.text)
+        possible = [line.contains(literal) for literal in pattern.needs]
+        return functools.reduce(operator.or_, possible) & matched if possible else matched
     return lowered.contains(pattern.text.lower())
 
 

@@ -41,6 +41,6 @@ PLANTED_LINES = (
 SCAN_PATTERNS = (
     *PATTERNS,
     Pattern("hex40", r"\b[0-9a-f]{40}\b", True),
-    Pattern("email", r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z]{2,}", True),
+    Pattern("email", r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z]{2,}", True, ("@",)),
     Pattern("token_assignment", 'token = "'),
 )
