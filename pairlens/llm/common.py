@@ -25,7 +25,7 @@ __all__ = ["SPACES", "ASCII_LOWER", "Words", "empty_safe", "fresh_name", "materi
 SPACES = b" \t\n\x0b\x0c\r"
 ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 LOWER_TABLE = np.frombuffer(ASCII_LOWER, dtype=np.uint8)
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _FACTOR = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_FACTOR, -1, 1 << 64)

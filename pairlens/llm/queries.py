@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pairlens.llm.bpe import encode_texts
 from pairlens.llm.decontaminate import contamination
 from pairlens.llm.line_dedup import drop_frequent_lines
+from pairlens.llm.near_dedup import near_duplicates
+from pairlens.llm.quality_lm import classify
 from pairlens.llm.quality_rules import judge_quality
 from pairlens.llm.token_counts import count_tokens
 
@@ -49,6 +51,11 @@ FROM keyed LEFT JOIN frequent f USING (key)
 GROUP BY doc_id
 """
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingle sets are similar by 0.85 or more."""
+    return near_duplicates(table(spark, sf_dir, "documents"), size=3, ratio=(85, 100))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pre-tokens, tokens and cost of each document under the unigram model."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -64,6 +71,13 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bits per byte of each document under the trusted text's model, and the verdict."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = classify(docs.select("doc_id", "lang", "text"), labels)
+    return out.select("doc_id", "lang", "bits", "n_bytes", "score", "limit", "kept")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict of each document."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -115,8 +129,10 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_near_dedup": op2_near_dedup,
     "op3_token_counts": op3_token_counts,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_quality_lm": op7_quality_lm,
     "op8_quality_rules": op8_quality_rules,
     "op10_decontaminate": op10_decontaminate,
 }
