@@ -15,10 +15,13 @@ from pairlens.llm.line_dedup import drop_frequent_lines
 from pairlens.llm.near_dedup import near_duplicates
 from pairlens.llm.quality_lm import classify
 from pairlens.llm.quality_rules import judge_quality
+from pairlens.llm.surrogates import replace_entities
 from pairlens.llm.token_counts import count_tokens
 
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: Stands for a secret of the deployment.
+SURROGATE_KEY = "example key"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +65,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN).drop("text")
 
 
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with personal data and secrets replaced by keyed surrogates."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return replace_entities(docs, key=SURROGATE_KEY)
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of each document's token ids and of the bytes decoded from them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -131,6 +140,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_near_dedup": op2_near_dedup,
     "op3_token_counts": op3_token_counts,
+    "op5_pii_surrogates": op5_pii_surrogates,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_quality_lm": op7_quality_lm,
     "op8_quality_rules": op8_quality_rules,
