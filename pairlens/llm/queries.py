@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pairlens.llm.bpe import encode_texts
 from pairlens.llm.decontaminate import contamination
+from pairlens.llm.html_extract import main_text
 from pairlens.llm.line_dedup import drop_frequent_lines
 from pairlens.llm.near_dedup import near_duplicates
 from pairlens.llm.quality_lm import classify
@@ -65,6 +66,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN).drop("text")
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of each page."""
+    return main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
+
+
 def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with personal data and secrets replaced by keyed surrogates."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -140,6 +146,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_near_dedup": op2_near_dedup,
     "op3_token_counts": op3_token_counts,
+    "op4_html_extract": op4_html_extract,
     "op5_pii_surrogates": op5_pii_surrogates,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_quality_lm": op7_quality_lm,
