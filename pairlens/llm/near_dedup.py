@@ -8,13 +8,15 @@ any depth, and unlike pairs part. Starting at depth ``DEPTH``, every level
 
 - compares each member of a node with the node's first member, and contracts what is linked,
 - closes the nodes whose members are all in one component by now,
-- compares the members of small nodes exhaustively across components,
-- branches the nodes that are still large.
+- compares the members of small nodes exhaustively across components; small is a node of
+  which at most ``FEW`` members lie outside its main component, so each member
+  meets at most so many others,
+- branches the other nodes.
 
 So a group of thousands of near copies is settled by a few comparisons per member, and
 no link between components is skipped because a node is large. Every link is
 confirmed on the full shingle sets, computed from both texts. Nodes that are
-large after ``MAX_LEVELS`` levels are compared across components in full.
+still open after ``MAX_LEVELS`` levels are compared across components in full.
 
 With 16 trees a pair exactly at 0.85 is missed by all of them with probability below
 1e-7, one at 0.8 below 1e-5; what matters is only that its component stays connected.
@@ -40,7 +42,7 @@ from pairlens.llm.common import empty_safe, materialized, mix, nonspace_table, p
 TREES = 16
 WIDTH = 64
 DEPTH = 3
-SMALL_NODE = 40
+FEW = 40
 MAX_LEVELS = 40
 
 NONSPACE = nonspace_table()
@@ -243,23 +245,23 @@ def near_duplicates(
             named = active.withColumn("component", F.col("id"))
             if labels is not None:
                 named = active.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-            stats = named.groupBy("node").agg(
-                F.count(F.lit(1)).alias("size"),
-                F.min(F.struct("id", "n", "component")).alias("lead"),
-                F.min("component").alias("low"),
-                F.max("component").alias("high"),
-            )
-            named = named.join(stats.where("low < high"), "node").drop("low", "high")
             if not exhaustive:
-                pairs = named.where((F.col("component") != F.col("lead.component")) & similar(F.col("n"), F.col("lead.n")))
+                lead = named.groupBy("node").agg(
+                    F.min(F.struct("id", "n", "component")).alias("lead"), F.min("component").alias("low"), F.max("component").alias("high")
+                )
+                pairs = named.join(lead.where("low < high"), "node")
+                pairs = pairs.where((F.col("component") != F.col("lead.component")) & similar(F.col("n"), F.col("lead.n")))
                 pairs = pairs.select(*_ordered("id", "lead.id"))
             else:
-                active = materialized(named, "nd-open")
-                near = active.where("true" if last else f"size <= {SMALL_NODE}")
-                members = near.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("id", "n", "component"))).alias("all"))
-                each = members.select("all", F.explode("all").alias("x")).select("x", F.explode("all").alias("y"))
-                pairs = each.where("x.id < y.id AND x.component <> y.component").where(similar(F.col("x.n"), F.col("y.n")))
-                pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+                counted = named.groupBy("node", "component").agg(F.count(F.lit(1)).alias("members"))
+                top = counted.groupBy("node").agg(F.max(F.struct("members", "component")).alias("top"), F.sum("members").alias("size"))
+                top = top.select("node", F.col("top.component").alias("main"), (F.col("size") - F.col("top.members")).alias("outside"))
+                active = materialized(named.join(top.where("outside > 0"), "node"), "nd-open")
+                near = active.where("true" if last else f"outside <= {FEW}")
+                few = near.where("component <> main").groupBy("node").agg(F.collect_list(F.struct("id", "n", "component")).alias("few"))
+                each = near.select("node", F.struct("id", "n", "component").alias("x")).join(few, "node").select("x", F.explode("few").alias("y"))
+                pairs = each.where("x.component <> y.component").where(similar(F.col("x.n"), F.col("y.n")))
+                pairs = pairs.select(*_ordered("x.id", "y.id"))
             pairs = pairs.distinct()
             if tested is not None:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -277,7 +279,7 @@ def near_duplicates(
                 if not found.isEmpty():
                     links = found if links is None else links.unionByName(found)
                     labels = components(links)
-        open_nodes = active.where(f"size > {SMALL_NODE}")
+        open_nodes = active.where(f"outside > {FEW}")
         if last or open_nodes.isEmpty():
             break
         below = open_nodes.select("node", "id", "n").join(classes.select("id", "sketch"), "id")
