@@ -16,6 +16,7 @@ from pairlens.llm.line_dedup import drop_frequent_lines
 from pairlens.llm.near_dedup import near_duplicates
 from pairlens.llm.quality_lm import classify
 from pairlens.llm.quality_rules import judge_quality
+from pairlens.llm.suffix_dedup import remove_repeats
 from pairlens.llm.surrogates import replace_entities
 from pairlens.llm.token_counts import count_tokens
 
@@ -100,6 +101,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("text")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without 50-byte strings of earlier documents."""
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the words that 13-word windows of benchmark items cover."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -151,6 +158,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_byte_bpe": op6_byte_bpe,
     "op7_quality_lm": op7_quality_lm,
     "op8_quality_rules": op8_quality_rules,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLES: dict[str, str] = {
