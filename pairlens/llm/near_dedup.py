@@ -16,7 +16,7 @@ any depth, and unlike pairs part. Starting at depth ``DEPTH``, every level
 So a group of thousands of near copies is settled by a few comparisons per member, and
 no link between components is skipped because a node is large. Every link is
 confirmed on the full shingle sets, computed from both texts. Nodes that are
-still open after ``MAX_LEVELS`` levels are compared across components in full.
+still open after ``MAX_LEVELS`` such rounds are compared across components in full.
 
 With 16 trees a pair exactly at 0.85 is missed by all of them with probability below
 1e-7, one at 0.8 below 1e-5; what matters is only that its component stays connected.
@@ -43,7 +43,7 @@ TREES = 16
 WIDTH = 64
 DEPTH = 3
 FEW = 40
-MAX_LEVELS = 40
+MAX_LEVELS = 14
 
 NONSPACE = nonspace_table()
 _RANDOM = np.random.default_rng(20240501)
@@ -138,8 +138,10 @@ def _descend(threshold: float):
             for k in range(0, whole.num_rows, 20_000):
                 batch = whole.slice(k, 20_000)
                 sketches = np.frombuffer(b"".join(batch["sketch"].to_pylist()), "<u4").reshape(-1, WIDTH)
-                nodes = batch["node"].to_numpy().view(np.uint64)
-                yield _rows(batch, *branch(np.arange(len(nodes)), nodes, sketches, threshold))
+                owners, nodes = np.arange(len(sketches)), batch["node"].to_numpy().view(np.uint64)
+                for _ in range(DEPTH):
+                    owners, nodes = branch(owners, nodes, sketches, threshold)
+                yield _rows(batch, owners, nodes)
 
     return run
 
