@@ -40,7 +40,7 @@ from pairlens.llm.common import empty_safe, materialized, mix, partitions_for, p
 LENGTH = 50
 GRAM = 24
 HOT_CHUNKS = 512
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 4 << 20
 NO_ID = (1 << 63) - 1
 
 
