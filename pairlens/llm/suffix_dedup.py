@@ -93,7 +93,9 @@ def runs_of(texts: list[bytes]) -> Runs:
         whole = (sums[high + LENGTH] - sums[low]) * down[low]
         shape = ((anchor_at - low) << 32 | (high - low)).astype(np.uint64)
         text = np.searchsorted(offsets, low, side="right") - 1
-        parts.append((text + a, low - offsets[text], high - offsets[text], grams[anchor_at], mix(whole ^ mix(shape))))
+        # Least hashes are small numbers; mixed once more, their high bits spread evenly over the shards.
+        anchor = mix(grams[anchor_at] ^ np.uint64(0xA0761D6478BD642F))
+        parts.append((text + a, low - offsets[text], high - offsets[text], anchor, mix(whole ^ mix(shape))))
     empty = np.zeros(0, np.int64)
     columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [empty] * 3 + [empty.astype(np.uint64)] * 2
     return Runs(*columns)
