@@ -42,7 +42,7 @@ from pairlens.llm.common import empty_safe, materialized, mix, nonspace_table, p
 TREES = 16
 WIDTH = 64
 DEPTH = 3
-FEW = 40
+FEW = 10
 MAX_LEVELS = 14
 
 NONSPACE = nonspace_table()
@@ -261,8 +261,10 @@ def near_duplicates(
                 active = materialized(named.join(top.where("outside > 0"), "node"), "nd-open")
                 near = active.where("true" if last else f"outside <= {FEW}")
                 few = near.where("component <> main").groupBy("node").agg(F.collect_list(F.struct("id", "n", "component")).alias("few"))
-                each = near.select("node", F.struct("id", "n", "component").alias("x")).join(few, "node").select("x", F.explode("few").alias("y"))
-                pairs = each.where("x.component <> y.component").where(similar(F.col("x.n"), F.col("y.n")))
+                member = near.select("node", F.struct("id", "n", "component").alias("x")).join(few, "node")
+                x = F.col("x")
+                fit = F.filter("few", lambda y: (y["component"] != x["component"]) & similar(y["n"], x["n"]))
+                pairs = member.select("x", F.explode(fit).alias("y"))
                 pairs = pairs.select(*_ordered("x.id", "y.id"))
             pairs = pairs.distinct()
             if tested is not None:
