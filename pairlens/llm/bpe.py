@@ -28,7 +28,8 @@ from pyspark.sql import types as T
 
 from pairlens.llm.common import empty_safe, slices, texts_of, with_columns
 
-CACHE_PIECES = 300_000
+CACHE_PIECES = 500_000
+CACHE_PREFIXES = 500_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -56,7 +57,8 @@ class PrefixEncoder:
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks))
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
+        self._known: dict[bytes, int] = {}  # last token by prefix, shared by all pieces
 
     def merge(self, data: bytes) -> list[int]:
         """The defining procedure: join the lowest-ranked adjacent pair until none is left."""
@@ -70,16 +72,17 @@ class PrefixEncoder:
 
     def fits(self, left: int, right: int) -> bool:
         """Whether ``right`` may follow ``left`` in an encoding."""
-        known = self._fits.get((left, right))
+        key = left << 32 | right
+        known = self._fits.get(key)
         if known is None:
             if len(self._fits) > 2_000_000:
                 self._fits.clear()
             known = self.merge(self.tokens[left] + self.tokens[right]) == [left, right]
-            self._fits[left, right] = known
+            self._fits[key] = known
         return known
 
     def _last_at(self, data: bytes, last: list[int], end: int) -> int:
-        for start in range(max(0, end - self.longest), end):
+        for start in range(end - 1, max(0, end - self.longest) - 1, -1):
             token = self.ranks.get(data[start:end])
             if token is not None and (start == 0 or self.fits(last[start], token)):
                 return token
@@ -118,7 +121,22 @@ class PrefixEncoder:
 
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
-        return [whole] if whole is not None else self.ids(self.append(Prefixes(), piece))
+        if whole is not None:
+            return [whole]
+        if len(piece) > 64:
+            return self.ids(self.append(Prefixes(), piece))
+        # Pieces with a common beginning share its prefixes' last tokens.
+        if len(self._known) >= CACHE_PREFIXES:
+            self._known.clear()
+        known, state = self._known, Prefixes()
+        state.data = piece
+        for end in range(1, len(piece) + 1):
+            prefix = piece[:end]
+            last = known.get(prefix)
+            if last is None:
+                last = known[prefix] = self._last_at(piece, state.last, end)
+            state.last.append(last)
+        return self.ids(state)
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
