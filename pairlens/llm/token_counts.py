@@ -46,36 +46,43 @@ class ForwardTrie:
 
     def clear(self) -> None:
         self.child: dict[int, int] = {}  # node * 256 + byte
-        self.best: list[tuple[int, int]] = [(0, 0)]
-        self.terminal: Counter[int] = Counter()
-
-    def insert(self, piece: bytes, times: int = 1) -> tuple[int, int]:
-        """Count ``times`` occurrences; returns the (cost, tokens) of the whole pre-token."""
-        if len(self.best) >= TRIE_NODES:
-            self.clear()
-        path, node = [0], 0
-        for end in range(1, len(piece) + 1):
-            key = node * 256 + piece[end - 1]
-            node = self.child.get(key, -1)
+        self.cost, self.tokens, self.terminal = [0], [0], [0]
+        self.ends: dict[str, int] = {}  # node of each pre-token inserted
+
+    def insert(self, piece: str, times: int = 1) -> int:
+        """Count ``times`` occurrences of a pre-token; returns the node it ends at."""
+        node = self.ends.get(piece)
+        if node is None:
+            node = self.ends[piece] = self._walk(piece.encode())
+        self.terminal[node] += times
+        return node
+
+    def _walk(self, piece: bytes) -> int:
+        path, node, child = [0], 0, self.child
+        for end, byte in enumerate(piece, 1):
+            key = node * 256 + byte
+            node = child.get(key, -1)
             if node < 0:
-                node = self.child[key] = len(self.best)
-                self.best.append(self._forward(piece, path, end))
+                node = child[key] = len(self.cost)
+                self._forward(piece, path, end)
             path.append(node)
-        self.terminal[node] += times
-        return self.best[node]
+        return node
 
-    def _forward(self, piece: bytes, path: list[int], end: int) -> tuple[int, int]:
-        found = None
-        for start in range(max(0, end - self.longest), end):
-            cost = self.costs.get(piece[start:end])
+    def _forward(self, piece: bytes, path: list[int], end: int) -> None:
+        """Append the node of a new prefix: its best last token and what stands before it."""
+        get, best, least = self.costs.get, -1, -1
+        for start in range(end - 1, max(0, end - self.longest) - 1, -1):
+            cost = get(piece[start:end])
             if cost is not None:
-                before = self.best[path[start]]
-                way = (before[0] + cost, before[1] + 1)
-                if found is None or way < found:
-                    found = way
-        if found is None:
+                before = path[start]
+                cost += self.cost[before]
+                if best < 0 or cost < best or (cost == best and self.tokens[before] < least):
+                    best, least = cost, self.tokens[before]
+        if best < 0:
             raise ValueError("the vocabulary lacks a single byte")
-        return found
+        self.cost.append(best)
+        self.tokens.append(least + 1)
+        self.terminal.append(0)
 
 
 _tries: dict[int, ForwardTrie] = {}
@@ -91,10 +98,15 @@ def _count(shared, pattern: str, text: str, names: tuple[str, str, str, str]):
             for a, b in slices(texts_of(whole[text])):
                 batch = whole.slice(a, b - a)
                 found = [find(t or "") for t in batch[text].to_pylist()]
-                best = {}
+                if len(trie.cost) >= TRIE_NODES:
+                    trie.clear()
                 for piece, times in Counter(p for pieces in found for p in pieces).items():
-                    best[piece] = trie.insert(piece.encode(), times)
-                sums = [(len(pieces), len(set(pieces)), *map(sum, zip((0, 0), *map(best.__getitem__, pieces), strict=True))) for pieces in found]
+                    trie.insert(piece, times)
+                sums = []
+                for pieces in found:
+                    nodes = [trie.ends[p] for p in pieces]
+                    cost, tokens = sum(map(trie.cost.__getitem__, nodes)), sum(map(trie.tokens.__getitem__, nodes))
+                    sums.append((len(nodes), len(set(nodes)), cost, tokens))
                 columns = zip(*sums, strict=True)
                 order = (names[0], names[1], names[3], names[2])
                 arrays = dict(zip(order, (pa.array(c, pa.int64()) for c in columns), strict=True))
