@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from pairlens.llm.bpe import read_ranks
 from pairlens.llm.common import empty_safe, slices, texts_of, with_columns
 
-TRIE_NODES = 1_000_000
+TRIE_NODES = 2_000_000
 
 
 def unigram_costs(ranks: dict[bytes, int]) -> dict[bytes, int]:
