@@ -30,6 +30,16 @@ def uniform32(seed: int | str, *keys: Column, fast: bool = False) -> Column:
     return F.conv(F.substring(hash_order(seed, *keys), 1, 8), 16, 10).cast("bigint")
 
 
+def uniform60(seed: int | str, *keys: Column, fast: bool = False) -> Column:
+    """Uniform integer in [0, 2**60), or [0, 2**63) if ``fast``: wide enough for an index of any table.
+
+    Taken modulo n, the odds of two values differ by less than n / 2**60.
+    """
+    if fast:
+        return F.xxhash64(F.lit(str(seed)), *keys).bitwiseAND(F.lit((1 << 63) - 1))
+    return F.conv(F.substring(hash_order(seed, *keys), 1, 15), 16, 10).cast("bigint")
+
+
 def poisson_thresholds() -> list[int]:
     """Poisson(1) cumulative probabilities scaled to 32 bits, until they saturate."""
     thresholds: list[int] = []

@@ -37,3 +37,18 @@ def general_format(value: Column, digits: int = 12) -> Column:
     text = F.format_string(f"%.{digits}g", value)
     text = F.regexp_replace(text, r"(\.[0-9]*?)0+(e|$)", "$1$2")
     return F.regexp_replace(text, r"\.(e|$)", "$1")
+
+
+def order_free_sum(weight: str, value: str) -> str:
+    """SQL sum of ``weight`` times a double, the same in whatever order rows arrive.
+
+    Doubles are summed as whole numbers: the integer part and two 26-bit parts of the
+    fraction, each cut off exactly. Parts below 2**26 fit a BIGINT sum for 2**37 rows;
+    a sum that does not fit is an error in ANSI mode, never a wrapped value.
+    """
+    step = "CAST(67108864 AS DOUBLE)"
+    fraction = f"({value} - floor({value}))"
+    middle = f"floor({fraction} * {step})"
+    parts = (f"floor({value})", middle, f"floor(({fraction} * {step} - {middle}) * {step})")
+    sums = [f"CAST(sum({weight} * CAST({part} AS BIGINT)) AS DOUBLE)" for part in parts]
+    return f"({sums[0]} + {sums[1]} / {step} + {sums[2]} / {step} / {step})"

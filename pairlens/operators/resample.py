@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairlens.functions.hashing import hash_order, poisson_weight, uniform32
+from pairlens.functions.hashing import hash_order, poisson_weight, uniform32, uniform60
 from pairlens.operators.associate import (
     align,
     association,
@@ -66,7 +66,7 @@ def multinomial_draws(
 
     def draw(replicate: Column) -> Column:
         keys = (F.col("dataset_trait"), replicate, F.col("group_index"))
-        return uniform32(seed, *keys, fast=fast_hash) % F.col("group_rows")
+        return uniform60(seed, *keys, fast=fast_hash) % F.col("group_rows")
 
     slots = indexed.select("dataset_trait", "group_index", "group_rows")
     drawn = _replicated(slots, replicates, draw, "dataset_trait", "group_index")

@@ -42,7 +42,6 @@ LITERALS = (
     "GITHUB_TOKEN",
     "GH_TOKEN",
     "BEGIN PRIVATE KEY",
-    "code_export_handoff",
 )
 # Path and token patterns.
 REGEXES = (

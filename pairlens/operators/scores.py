@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
-from pairlens.functions.numeric import all_finite, zero_if_finite
+from pairlens.functions.numeric import all_finite, order_free_sum, zero_if_finite
 from pairlens.functions.scores import adapter_score
 from pairlens.vocabulary import (
     BASE_COLUMNS,
@@ -199,7 +199,7 @@ def mean_expressions(
                 if weighting == "row":
                     mean = f"sum({weight} * {total}) / sum({weight} * n)"
                 else:
-                    mean = f"sum({weight} * ({total} / n)) / sum({weight})"
+                    mean = f"{order_free_sum(weight, f'({total} / n)')} / sum({weight})"
                 means[formula, weighting, adapter] = mean
     return means
 

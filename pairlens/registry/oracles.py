@@ -53,9 +53,9 @@ def r(expr: str, digits: int, name: str) -> str:
     return f"round({expr}, {digits}) AS {name}"
 
 
-def uniform(*keys: str) -> str:
+def uniform(*keys: str, digits: int = 8) -> str:
     text = commas([quote(str(SEED)), *(f"CAST({k} AS VARCHAR)" for k in keys)])
-    return f"CAST(('0x' || substr(md5(concat_ws('|', {text})), 1, 8)) AS BIGINT)"
+    return f"CAST(('0x' || substr(md5(concat_ws('|', {text})), 1, {digits})) AS BIGINT)"
 
 
 def digest(*keys: str) -> str:
@@ -191,9 +191,15 @@ def ranked(source: str, by: str, names=("s", "e")) -> str:
 
 def multinomial(replicates: int, formulas, weightings) -> dict[str, str]:
     cells = [(f, w, a) for f in formulas for w in weightings for a in TRAITS]
+    # Whole numbers sum to the same total in any order: the integer part and two 26-bit parts of the fraction.
+    q, b = "(sum_{0}_{1} / n)", "CAST(67108864 AS DOUBLE)"
+    frac = f"(({q} - floor({q})) * {b})"
+    whole = f"CAST(sum(m * CAST(floor({q}) AS BIGINT)) AS DOUBLE)"
+    middle = f"CAST(sum(m * CAST(floor({frac}) AS BIGINT)) AS DOUBLE) / {b}"
+    rest = f"CAST(sum(m * CAST(floor(({frac} - floor({frac})) * {b}) AS BIGINT)) AS DOUBLE) / {b} / {b}"
     means = {
         "row": "sum(m * sum_{0}_{1}) / sum(m * n)",
-        "prompt": "sum(m * (sum_{0}_{1} / n)) / sum(m)",
+        "prompt": f"({whole} + {middle} + {rest}) / sum(m)",
     }
     columns = [f'{means[w].format(f, a)} AS "{f}/{w}/{a}"' for f, w, a in cells]
     long = [
@@ -207,7 +213,7 @@ def multinomial(replicates: int, formulas, weightings) -> dict[str, str]:
         "ORDER BY md5(prompt_hash), prompt_hash) - 1 AS i, "
         "count(*) OVER (PARTITION BY dataset_trait) AS groups FROM g",
         "mult": f"SELECT dataset_trait, b AS replicate, "
-        f"{uniform('dataset_trait', 'b', 'i')} % groups AS i, count(*) AS m "
+        f"{uniform('dataset_trait', 'b', 'i', digits=15)} % groups AS i, count(*) AS m "
         f"FROM idx, range({replicates}) AS x(b) GROUP BY 1, 2, 3",
         "bm": f"SELECT replicate, dataset_trait AS t, {commas(columns)} "
         "FROM mult JOIN idx USING (dataset_trait, i) GROUP BY 1, 2",

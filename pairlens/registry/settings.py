@@ -33,7 +33,6 @@ PLANTED_LINES = (
     "github_token here",
     "gh_token here",
     "begin private key",
-    "code_export_handoff",
     "at /home/user/file.txt now",
     "at C:" + "\\\\" + "Users" + "\\\\" + "me",
     "hf_" + "a1B2" * 6,

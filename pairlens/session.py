@@ -26,12 +26,14 @@ def tune(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees, as named in ``spark.checkpoint.dir``.
 
-    Only a session that names none (tests, local runs) gets a folder of its own.
+    Only a session with a local master (tests) that names none gets a folder of its own; a cluster must name one.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named
     if not spark.sparkContext.getCheckpointDir():
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pairlens-"))
     return spark.sparkContext.getCheckpointDir()
 

@@ -300,3 +300,16 @@ def test_published_matrices(spark):
     # Exact p-values over all row permutations, within three Monte-Carlo errors.
     assert abs(tested.p_one_sided - 0.048456) < 3 * math.sqrt(0.048456 * 0.9515 / 1e5)
     assert abs(tested.p_two_sided - 0.257711) < 3 * math.sqrt(0.257711 * 0.7423 / 1e5)
+
+
+def test_draws_reach_every_group_of_a_huge_dataset(spark):
+    """No index above 2**32 is out of reach, and none of the high half is rarer."""
+    from pairlens.operators.resample import multinomial_draws
+
+    groups = 10**10
+    slots = spark.range(400).selectExpr("'d' AS dataset_trait", "id AS group_index", f"{groups}L AS group_rows")
+    for fast in (False, True):
+        drawn = [r.group_index for r in multinomial_draws(slots, 5, fast_hash=fast).collect()]
+        assert len(drawn) == 2000 and 0 <= min(drawn) and max(drawn) < groups
+        assert sum(d >= groups // 2 for d in drawn) == pytest.approx(1000, abs=120)
+        assert sum(d >= 1 << 32 for d in drawn) > 900
