@@ -4,19 +4,21 @@ Documents with equal shingle sets are one representative. Independent trees bran
 the representatives: a node picks one position of the MinHash sketch, and with
 probability 1 / threshold - 1 a second one, and every member goes to the child named by
 its own minimum there. A pair at the threshold so shares one path a tree on average at
-any depth, and unlike pairs part. Starting at depth ``DEPTH``, every level
+any depth, and unlike pairs part. From depth ``DEPTH`` on, every round
 
-- compares each member of a node with the node's first member, and contracts what is linked,
 - closes the nodes whose members are all in one component by now,
-- compares the members of small nodes exhaustively across components; small is a node of
-  which at most ``FEW`` members lie outside its main component, so each member
-  meets at most so many others,
-- branches the other nodes.
-
-So a group of thousands of near copies is settled by a few comparisons per member, and
-no link between components is skipped because a node is large. Every link is
-confirmed on the full shingle sets, computed from both texts. Nodes that are
-still open after ``MAX_LEVELS`` such rounds are compared across components in full.
+- compares small nodes exhaustively and closes them; small is a node of which at most
+  ``BLOCK`` members lie outside its main component. Its members are dealt into blocks of
+  about ``BLOCK``, and each block meets all those outsiders: a task holds one block,
+- deals the members of other nodes into such blocks too and compares each block in itself, which
+  joins most of a group of near copies; what is not small after that is branched ``DEPTH`` levels further.
+
+So no task holds a large node, no link is skipped because a node is large, and a block
+returns only the links that join what it had apart. Representatives of at most ``WHOLE`` shingles are
+compared on their full sets, which they carry. Of longer ones the least ``WHOLE`` hashes
+are carried; pairs that these leave possible (five standard errors) are confirmed on the full
+sets, computed from both texts. Nodes still open after ``MAX_LEVELS`` rounds are
+compared in full, block by block.
 
 With 16 trees a pair exactly at 0.85 is missed by all of them with probability below
 1e-7, one at 0.8 below 1e-5; what matters is only that its component stays connected.
@@ -42,7 +44,8 @@ from pairlens.llm.common import empty_safe, materialized, mix, nonspace_table, p
 TREES = 16
 WIDTH = 64
 DEPTH = 3
-FEW = 10
+BLOCK = 256
+WHOLE = 256
 MAX_LEVELS = 14
 
 NONSPACE = nonspace_table()
@@ -89,8 +92,9 @@ def _sketches(size: int):
                         pa.array([key(s, 0x1234567) for s in sets], pa.int64()),
                         pa.array([key(s, 0xABCDEF12345) for s in sets], pa.int64()),
                         pa.array([sketch(s).tobytes() if len(s) else None for s in sets], pa.binary()),
+                        pa.array([s[:WHOLE].tobytes() for s in sets], pa.binary()),
                     ],
-                    names=["id", "n", "key1", "key2", "sketch"],
+                    names=["id", "n", "key1", "key2", "sketch", "least"],
                 )
 
     return run
@@ -146,6 +150,98 @@ def _descend(threshold: float):
     return run
 
 
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """The size of the intersection of any two of ``sets``."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = times > 1
+    kept = often[column]
+    owner, column = owner[kept], (np.cumsum(often) - 1)[column[kept]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for start in range(0, int(often.sum()), 4096):
+        a, b = np.searchsorted(column, [start, start + 4096])
+        table = np.zeros((len(sets), 4096), np.float32)
+        table[owner[a:b], column[a:b] - start] = 1
+        out += table @ table.T
+    return out.astype(np.int64)
+
+
+def compare_block(
+    n: np.ndarray, component: np.ndarray, least: list[np.ndarray], ratio: tuple[int, int]
+) -> list[tuple[int, int, bool]]:
+    """The links (position, position, sure) that join the components of a block.
+
+    Sure links are exact and form a forest. The others are to be confirmed: those that are near
+    certain form part of the forest, the possible ones between its trees come all.
+    """
+    both = shared_counts(least)
+    fits = np.minimum(n[:, None], n) * ratio[1] >= np.maximum(n[:, None], n) * ratio[0]
+    whole = n <= WHOLE
+    exact = whole[:, None] & whole
+    same = component[:, None] == component
+    links = exact & fits & (both > 0) & (ratio[1] * both >= ratio[0] * (n[:, None] + n - both))
+    threshold = ratio[0] / ratio[1]
+    margin = 5 * (threshold * (1 - threshold) / WHOLE) ** 0.5
+    possible = ~exact & ~same & fits & (both >= (threshold - margin) * WHOLE)
+    for i, j in zip(*np.nonzero(np.triu(possible, 1)), strict=True):
+        top = min(least[k][-1] for k in (i, j) if not whole[k])
+        union = sum(np.searchsorted(least[k], top, "right") for k in (i, j)) - both[i, j]
+        possible[i, j] = possible[j, i] = both[i, j] >= (threshold - margin) * union
+        links[i, j] = links[j, i] = both[i, j] >= (threshold + margin) * union
+    tree = np.full(len(n), -1)
+    out = []
+    for root in range(len(n)):
+        if tree[root] >= 0:
+            continue
+        tree[root] = root
+        todo = [root]
+        while todo:
+            at = todo.pop()
+            for near in np.flatnonzero((links[at] | same[at]) & (tree < 0)):
+                tree[near] = root
+                todo.append(near)
+                if not same[at, near]:
+                    out.append((at, near, bool(exact[at, near])))
+    apart = np.triu(possible & (tree[:, None] != tree), 1)
+    return out + [(i, j, False) for i, j in zip(*np.nonzero(apart), strict=True)]
+
+
+def _compare(ratio: tuple[int, int]):
+    """Runs ``compare_block`` on each run of rows with equal (node, block, part); a block may go on in the next batch."""
+
+    def found(block: pa.Table) -> Iterator[tuple[int, int, bool]]:
+        ids, first = np.unique(block["id"].to_numpy(), return_index=True)
+        block = block.take(pa.array(first))
+        least = [np.frombuffer(x, np.uint64) for x in block["least"].to_pylist()]
+        for i, j, sure in compare_block(block["n"].to_numpy(), block["component"].to_numpy(), least, ratio):
+            yield int(min(ids[i], ids[j])), int(max(ids[i], ids[j])), sure
+
+    def batch_of(rows: list[tuple[int, int, bool]]) -> pa.RecordBatch:
+        a, b, sure = zip(*rows, strict=True) if rows else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sure, pa.bool_())], names=["a", "b", "sure"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if rest is not None:
+                table = pa.concat_tables([rest, table]).combine_chunks()
+            if not table.num_rows:
+                continue
+            keys = [table[c].to_numpy() for c in ("node", "block", "part")]
+            cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+            borders = [0, *cuts.tolist()]
+            rows = [x for a, b in zip(borders[:-1], borders[1:], strict=True) for x in found(table.slice(a, b - a))]
+            rest = table.slice(borders[-1])
+            yield batch_of(rows)
+        if rest is not None:
+            yield batch_of(list(found(rest)))
+
+    return run
+
+
 def _confirm(size: int, ratio: tuple[int, int]):
     """Keeps the pairs whose full shingle sets are similar enough."""
 
@@ -210,8 +306,44 @@ class _Texts:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
-def _ordered(a: str, b: str) -> tuple:
-    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
+def _state(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``nodes`` (node, id, n) with the members' components, and per node its size, main component and members outside that.
+
+    Nodes of one component go. Of small nodes with the same members, one stays.
+    """
+    named = nodes.withColumn("component", F.col("id"))
+    if labels is not None:
+        named = nodes.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    marks = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"mark{k}") for k in (1, 2)]
+    counted = named.groupBy("node", "component").agg(F.count(F.lit(1)).alias("members"), *marks)
+    top = counted.groupBy("node").agg(
+        F.max(F.struct("members", "component")).alias("top"), F.sum("members").alias("size"),
+        *[F.bit_xor(m).alias(m) for m in ("mark1", "mark2")],
+    )
+    top = top.withColumn("outside", F.col("size") - F.col("top.members")).where("outside > 0")
+    small = F.col("outside") <= BLOCK
+    top = (
+        top.groupBy("size", F.when(small, F.col("mark1")).otherwise(F.col("node")).alias("mark1"), F.when(small, F.col("mark2")).alias("mark2"))
+        .agg(F.min(F.struct("node", F.col("top.component").alias("main"), "outside")).alias("x"))
+        .select("x.*", "size")
+    )
+    return named.join(top, "node")
+
+
+def _blocks(state: DataFrame, last: bool = False) -> DataFrame:
+    """(node, block, part, id, component): what one comparison holds. Small nodes are covered in full, others in part unless ``last``."""
+    blocks = F.ceil(F.col("size") / BLOCK)
+    parts = F.when(F.col("size") <= BLOCK, 0).otherwise(F.ceil(F.col("outside") / BLOCK))
+    if not last:
+        parts = F.when(F.col("outside") <= BLOCK, parts).otherwise(0)
+    dealt = state.withColumns({"blocks": blocks.cast("long"), "parts": parts.cast("long")})
+    own = dealt.withColumn("block", F.pmod(F.xxhash64("id", "node"), "blocks"))
+    meets = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("parts") - 1, F.lit(0)))) if last else F.lit(0)
+    own = own.withColumn("part", meets)
+    guests = dealt.where("parts > 0 AND component <> main").withColumn("part", F.pmod(F.xxhash64("node", "id"), "parts"))
+    guests = guests.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    columns = [*(F.col(c).cast("long").alias(c) for c in ("node", "block", "part")), "id", "component"]
+    return own.select(*columns).unionByName(guests.select(*columns))
 
 
 def near_duplicates(
@@ -227,72 +359,68 @@ def near_duplicates(
     """
     threshold = ratio[0] / ratio[1]
     plain = docs.select(F.col(doc_id).cast("long").alias("id"), empty_safe(F.col(text)).alias("text"))
-    sets = materialized(plain.mapInArrow(_sketches(size), "id long, n long, key1 long, key2 long, sketch binary"), "nd-sketches")
+    sets = materialized(plain.mapInArrow(_sketches(size), "id long, n long, key1 long, key2 long, sketch binary, least binary"), "nd-sketches")
     classes = materialized(
         sets.where("n > 0 AND id IS NOT NULL")
         .groupBy("key1", "key2")
-        .agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("sketch").alias("sketch")),
+        .agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("least").alias("least")),
         "nd-classes",
     )
-    similar = lambda x, y: F.least(x, y) * ratio[1] >= F.greatest(x, y) * ratio[0]
     planted = materialized(classes.select("id", "n", "sketch").mapInArrow(_plant(threshold), "node long, id long, n long"), "nd-nodes")
     shared = planted.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("node")
-    active = materialized(planted.join(shared, "node", "left_semi"), "nd-active")
+    fresh = planted.join(shared, "node", "left_semi")
 
-    links = labels = tested = texts = None
+    carried = classes.select("id", "n", "least")
+    links = labels = tested = texts = former = None
     for level in range(MAX_LEVELS + 1):
         last = level == MAX_LEVELS
-        for exhaustive in (False, True):
-            # The state of the nodes under the components found so far.
-            named = active.withColumn("component", F.col("id"))
-            if labels is not None:
-                named = active.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-            if not exhaustive:
-                lead = named.groupBy("node").agg(
-                    F.min(F.struct("id", "n", "component")).alias("lead"), F.min("component").alias("low"), F.max("component").alias("high")
-                )
-                pairs = named.join(lead.where("low < high"), "node")
-                pairs = pairs.where((F.col("component") != F.col("lead.component")) & similar(F.col("n"), F.col("lead.n")))
-                pairs = pairs.select(*_ordered("id", "lead.id"))
-            else:
-                counted = named.groupBy("node", "component").agg(F.count(F.lit(1)).alias("members"))
-                top = counted.groupBy("node").agg(F.max(F.struct("members", "component")).alias("top"), F.sum("members").alias("size"))
-                top = top.select("node", F.col("top.component").alias("main"), (F.col("size") - F.col("top.members")).alias("outside"))
-                active = materialized(named.join(top.where("outside > 0"), "node"), "nd-open")
-                near = active.where("true" if last else f"outside <= {FEW}")
-                few = near.where("component <> main").groupBy("node").agg(F.collect_list(F.struct("id", "n", "component")).alias("few"))
-                member = near.select("node", F.struct("id", "n", "component").alias("x")).join(few, "node")
-                x = F.col("x")
-                fit = F.filter("few", lambda y: (y["component"] != x["component"]) & similar(y["n"], x["n"]))
-                pairs = member.select("x", F.explode(fit).alias("y"))
-                pairs = pairs.select(*_ordered("x.id", "y.id"))
-            pairs = pairs.distinct()
-            if tested is not None:
-                pairs = pairs.join(tested, ["a", "b"], "left_anti")
-            pairs = materialized(pairs, "nd-pairs")
-            if not pairs.isEmpty():
-                tested = pairs if tested is None else tested.unionByName(pairs)
-                if texts is None:
-                    # Only members of shared nodes can be named by a later pair.
-                    texts = _Texts(plain, active.select("id").distinct())
-                found = (
-                    pairs.join(texts.table("a"), "a").join(texts.table("b"), "b")
-                    .select("a", "b", "text_a", "text_b").mapInArrow(_confirm(size, ratio), "a long, b long")
-                )
-                found = materialized(found, "nd-links")
-                if not found.isEmpty():
-                    links = found if links is None else links.unionByName(found)
-                    labels = components(links)
-        open_nodes = active.where(f"outside > {FEW}")
-        if last or open_nodes.isEmpty():
+        # What the round compares: new nodes, and those of the round before that have few outsiders by now.
+        work = None
+        if fresh is not None:
+            fresh = materialized(_state(fresh, labels), "nd-fresh")
+            work = _blocks(fresh)
+        if former is not None:
+            closing = former.where("true" if last else f"outside <= {BLOCK}")
+            work = _blocks(closing, last) if work is None else work.unionByName(_blocks(closing, last))
+        pairs = work.join(carried, "id").repartition(partitions_for(docs), "node", "block", "part")
+        pairs = pairs.sortWithinPartitions("node", "block", "part").select("node", "block", "part", "id", "component", "n", "least")
+        pairs = materialized(pairs.mapInArrow(_compare(ratio), "a long, b long, sure boolean"), "nd-pairs")
+        found = pairs.where("sure").select("a", "b")
+        unsure = pairs.where("NOT sure").select("a", "b").distinct()
+        if tested is not None:
+            unsure = unsure.join(tested, ["a", "b"], "left_anti")
+        unsure = materialized(unsure, "nd-unsure")
+        if not unsure.isEmpty():
+            tested = unsure if tested is None else tested.unionByName(unsure)
+            if texts is None:
+                # Only members of shared nodes are named by a pair, and no pair to be confirmed holds a shorter text.
+                long_ones = planted.join(shared, "node", "left_semi").where(F.col("n") >= int(WHOLE * threshold))
+                texts = _Texts(plain, long_ones.select("id").distinct())
+            confirmed = (
+                unsure.join(texts.table("a"), "a").join(texts.table("b"), "b")
+                .select("a", "b", "text_a", "text_b").mapInArrow(_confirm(size, ratio), "a long, b long")
+            )
+            found = found.unionByName(materialized(confirmed, "nd-links"))
+        if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            labels = components(links)
+        if last or fresh is None:
+            break
+        wide = fresh.where(f"outside > {BLOCK}").select("node", "id", "n")
+        former = materialized(_state(wide, labels), "nd-open")
+        below = former.where(f"outside > {BLOCK}")
+        if former.isEmpty():
             break
-        below = open_nodes.select("node", "id", "n").join(classes.select("id", "sketch"), "id")
-        active = materialized(below.mapInArrow(_descend(threshold), "node long, id long, n long"), "nd-nodes")
+        if level + 1 == MAX_LEVELS or below.isEmpty():
+            fresh = None
+            continue
+        children = below.select("node", "id", "n").join(classes.select("id", "sketch"), "id")
+        fresh = materialized(children.mapInArrow(_descend(threshold), "node long, id long, n long"), "nd-nodes")
     if texts is not None:
         texts.drop()
 
     named = classes.select("key1", "key2", F.col("id").alias("class_id"))
-    out = sets.drop("sketch").join(named, ["key1", "key2"], "left")
+    out = sets.drop("sketch", "least").join(named, ["key1", "key2"], "left")
     if labels is not None:
         out = out.join(labels.select(F.col("id").alias("class_id"), "component"), "class_id", "left")
     else:

@@ -16,6 +16,7 @@ from pairlens.llm.bpe import PrefixEncoder, Prefixes, decode_ids, encode_texts,
 from pairlens.llm.decontaminate import contamination
 from pairlens.llm.html_extract import extract, fit_trees, main_text
 from pairlens.llm.line_dedup import LineRuns, drop_frequent_lines, line_keys
+from pairlens.llm import near_dedup
 from pairlens.llm.near_dedup import components, near_duplicates
 from pairlens.llm.quality_lm import classify
 from pairlens.llm.quality_rules import judge_quality
@@ -113,6 +114,28 @@ def test_near_duplicates(docs, rows, size, ratio):
         assert (r.n_shingles, r.component_id, r.kept) == (len(sets[i]), component[i], component[i] == i)
 
 
+@pytest.mark.parametrize("limits", [{"BLOCK": 4}, {"BLOCK": 3, "MAX_LEVELS": 1}])
+def test_near_duplicates_in_wide_nodes(docs, rows, limits, monkeypatch):
+    """Blocks, branching and the full comparison at the end, forced by small limits; more members are similar by just less than the threshold."""
+    rng = random.Random(9)
+    base = sentence(rng, 70).split(" ")
+    more = []
+    for k in range(60):
+        words = list(base)
+        for at in rng.sample(range(70), k % 6):
+            words[at] = f"w{k}x{at}"
+        more.append((1000 + k, " ".join(words), "en", "x", k))
+    for k in range(12):  # longer than the sets that are carried whole
+        words = [f"l{i}" for i in range(900)]
+        for at in rng.sample(range(900), 8 * k):
+            words[at] = f"w{k}x{at}"
+        more.append((2000 + k, " ".join(words), "en", "x", k))
+    wide = docs.sparkSession.createDataFrame(rows + more, SCHEMA).repartition(4)
+    for name, value in limits.items():
+        monkeypatch.setattr(near_dedup, name, value)
+    test_near_duplicates(wide, rows + more, 3, (85, 100))
+
+
 def test_near_duplicates_odd_tables(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     out = near_duplicates(spark.createDataFrame([(None, "a b c d e f", "en", "", 1), (4, "a b c d e f", "en", "", 1), (4, "a b c d e f", "en", "", 1)], SCHEMA))
