@@ -592,7 +592,7 @@ def repeatability_sql() -> str:
 
 
 def study_sql() -> str:
-    boot = replicate_r(multinomial(FEW_REPLICATES, ["sum"], ["row"]))
+    boot = replicate_r(multinomial(REPLICATES, ["sum"], ["row"]))
     boot["bcal"] = boot.pop("cal")
     boot["br"] = boot.pop("br").replace("FROM cal ", "FROM bcal ")
     ctes = {
@@ -611,7 +611,7 @@ def study_sql() -> str:
         "rawsep": "SELECT c, t, value AS s, e FROM base_ JOIN target USING (c, t) "
         "WHERE formula = 'separate' AND c <> t",
         "rawsepr": ranked("rawsep", "t"),
-        **permutations(FEW_DRAWS),
+        **permutations(DRAWS),
         "null_r": NULL_DRAWS,
         "obs": OBSERVED,
         "pv": PVALUES,
@@ -850,7 +850,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "bootstrap_poisson": query(poisson(FEW_REPLICATES, ["sum"], WEIGHTINGS), boot_cells),
         "bootstrap_associations": query(
-            replicate_r(multinomial(FEW_REPLICATES, ["sum"], ["row"])),
+            replicate_r(multinomial(REPLICATES, FORMULAS, WEIGHTINGS)),
             f"SELECT replicate, formula, weighting, cells, {r('r', 8, 'r')} FROM br",
         ),
         "bootstrap_interval": query(
@@ -864,7 +864,7 @@ def oracle_sql() -> dict[str, str]:
             "SELECT draw, perm.c AS c, source, t, e FROM perm JOIN target ON target.c = source",
         ),
         "perm_null": query(
-            {**PRIMARY, **permutations(FEW_DRAWS)},
+            {**PRIMARY, **permutations(DRAWS)},
             f"SELECT draw, {r('r', 9, 'r')} FROM ({NULL_DRAWS})",
         ),
         "perm_pvalue": query(

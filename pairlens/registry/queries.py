@@ -255,11 +255,9 @@ def bootstrap_poisson(spark, sf_dir):
 
 @register
 def bootstrap_associations(spark, sf_dir):
-    stats = _stats(spark, sf_dir, ["sum"])
+    stats = _stats(spark, sf_dir)
     target = fx.quantity_target(spark, sf_dir)
-    cells = resample.bootstrap_groups(
-        stats, TRAITS, FEW_REPLICATES, SEED, formulas=["sum"], weightings=["row"]
-    )
+    cells = resample.bootstrap_groups(stats, TRAITS, REPLICATES, SEED)
     return rounded(resample.bootstrap_associations(cells, target, TRAITS), 8, "r")
 
 
@@ -294,7 +292,7 @@ def perm_draws(spark, sf_dir):
 def perm_null(spark, sf_dir):
     target = fx.quantity_target(spark, sf_dir)
     null = resample.row_block_permutation(
-        _primary(spark, sf_dir), target, TRAITS, FEW_DRAWS, SEED
+        _primary(spark, sf_dir), target, TRAITS, DRAWS, SEED
     )
     return rounded(null, 9, "r")
 
@@ -315,8 +313,8 @@ def headline_study(spark, sf_dir):
         TRAITS,
         COLUMN,
         NAMED,
-        FEW_REPLICATES,
-        FEW_DRAWS,
+        REPLICATES,
+        DRAWS,
         SEED,
     )
     return rounded(metrics, 8, "value")
