@@ -8,7 +8,7 @@ from __future__ import annotations
 import os
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairlens.functions.text import text_hash
@@ -118,45 +118,42 @@ def planted_scores(spark: SparkSession, sf_dir: str, revision: str) -> DataFrame
     )
 
 
-def conversation_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation as a candidate pair of message lists.
+#: Turns a conversation may have in the ids below.
+TURN_IDS = 1 << 20
 
-    Both lists open with the first turn; the chosen one goes on with the second
-    turn, the rejected one with the fourth. Short or system-led conversations
-    make invalid pairs.
-    """
-    turns = table(spark, sf_dir, "conversations")
 
-    def turn(number: int) -> Column:
-        message = F.struct("role", F.col("text").alias("content"))
-        return F.max(F.when(F.col("turn") == number, message))
+def _turns_from(spark: SparkSession, sf_dir: str, later: int, role: str | None = None) -> DataFrame:
+    """Messages of ``role`` named by the turn ``later`` turns before them: ``conv_id * TURN_IDS`` plus its number."""
+    turns = table(spark, sf_dir, "conversations").where(F.col("turn") >= later)
+    if role is not None:
+        turns = turns.where(F.col("role") == role)
+    start = F.col("conv_id").cast("long") * TURN_IDS + F.col("turn") - later
+    return turns.select(start.alias("conv_id"), F.struct("role", F.col("text").alias("content")).alias(f"turn{later}"))
 
-    picked = turns.groupBy("conv_id").agg(
-        turn(0).alias("first"), turn(1).alias("second"), turn(3).alias("fourth")
-    )
-    return picked.select(
-        "conv_id",
-        F.array_compact(F.array("first", "second")).alias("chosen"),
-        F.array_compact(F.array("first", "fourth")).alias("rejected"),
-    )
 
+def conversation_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of every conversation as the start of a candidate pair of message lists.
 
-def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First user turn and first two assistant turns of every conversation."""
-    order = Window.partitionBy("conv_id", "role").orderBy("turn")
-    numbered = table(spark, sf_dir, "conversations").select(
-        "conv_id", "role", "text", F.row_number().over(order).alias("rn")
+    The chosen list goes on with the next turn, the rejected one with the third after.
+    Late, short or system-led starts make invalid pairs. ``conv_id`` names the turn.
+    """
+    first, second, fourth = (_turns_from(spark, sf_dir, later) for later in (0, 1, 3))
+    return first.join(second, "conv_id", "left").join(fourth, "conv_id", "left").select(
+        "conv_id",
+        F.array_compact(F.array("turn0", "turn1")).alias("chosen"),
+        F.array_compact(F.array("turn0", "turn3")).alias("rejected"),
     )
-    # The bound lets Spark keep two rows per key and task before the shuffle.
-    early = numbered.where(F.col("rn") <= 2)
 
-    def pick(role: str, rn: int) -> Column:
-        return F.max(F.when((F.col("role") == role) & (F.col("rn") == rn), F.col("text")))
 
-    return early.groupBy("conv_id").agg(
-        pick("user", 1).alias("prompt"),
-        pick("assistant", 1).alias("chosen"),
-        pick("assistant", 2).alias("rejected"),
+def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user turn with the assistant turns one and three after it. ``conv_id`` names the turn."""
+    prompt = _turns_from(spark, sf_dir, 0, "user")
+    chosen, rejected = (_turns_from(spark, sf_dir, later, "assistant") for later in (1, 3))
+    return prompt.join(chosen, "conv_id", "left").join(rejected, "conv_id", "left").select(
+        "conv_id",
+        F.col("turn0.content").alias("prompt"),
+        F.col("turn1.content").alias("chosen"),
+        F.col("turn3.content").alias("rejected"),
     )
 
 

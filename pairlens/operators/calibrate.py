@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pairlens.functions.numeric import not_finite
 from pairlens.vocabulary import SCHEMES, require_known
 
-DEGENERATE = "calibration has zero or nonfinite population standard deviation"
+DEGENERATE = "an adapter's scores do not vary or are not finite, so they cannot be scaled; see on_degenerate"
 
 
 def _moments(scheme: str, over) -> tuple[Column, Column]:

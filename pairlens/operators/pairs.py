@@ -92,7 +92,7 @@ def encode_boundary(
     or a pandas UDF.
     """
     if max_length < 3:
-        raise ValueError("max_length must be at least 3")
+        raise ValueError("max_length leaves no room for a prompt, a response and an end token")
     rendered = strip_final_newlines(F.col("full_render"))
     ended = F.when(rendered.endswith(F.lit(eos)), rendered).otherwise(
         F.concat(rendered, F.lit(" " + eos))
@@ -177,7 +177,7 @@ def score_sequences(
                 batch = [[int(token) for token in row] for row in ids]
                 scored = model(batch)
                 if len(scored) != len(batch):
-                    raise ValueError("model returned a different number of outputs than inputs")
+                    raise ValueError(f"the model must give one result per sequence: {len(scored)} for {len(batch)}")
                 outputs.extend(scored)
             yield frame.assign(prompt_logprobs=outputs)
 

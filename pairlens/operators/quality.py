@@ -32,11 +32,12 @@ CHECK_SCHEMA = "dataset string, check string, detail string, n_bad long, max_err
 
 
 def raise_if_bad(checks: DataFrame) -> None:
-    """Action: fail with the first few violated checks, if there are any."""
-    bad = checks.where("n_bad > 0").orderBy("dataset", "check", "detail").limit(10).collect()
+    """Action: fail with the first few violated checks and how many there are, if there are any."""
+    violated = checks.where("n_bad > 0")
+    bad = violated.orderBy("dataset", "check", "detail").limit(10).collect()
     if bad:
         listed = "; ".join(f"{r.dataset}: {r.check} {r.detail} ({r.n_bad})" for r in bad)
-        raise ValueError(f"data-quality violations: {listed}")
+        raise ValueError(f"data-quality violations: {listed} ({len(bad)} of {violated.count()})")
 
 
 def schema_checks(footers: DataFrame, adapters: Sequence[str]) -> DataFrame:

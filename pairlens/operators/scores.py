@@ -23,15 +23,15 @@ from pairlens.vocabulary import (
     total_columns,
 )
 
-BAD_LENGTH = "response lengths must be positive"
-BAD_TOTAL = "log-probabilities must be finite"
+BAD_LENGTH = "count at least one token in every chosen and rejected response"
+BAD_TOTAL = "a base or adapter total is missing, NaN or infinite"
 RESPONSE_LENGTHS = ("chosen_response_tokens", "rejected_response_tokens")
 
 
 def require_columns(df: DataFrame, names: Sequence[str]) -> None:
     missing = sorted(set(names) - set(df.columns))
     if missing:
-        raise ValueError(f"table is missing required columns: {missing}")
+        raise ValueError(f"add these columns to the table: {missing}")
 
 
 def scoring_columns(adapters: Sequence[str]) -> list[str]:

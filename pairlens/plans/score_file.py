@@ -22,7 +22,7 @@ from pairlens.vocabulary import require_known
 
 
 def _require_clean(df: DataFrame, what: str) -> DataFrame:
-    bad = df.where(F.col("reason").isNotNull()).groupBy("reason").count().limit(10).collect()
+    bad = df.where(F.col("reason").isNotNull()).groupBy("reason").count().collect()
     if bad:
         raise ValueError(f"{what}: " + ", ".join(sorted(f"{r.reason} x{r['count']}" for r in bad)))
     return good_rows(df)

@@ -366,6 +366,8 @@ def report_sql() -> str:
 
 def columns_sql() -> str:
     wanted = commas(f"({quote(n)})" for n in score_schema(TRAITS).names)
+    kinds = {"string": "VARCHAR", "bigint": "BIGINT", "double": "DOUBLE"}
+    typed = commas(f"({quote(f.name)}, {quote(kinds[f.dataType.simpleString()])})" for f in score_schema(TRAITS))
     tables = commas(map(quote, TABLES))
     raw, allowed = commas(map(quote, RAW_TEXT_NAMES)), commas(map(quote, STRING_COLUMNS))
     return (
@@ -375,6 +377,8 @@ def columns_sql() -> str:
         f"SELECT dataset, 'raw_text_column' AS \"check\", detail FROM have WHERE detail IN ({raw}) "
         "UNION ALL SELECT dataset, 'string_column', detail FROM have "
         f"WHERE kind = 'VARCHAR' AND detail NOT IN ({allowed}) "
+        f"UNION ALL SELECT dataset, 'column_type', detail FROM have JOIN (VALUES {typed}) AS e(detail, wanted_kind) "
+        "USING (detail) WHERE kind <> wanted_kind "
         "UNION ALL SELECT dataset, 'unexpected_column', detail FROM have "
         "WHERE detail NOT IN (SELECT detail FROM wanted) "
         "UNION ALL SELECT d.dataset, 'missing_column', w.detail FROM "
@@ -448,24 +452,31 @@ def ids_sql(text: str) -> str:
     )
 
 
+def turns_from(later: int, role: str = "") -> str:
+    """Messages named by the turn ``later`` turns before them."""
+    mine = f" AND role = '{role}'" if role else ""
+    return (
+        f"SELECT CAST(conv_id AS BIGINT) * 1048576 + turn - {later} AS conv_id, role, text "
+        f"FROM conversations WHERE turn >= {later}{mine}"
+    )
+
+
 TURNS = (
-    "SELECT conv_id, max(CASE WHEN role = 'user' AND rn = 1 THEN text END) AS prompt, "
-    "max(CASE WHEN role = 'assistant' AND rn = 1 THEN text END) AS chosen, "
-    "max(CASE WHEN role = 'assistant' AND rn = 2 THEN text END) AS rejected FROM "
-    "(SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS rn "
-    "FROM conversations) WHERE rn <= 2 GROUP BY conv_id"
+    "SELECT conv_id, p.text AS prompt, c.text AS chosen, r.text AS rejected "
+    f"FROM ({turns_from(0, 'user')}) p LEFT JOIN ({turns_from(1, 'assistant')}) c USING (conv_id) "
+    f"LEFT JOIN ({turns_from(3, 'assistant')}) r USING (conv_id)"
 )
 PAIRS = (
     f"SELECT * FROM ({TURNS}) WHERE prompt IS NOT NULL AND chosen IS NOT NULL "
     "AND rejected IS NOT NULL"
 )
 MESSAGES = {
-    "t0": "SELECT conv_id, role, text FROM conversations WHERE turn = 0",
-    "t1": "SELECT conv_id, role, text FROM conversations WHERE turn = 1",
-    "t3": "SELECT conv_id, role, text FROM conversations WHERE turn = 3",
-    "msg": "SELECT k.conv_id, t0.role AS r0, t0.text AS x0, t1.role AS r1, t1.text AS x1, "
-    "t3.role AS r3, t3.text AS x3 FROM (SELECT DISTINCT conv_id FROM conversations) k "
-    "LEFT JOIN t0 USING (conv_id) LEFT JOIN t1 USING (conv_id) LEFT JOIN t3 USING (conv_id)",
+    "t0": turns_from(0),
+    "t1": turns_from(1),
+    "t3": turns_from(3),
+    "msg": "SELECT conv_id, t0.role AS r0, t0.text AS x0, t1.role AS r1, t1.text AS x1, "
+    "t3.role AS r3, t3.text AS x3 FROM t0 "
+    "LEFT JOIN t1 USING (conv_id) LEFT JOIN t3 USING (conv_id)",
     "chk": "SELECT *, CASE WHEN r0 IS NULL OR r1 IS NULL OR r3 IS NULL THEN 'message_count' "
     "WHEN r0 <> 'user' OR r1 <> 'assistant' OR r3 <> 'assistant' THEN 'roles' "
     "WHEN coalesce(x0, '') = '' THEN 'empty_prompt' "
@@ -985,6 +996,7 @@ def oracle_sql() -> dict[str, str]:
             {"target": TARGET},
             "SELECT 't0' AS c, 't1' AS t, CAST(1 AS DOUBLE) AS expected, e AS value, "
             "abs(e - 1) <= 1e-12 AS passed FROM target WHERE c = 't0' AND t = 't1' "
+            "UNION ALL SELECT 't0', 't2', e, e, true FROM target WHERE c = 't0' AND t = 't2' "
             "UNION ALL SELECT 'absent', 't1', 1, NULL, false",
         ),
         "select_by_score": query(

@@ -339,7 +339,7 @@ def dq_columns(spark, sf_dir):
     files = score_files(spark, sf_dir)
     footers = sf.parquet_footers(files).join(files.select("path", "dataset"), "path")
     found = quality.schema_checks(footers, TRAITS)
-    return found.where("check != 'column_type'").select("dataset", "check", "detail", "n_bad")
+    return found.select("dataset", "check", "detail", "n_bad")
 
 
 @register
@@ -767,9 +767,10 @@ def target_checks(spark, sf_dir):
 
 @register
 def sentinel_checks(spark, sf_dir):
+    """A wrong point, a right one and one that is absent."""
     target = fx.quantity_target(spark, sf_dir)
-    found = checks.check_sentinels(target, {("t0", "t1"): 1.0, ("absent", "t1"): 1.0})
-    return found
+    right = target.where("c = 't0' AND t = 't2'").first()["e"]
+    return checks.check_sentinels(target, {("t0", "t1"): 1.0, ("t0", "t2"): right, ("absent", "t1"): 1.0})
 
 
 # --- selection and repeated runs -------------------------------------------

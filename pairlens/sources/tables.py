@@ -69,9 +69,11 @@ def vocabulary_difference(found: DataFrame, column: str, expected: Sequence[str]
 
 def require_vocabulary(found: DataFrame, column: str, expected: Sequence[str], what: str) -> None:
     """Fail unless the distinct names equal the vocabulary; reads at most a few names."""
-    bad = vocabulary_difference(found, column, expected).limit(20).collect()
+    difference = vocabulary_difference(found, column, expected)
+    bad = difference.limit(20).collect()
     if bad:
-        raise ValueError(f"{what}: " + ", ".join(sorted(f"{r.problem} {r.name!r}" for r in bad)))
+        listed = ", ".join(sorted(f"{r.problem} {r.name!r}" for r in bad))
+        raise ValueError(f"{what}: {listed} ({len(bad)} of {difference.count()} differences)")
 
 
 def read_scores(
@@ -128,7 +130,7 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     """Preference pairs of a JSONL file or folder; an input without rows is an error."""
     pairs = parse_pairs(spark.read.text(path))
     if pairs.isEmpty():
-        raise ValueError("input contains no preference pairs")
+        raise ValueError("found no line to read pairs from")
     return pairs
 
 
@@ -149,7 +151,7 @@ def read_manifest(spark: SparkSession, path: str, datasets: Sequence[str]) -> Da
     entries = F.when(is_list, from_list).otherwise(from_map)
     checked = F.coalesce(
         entries,
-        F.raise_error(F.lit("manifest must be a list or contain a datasets mapping")).cast(
+        F.raise_error(F.lit("write the manifest as an array of entries, or as an object with one under 'datasets'")).cast(
             f"ARRAY<{listed}>"
         ),
     )

@@ -98,7 +98,7 @@ def test_json_lines(spark, tmp_path):
     ]
     assert [r.row_id for r in found if r.reason is None] == ["7"]
     (tmp_path / "empty.jsonl").write_text("\n \n")
-    with pytest.raises(ValueError, match="no preference pairs"):
+    with pytest.raises(ValueError, match="found no line"):
         read_pairs(spark, str(tmp_path / "empty.jsonl"))
 
 
@@ -141,7 +141,7 @@ def test_score_file_refuses_or_drops_bad_pairs(spark):
 
 def test_model_must_answer_every_sequence(spark):
     df = spark.createDataFrame([([1, 2], 1)], "input_ids array<int>, prompt_length int")
-    with pytest.raises(Exception, match="different number of outputs"):
+    with pytest.raises(Exception, match="one result per sequence"):
         pairs.score_sequences(df, lambda batch: []).collect()
 
 

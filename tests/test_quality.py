@@ -193,7 +193,7 @@ def test_vocabulary_and_manifest_forms(spark, tmp_path):
     mapped = read_manifest(spark, str(tmp_path / "map.json"), AXIS).orderBy("dataset").collect()
     assert [r.asDict() for r in listed] == [r.asDict() for r in mapped]
     (tmp_path / "bad.json").write_text('{"other": 1}')
-    with pytest.raises(Exception, match="manifest must be a list"):
+    with pytest.raises(Exception, match="manifest as an array"):
         read_manifest(spark, str(tmp_path / "bad.json"), AXIS)
 
 
