@@ -1,27 +1,30 @@
 """MinHash near-dedup by a chosen-path set similarity join.
 
 Documents with equal shingle sets are one representative. Independent trees branch
-the representatives: a node picks one position of the MinHash sketch, and with
+the representatives ``DEPTH`` levels deep: a node picks one position of the MinHash sketch, and with
 probability 1 / threshold - 1 a second one, and every member goes to the child named by
-its own minimum there. A pair at the threshold so shares one path a tree on average at
-any depth, and unlike pairs part. From depth ``DEPTH`` on, every round
+its own minimum there. Every level of every tree has two positions of its own, so trees
+are independent. Nodes are never parted further; those of two or more members are compared in rounds:
 
-- closes the nodes whose members are all in one component by now,
-- compares small nodes exhaustively and closes them; small is a node of which at most
+- nodes whose members are all in one component by now are closed,
+- small nodes are compared exhaustively and closed; small is a node of which at most
   ``BLOCK`` members lie outside its main component. Its members are dealt into blocks of
   about ``BLOCK``, and each block meets all those outsiders: a task holds one block,
-- deals the members of other nodes into such blocks too and compares each block in itself, which
-  joins most of a group of near copies; what is not small after that is branched ``DEPTH`` levels further.
+- the members of other nodes are dealt into such blocks too and each block is compared in itself, which
+  joins most of a group of near copies. After ``MAX_LEVELS`` such rounds, dealt anew each time, what
+  is not small is compared in full, each block with all outsiders, part by part.
 
 So no task holds a large node, no link is skipped because a node is large, and a block
-returns only the links that join what it had apart. Representatives of at most ``WHOLE`` shingles are
+returns only the links that join what it had apart. The full comparison grows with members times outsiders
+of a node. Representatives of at most ``WHOLE`` shingles are
 compared on their full sets, which they carry. Of longer ones the least ``WHOLE`` hashes
 are carried; pairs that these leave possible (five standard errors) are confirmed on the full
-sets, computed from both texts. Nodes still open after ``MAX_LEVELS`` rounds are
-compared in full, block by block.
+sets, computed from both texts.
 
-With 16 trees a pair exactly at 0.85 is missed by all of them with probability below
-1e-7, one at 0.8 below 1e-5; what matters is only that its component stays connected.
+A pair of similarity J is parted at a level with probability q = (2 - 1 / t) (1 - J) + (1 / t - 1) (1 - J) ** 2
+at most, t being the threshold, and by all trees with at most (1 - (1 - q) ** DEPTH) ** TREES: below
+1e-7 for a pair exactly at 0.85, below 1e-6 at 0.8. That holds in groups of any size, as every pair that
+shares a node is compared, or is in one component already.
 
 Cases: texts of fewer words than a shingle have their whole sequence as the only
 shingle; texts without words have an empty set and link to nothing. Rows that share
@@ -42,11 +45,11 @@ from pyspark.sql import functions as F
 from pairlens.llm.common import empty_safe, materialized, mix, nonspace_table, partitions_for, scratch_path, slices, texts_of, windows_hash, words_of
 
 TREES = 16
-WIDTH = 64
 DEPTH = 3
 BLOCK = 256
 WHOLE = 256
-MAX_LEVELS = 14
+MAX_LEVELS = 2
+WIDTH = TREES * DEPTH * 2
 
 NONSPACE = nonspace_table()
 _RANDOM = np.random.default_rng(20240501)
@@ -78,76 +81,58 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sketches(size: int):
+def plant(sketches: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row of the sketch, node) of every path, all trees down to ``DEPTH``."""
+    owners = np.tile(np.arange(len(sketches)), TREES)
+    trees = np.repeat(np.arange(TREES), len(sketches))
+    nodes = mix(trees.astype(np.uint64) + np.uint64(1))
+    for level in range(DEPTH):
+        chance = (mix(nodes ^ np.uint64(0xB5297A4D)) >> np.uint64(11)).astype(float) * 2.0**-53
+        two = chance < 1 / threshold - 1
+        first = (trees * DEPTH + level) * 2
+        at = np.concatenate([first, first[two] + 1])
+        owners, trees, parents = (np.concatenate([x, x[two]]) for x in (owners, trees, nodes))
+        values = sketches[owners, at].astype(np.uint64)
+        nodes = mix(mix(parents + np.uint64(0x9E3779B97F4A7C15)) ^ mix(values + (at.astype(np.uint64) << np.uint64(32))))
+    return owners, nodes
+
+
+def _sketches(size: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = texts_of(batch["text"])
             for a, b in slices(texts):
                 sets = shingle_sets(texts[a:b], size)
                 key = lambda s, salt: int(mix(s ^ np.uint64(salt)).sum(dtype=np.uint64).view(np.int64))
+                full = [k for k, s in enumerate(sets) if len(s)]
+                owners, nodes = plant(np.array([sketch(sets[k]) for k in full], np.uint32).reshape(-1, WIDTH), threshold)
+                nodes = np.split(nodes[np.argsort(owners, kind="stable")], np.cumsum(np.bincount(owners, minlength=len(full)))[:-1])
+                planted = {k: x.tobytes() for k, x in zip(full, nodes, strict=False)}
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch["id"].slice(a, b - a),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([key(s, 0x1234567) for s in sets], pa.int64()),
                         pa.array([key(s, 0xABCDEF12345) for s in sets], pa.int64()),
-                        pa.array([sketch(s).tobytes() if len(s) else None for s in sets], pa.binary()),
+                        pa.array([planted.get(k) for k in range(b - a)], pa.binary()),
                         pa.array([s[:WHOLE].tobytes() for s in sets], pa.binary()),
                     ],
-                    names=["id", "n", "key1", "key2", "sketch", "least"],
+                    names=["id", "n", "key1", "key2", "nodes", "least"],
                 )
 
     return run
 
 
-def branch(owner: np.ndarray, nodes: np.ndarray, sketches: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """One level down: (row of the sketch, child node) for every path that goes on."""
-    draw = mix(nodes ^ np.uint64(0x5DEECE66D))
-    first = draw % np.uint64(WIDTH)
-    step = np.uint64(1) + (draw >> np.uint64(32)) % np.uint64(WIDTH - 1)
-    chance = (mix(nodes ^ np.uint64(0xB5297A4D)) >> np.uint64(11)).astype(float) * 2.0**-53
-    two = chance < 1 / threshold - 1
-    owners = np.concatenate([owner, owner[two]])
-    parents = np.concatenate([nodes, nodes[two]])
-    at = np.concatenate([first, (first[two] + step[two]) % np.uint64(WIDTH)])
-    values = sketches[owners, at.astype(np.int64)].astype(np.uint64)
-    return owners, mix(mix(parents + np.uint64(0x9E3779B97F4A7C15)) ^ mix(values + (at << np.uint64(32))))
-
-
-def _rows(batch: pa.RecordBatch, owners: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
-    at = pa.array(owners)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(nodes.view(np.int64)), batch["id"].take(at), batch["n"].take(at)], names=["node", "id", "n"]
-    )
-
-
-def _plant(threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(0, whole.num_rows, 2000):
-                batch = whole.slice(k, 2000)
-                sketches = np.frombuffer(b"".join(batch["sketch"].to_pylist()), "<u4").reshape(-1, WIDTH)
-                owners = np.tile(np.arange(len(sketches)), TREES)
-                nodes = np.repeat(mix(np.arange(1, TREES + 1, dtype=np.uint64)), len(sketches))
-                for _ in range(DEPTH):
-                    owners, nodes = branch(owners, nodes, sketches, threshold)
-                yield _rows(batch, owners, nodes)
-
-    return run
-
-
-def _descend(threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(0, whole.num_rows, 20_000):
-                batch = whole.slice(k, 20_000)
-                sketches = np.frombuffer(b"".join(batch["sketch"].to_pylist()), "<u4").reshape(-1, WIDTH)
-                owners, nodes = np.arange(len(sketches)), batch["node"].to_numpy().view(np.uint64)
-                for _ in range(DEPTH):
-                    owners, nodes = branch(owners, nodes, sketches, threshold)
-                yield _rows(batch, owners, nodes)
-
-    return run
+def _planted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per node of each row."""
+    for whole in batches:
+        for k in range(0, whole.num_rows, 2000):
+            batch = whole.slice(k, 2000)
+            nodes = [np.frombuffer(x, np.int64) for x in batch["nodes"].to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(nodes)), [len(x) for x in nodes]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(nodes)), batch["id"].take(at), batch["n"].take(at)], names=["node", "id", "n"]
+            )
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -309,7 +294,7 @@ class _Texts:
 def _state(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
     """``nodes`` (node, id, n) with the members' components, and per node its size, main component and members outside that.
 
-    Nodes of one component go. Of small nodes with the same members, one stays.
+    Nodes of one component go. Of nodes with the same members, one stays.
     """
     named = nodes.withColumn("component", F.col("id"))
     if labels is not None:
@@ -321,23 +306,22 @@ def _state(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
         *[F.bit_xor(m).alias(m) for m in ("mark1", "mark2")],
     )
     top = top.withColumn("outside", F.col("size") - F.col("top.members")).where("outside > 0")
-    small = F.col("outside") <= BLOCK
     top = (
-        top.groupBy("size", F.when(small, F.col("mark1")).otherwise(F.col("node")).alias("mark1"), F.when(small, F.col("mark2")).alias("mark2"))
+        top.groupBy("size", "mark1", "mark2")
         .agg(F.min(F.struct("node", F.col("top.component").alias("main"), "outside")).alias("x"))
         .select("x.*", "size")
     )
     return named.join(top, "node")
 
 
-def _blocks(state: DataFrame, last: bool = False) -> DataFrame:
+def _blocks(state: DataFrame, level: int, last: bool) -> DataFrame:
     """(node, block, part, id, component): what one comparison holds. Small nodes are covered in full, others in part unless ``last``."""
     blocks = F.ceil(F.col("size") / BLOCK)
     parts = F.when(F.col("size") <= BLOCK, 0).otherwise(F.ceil(F.col("outside") / BLOCK))
     if not last:
         parts = F.when(F.col("outside") <= BLOCK, parts).otherwise(0)
     dealt = state.withColumns({"blocks": blocks.cast("long"), "parts": parts.cast("long")})
-    own = dealt.withColumn("block", F.pmod(F.xxhash64("id", "node"), "blocks"))
+    own = dealt.withColumn("block", F.pmod(F.xxhash64("id", "node", F.lit(level)), "blocks"))
     meets = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("parts") - 1, F.lit(0)))) if last else F.lit(0)
     own = own.withColumn("part", meets)
     guests = dealt.where("parts > 0 AND component <> main").withColumn("part", F.pmod(F.xxhash64("node", "id"), "parts"))
@@ -359,29 +343,26 @@ def near_duplicates(
     """
     threshold = ratio[0] / ratio[1]
     plain = docs.select(F.col(doc_id).cast("long").alias("id"), empty_safe(F.col(text)).alias("text"))
-    sets = materialized(plain.mapInArrow(_sketches(size), "id long, n long, key1 long, key2 long, sketch binary, least binary"), "nd-sketches")
+    columns = "id long, n long, key1 long, key2 long, nodes binary, least binary"
+    sets = materialized(plain.mapInArrow(_sketches(size, threshold), columns), "nd-sketches")
     classes = materialized(
         sets.where("n > 0 AND id IS NOT NULL")
         .groupBy("key1", "key2")
-        .agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("least").alias("least")),
+        .agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("nodes").alias("nodes"), F.min("least").alias("least")),
         "nd-classes",
     )
-    planted = materialized(classes.select("id", "n", "sketch").mapInArrow(_plant(threshold), "node long, id long, n long"), "nd-nodes")
+    planted = materialized(classes.select("id", "n", "nodes").mapInArrow(_planted, "node long, id long, n long"), "nd-nodes")
     shared = planted.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("node")
-    fresh = planted.join(shared, "node", "left_semi")
+    nodes = planted.join(shared, "node", "left_semi")
 
     carried = classes.select("id", "n", "least")
-    links = labels = tested = texts = former = None
+    links = labels = tested = texts = None
     for level in range(MAX_LEVELS + 1):
         last = level == MAX_LEVELS
-        # What the round compares: new nodes, and those of the round before that have few outsiders by now.
-        work = None
-        if fresh is not None:
-            fresh = materialized(_state(fresh, labels), "nd-fresh")
-            work = _blocks(fresh)
-        if former is not None:
-            closing = former.where("true" if last else f"outside <= {BLOCK}")
-            work = _blocks(closing, last) if work is None else work.unionByName(_blocks(closing, last))
+        state = materialized(_state(nodes, labels), "nd-state")
+        if state.isEmpty():
+            break
+        work = _blocks(state, level, last)
         pairs = work.join(carried, "id").repartition(partitions_for(docs), "node", "block", "part")
         pairs = pairs.sortWithinPartitions("node", "block", "part").select("node", "block", "part", "id", "component", "n", "least")
         pairs = materialized(pairs.mapInArrow(_compare(ratio), "a long, b long, sure boolean"), "nd-pairs")
@@ -404,23 +385,12 @@ def near_duplicates(
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             labels = components(links)
-        if last or fresh is None:
-            break
-        wide = fresh.where(f"outside > {BLOCK}").select("node", "id", "n")
-        former = materialized(_state(wide, labels), "nd-open")
-        below = former.where(f"outside > {BLOCK}")
-        if former.isEmpty():
-            break
-        if level + 1 == MAX_LEVELS or below.isEmpty():
-            fresh = None
-            continue
-        children = below.select("node", "id", "n").join(classes.select("id", "sketch"), "id")
-        fresh = materialized(children.mapInArrow(_descend(threshold), "node long, id long, n long"), "nd-nodes")
+        nodes = state.where(f"outside > {BLOCK}").select("node", "id", "n")
     if texts is not None:
         texts.drop()
 
     named = classes.select("key1", "key2", F.col("id").alias("class_id"))
-    out = sets.drop("sketch", "least").join(named, ["key1", "key2"], "left")
+    out = sets.drop("nodes", "least").join(named, ["key1", "key2"], "left")
     if labels is not None:
         out = out.join(labels.select(F.col("id").alias("class_id"), "component"), "class_id", "left")
     else:

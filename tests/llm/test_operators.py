@@ -6,6 +6,7 @@ import random
 import re
 import struct
 
+import numpy as np
 import public_tokenizers
 import pytest
 import regex
@@ -136,6 +137,28 @@ def test_near_duplicates_in_wide_nodes(docs, rows, limits, monkeypatch):
     test_near_duplicates(wide, rows + more, 3, (85, 100))
 
 
+def test_near_duplicates_in_a_group_just_below(spark, monkeypatch):
+    """Pairs at 0.851 are found among texts that are all similar by 0.842, however wide the nodes are."""
+    common, rows = [f"c{i}" for i in range(170)], []
+    for k in range(200):
+        words = [*common, f"p{k // 2}", *(f"u{k}x{i}" for i in range(15))]
+        rows.append((k, " ".join(words), "en"))
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    test_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4), rows, 1, (85, 100))
+
+
+def test_trees_are_independent(monkeypatch):
+    """Two trees miss a pair at the threshold as seldom as the docstring says for independent ones."""
+    monkeypatch.setattr(near_dedup, "TREES", 2)
+    rng, missed = np.random.default_rng(3), 0
+    for _ in range(1500):
+        pool = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+        owners, nodes = near_dedup.plant(np.array([near_dedup.sketch(pool[:185]), near_dedup.sketch(pool[15:])]), 0.85)
+        missed += not set(nodes[owners == 0].tolist()) & set(nodes[owners == 1].tolist())
+    parted = 1 - (1 - (2 - 1 / 0.85) * 0.15 - (1 / 0.85 - 1) * 0.15**2) ** 3
+    assert missed / 1500 < parted**2 + 0.025  # three standard errors
+
+
 def test_near_duplicates_odd_tables(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     out = near_duplicates(spark.createDataFrame([(None, "a b c d e f", "en", "", 1), (4, "a b c d e f", "en", "", 1), (4, "a b c d e f", "en", "", 1)], SCHEMA))
