@@ -9,7 +9,9 @@ same script, digits by digits, hexadecimal by hexadecimal; a mail domain has a s
 its own, so one domain stays one domain, and a name is drawn from a list of its
 title's gender and its script. Equal norms get equal surrogates wherever and
 however they are written. Surrogates that clash, with each other or with an
-entity that really occurs, are drawn again until all of a type are distinct.
+entity that really occurs, are drawn again until all of a type are distinct. After ``PLAIN`` rounds
+names get keyed syllables, mailboxes and secrets keyed characters and phone numbers keyed digits at the end,
+one more each round, so that no list or short format runs out.
 
 Everything is built from DataFrame functions. Only documents that hold an
 entity are joined; others pass by. Null text stays null; texts without entities
@@ -53,6 +55,11 @@ GIVEN = {
 FAMILY_STEMS = {"latin": "Ald Ber Cor Dar El Fal Gan Har Is Jar Kel Lor Mar Nor Ost Per Quin Ros Sel Tor Ul Ver Wal Yar Zan".split(), "cyrillic": "Бел Вол Гор Дуб Жар Зим Кол Лан Мор Нов Ор Пол Руд Сер Тих".split()}
 FAMILY_ENDS = {"latin": "ake beck croft den er field gren holm ing lund man ner ow sen ton ura vik wood".split(), "cyrillic": "ан ин ич ко ов ский ух".split()}
 
+ALPHANUMERIC = list("abcdefghijklmnopqrstuvwxyz0123456789")
+#: Rounds before surrogates grow, and what names grow by.
+PLAIN = 3
+SYLLABLES = {"latin": "ba de fi go hu ka le mi no pu ra se ti vo wu za".split(), "cyrillic": "ба ве ги до жу за ке ли мо ну па ре си то фу ха".split()}
+
 # Letters of the same script for letters beyond a-z.
 ACCENTED = "àáâãäåæçèéêëìíîïñòóôõöøùúûüýþÿœß"
 CYRILLIC = "абвгдежзийклмнопрстуфхцчшщъыьэюя"
@@ -90,6 +97,13 @@ def _substituted(text: Column, stream: Column, hexadecimal: Column) -> Column:
     return F.array_join(F.transform(_characters(text), lambda c, i: one(c, _byte(stream, i))), "")
 
 
+def _tail(words: list[str], stream: Column, start: Column, attempt: Column) -> Column:
+    """What is appended in rounds after the first ``PLAIN``: one word more each round, from byte ``start`` of the stream on."""
+    extra = attempt - F.lit(PLAIN - 1)
+    grown = F.transform(F.sequence(F.lit(1), F.greatest(extra, F.lit(1))), lambda i: _pick(words, _byte(stream, start + i)))
+    return F.when(extra > 0, F.array_join(grown, "")).otherwise("")
+
+
 def type_of(entity: Column) -> Column:
     """The first type whose pattern matches the whole of an entity."""
     out = F.when(F.lit(False), "")
@@ -121,7 +135,7 @@ def surrogate_norm(key: str, kind: Column, norm: Column, attempt: Column) -> Col
     host, ending = F.regexp_replace(domain, r"\.[^.]+$", ""), F.substring_index(domain, ".", -1)
     no = F.lit(False)
     # A domain's stream does not depend on the attempt: one domain, one surrogate.
-    mail = F.concat(_substituted(local, stream, no), F.lit("@"), _substituted(host, _stream(key, F.lit("domain"), domain, F.lit(0)), no), F.lit("."), ending)
+    mail = F.concat(_substituted(local, stream, no), _tail(ALPHANUMERIC, stream, F.length(local), attempt), F.lit("@"), _substituted(host, _stream(key, F.lit("domain"), domain, F.lit(0)), no), F.lit("."), ending)
     address = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_byte(stream, i) % 254 + 1).cast("string")), ".")
     digits = _substituted(norm, stream, no)
     valid = lambda d: F.aggregate(
@@ -134,30 +148,37 @@ def surrogate_norm(key: str, kind: Column, norm: Column, attempt: Column) -> Col
     card = F.when(valid(norm) == 0, F.concat(body, check)).otherwise(digits)
     head = F.when(kind == "phone", F.substring(norm, 1, 1)).otherwise("")
     number = F.concat(head, F.substring(digits, F.length(head) + 1, F.length(norm)))
+    phone = F.concat(number, _tail(ALPHANUMERIC[26:], stream, F.length(norm), attempt))
     iban = F.concat(F.substring(norm, 1, 2), F.substring(digits, F.lit(3), F.length(norm)))
     words = F.split(norm, " ")
+    hexadecimal = norm.rlike("^[0-9a-f]+$")
     bare = F.regexp_replace(words[0], r"\.$", "")
     script = F.when(F.element_at(words, -1).rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
     gender = F.when(bare.isin(FEMALE_TITLES), "f").when(bare.isin(MALE_TITLES), "m").when(_byte(stream, F.lit(9)) % 2 == 0, "f").otherwise("m")
+    first = _stream(key, F.concat(F.lit("given"), gender), words[1], attempt)
     given = reduce(
-        lambda acc, item: F.when((gender == item[0][0]) & (script == item[0][1]), _pick(item[1], _byte(_stream(key, F.concat(F.lit("given"), gender), words[1], attempt), F.lit(0)))).otherwise(acc),
+        lambda acc, item: F.when(
+            (gender == item[0][0]) & (script == item[0][1]), F.concat(_pick(item[1], _byte(first, F.lit(0))), _tail(SYLLABLES[item[0][1]], first, F.lit(0), attempt))
+        ).otherwise(acc),
         GIVEN.items(),
         F.lit(""),
     )
     # The family name has its own stream: who shares it with another goes on sharing it.
     own = _stream(key, F.lit("family"), F.element_at(words, -1), attempt)
     family = F.concat(
-        *[F.when(script == "cyrillic", _pick(t["cyrillic"], _byte(own, F.lit(n)) * 256 + _byte(own, F.lit(n + 1)))).otherwise(_pick(t["latin"], _byte(own, F.lit(n)) * 256 + _byte(own, F.lit(n + 1)))) for n, t in ((0, FAMILY_STEMS), (2, FAMILY_ENDS))]
+        *[F.when(script == "cyrillic", _pick(t["cyrillic"], _byte(own, F.lit(n)) * 256 + _byte(own, F.lit(n + 1)))).otherwise(_pick(t["latin"], _byte(own, F.lit(n)) * 256 + _byte(own, F.lit(n + 1)))) for n, t in ((0, FAMILY_STEMS), (2, FAMILY_ENDS))],
+        *[F.when(script == s, _tail(SYLLABLES[s], own, F.lit(3), attempt)).otherwise("") for s in SYLLABLES],
     )
     name = F.when(F.size(words) > 2, F.concat_ws(" ", words[0], given, family)).otherwise(F.concat_ws(" ", words[0], family))
     return (
         F.when(kind == "email", mail)
         .when(kind == "ip", address)
         .when(kind == "card", card)
-        .when(kind.isin("phone", "ssn"), number)
+        .when(kind == "phone", phone)
+        .when(kind == "ssn", number)
         .when(kind == "iban", iban)
         .when(kind == "name", name)
-        .otherwise(_substituted(norm, stream, norm.rlike("^[0-9a-f]+$")))
+        .otherwise(F.concat(_substituted(norm, stream, hexadecimal), F.when(hexadecimal, _tail(list("0123456789abcdef"), stream, F.length(norm), attempt)).otherwise(_tail(ALPHANUMERIC, stream, F.length(norm), attempt))))
     )
 
 
@@ -166,19 +187,23 @@ def surrogate_text(kind: Column, entity: Column, surrogate: Column) -> Column:
     step = lambda acc, c: F.when(
         c.rlike("^[0-9A-Za-z]$"), F.struct(F.concat(acc["out"], F.substring(surrogate, acc["at"], F.lit(1))).alias("out"), (acc["at"] + 1).alias("at"))
     ).otherwise(F.struct(F.concat(acc["out"], c).alias("out"), acc["at"].alias("at")))
-    spaced = F.aggregate(_characters(entity), F.struct(F.lit("").alias("out"), F.lit(1).alias("at")), step)["out"]
-    cased = F.array_join(
+    written = F.aggregate(_characters(entity), F.struct(F.lit("").alias("out"), F.lit(1).alias("at")), step)
+    spaced = F.concat(written["out"], F.substring(surrogate, written["at"], F.length(surrogate)))
+    cased = lambda old, new: F.array_join(
         F.transform(
-            _characters(surrogate),
-            lambda c, i: F.when(F.substring(entity, i + 1, F.lit(1)) != F.lower(F.substring(entity, i + 1, F.lit(1))), F.upper(c)).otherwise(c),
+            _characters(new),
+            lambda c, i: F.when(F.substring(old, i + 1, F.lit(1)) != F.lower(F.substring(old, i + 1, F.lit(1))), F.upper(c)).otherwise(c),
         ),
         "",
     )
+    # The two sides of a mail address apart, as only the first may have grown.
+    mail = F.concat_ws("@", *[cased(F.substring_index(entity, "@", k), F.substring_index(surrogate, "@", k)) for k in (1, -1)])
     return (
         F.when(kind.isin("phone", "card", "ssn"), spaced)
         .when(kind == "iban", F.upper(spaced))
         .when(kind.isin("name", "ip"), surrogate)
-        .otherwise(cased)
+        .when(kind == "email", mail)
+        .otherwise(cased(entity, surrogate))
     )
 
 

@@ -307,6 +307,22 @@ def test_surrogates(spark):
     assert {r.text for r in replace_entities(docs, "k").collect()} == {r.text for r in out.values()}
 
 
+def test_surrogates_of_more_entities_than_names(spark):
+    """More names of one title and more short mailboxes than the lists and formats have surrogates for."""
+    word = lambda k: chr(97 + k // 676) + chr(97 + k // 26 % 26) + chr(97 + k % 26)
+    russian = lambda k: "".join(chr(0x430 + k // 32**j % 32) for j in range(3))
+    real = [f"Mr. Q{word(k)}" for k in range(2000)] + [f"Mr. Q{word(k)} Smith" for k in range(400)] + [f"Г-н Щ{russian(k)}" for k in range(300)]
+    real += [f"{c}@Mail.example.com" for c in "abcdefghijklmnopqrstuvwxyz0123456789"] + ["token = --------"]
+    docs = spark.createDataFrame([(k, f"met {x}, then") for k, x in enumerate(real)], "doc_id long, text string").repartition(4)
+    out = by_id(replace_entities(docs, "k"))
+    new = [out[k].text.removeprefix("met ").removesuffix(", then") for k in range(len(real))]
+    assert len(set(new)) == len(real) and not set(new) & set(real)
+    assert all(re.fullmatch(r"Mr\. [A-Z][a-z]+", x) for x in new[:2000])
+    assert all(re.fullmatch(r"Mr\. [A-Z][a-z]+ [A-Z][a-z]+", x) for x in new[2000:2400])
+    assert all(re.fullmatch(r"Г-н [А-Я][а-я]+", x) for x in new[2400:2700])
+    assert len({x.split("@")[1] for x in new[2700:-1]}) == 1 and all(re.fullmatch(r"[a-z0-9]+@[A-Z]\w+\.\w+\.com", x) for x in new[2700:-1])
+
+
 PAGE = (
     "<html><head><title>t</title><script>var x = '</p>'</script></head><body><nav><ul><li><a href='/'>Home</a><li><a>More</a></ul></nav>"
     "<div class=ad>Buy this now.</div><article><h1>Title {k}</h1><p>First &amp; second <b>bo</b>ld.<br>Third.<p>Long text number {k} goes on, "
