@@ -272,6 +272,20 @@ def test_classifiers_on_held_out_rows(spark):
     assert judge_quality(docs, none).where("NOT kept AND NOT base_failed").count() == 0
 
 
+def test_limits_are_quantiles_of_trusted_scores(spark):
+    """A hundredth of the trusted is given up, text just beyond goes, and so does text that is too predictable."""
+    rng = random.Random(8)
+    texts = [sentence(rng, rng.randrange(30, 90)) for _ in range(400)]
+    rows = [(i, t, "en") for i, t in enumerate(texts)] + [(900, "north-west1 " * 100, "en"), (901, None, "en"), (902, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = by_id(classify(docs, spark.createDataFrame([(i, 1) for i in range(400)], "doc_id long, quality int")))
+    scores = sorted(out[i].score for i in range(400))
+    assert out[0].limit == scores[395]
+    assert sum(not out[i].kept for i in range(400)) == 4
+    assert out[900].score < scores[0] and not out[900].kept
+    assert out[901].kept and out[902].kept
+
+
 def test_base_counts(docs, rows, spark):
     found = by_id(judge_quality(docs, spark.createDataFrame([], "doc_id long, quality int")))
     for i, text, *_ in rows:
