@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Callable
 
@@ -9,11 +10,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairlens.llm import vector_codes
 from pairlens.llm.bpe import encode_texts
+from pairlens.llm.common import materialized
 from pairlens.llm.decontaminate import contamination
 from pairlens.llm.html_extract import main_text
 from pairlens.llm.line_dedup import drop_frequent_lines
 from pairlens.llm.near_dedup import near_duplicates
+from pairlens.llm.periodic_runs import collapse_runs, repeat_tails
+from pairlens.llm.phrase_dedup import remove_phrases
 from pairlens.llm.quality_lm import classify
 from pairlens.llm.quality_rules import judge_quality
 from pairlens.llm.suffix_dedup import remove_repeats
@@ -149,6 +154,108 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
+
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes and errors of all vectors under codebooks trained in four rounds, with the errors of their label."""
+    vectors = table(spark, sf_dir, "embeddings")
+    rows = materialized(vector_codes.integer_vectors(vectors, "embedding", keep=["vec_id", "label"]), "vectors")
+    books = vector_codes.train_codebooks(rows)
+    coded = materialized(vector_codes.encode_vectors(rows, books), "vector-codes")
+    return vector_codes.with_group_total(coded, "label", "error", "label_error").select(
+        "vec_id",
+        F.lower(F.hex("code")).alias("code"),
+        "error",
+        F.col("label_error").cast("long"),
+        F.lit(hashlib.sha256(books.text().encode()).hexdigest()).alias("codebooks_sha256"),
+    )
+
+
+def _op11_sql() -> str:
+    """Rounds unrolled: each assigns all parts by squared distance and floors the means."""
+    rounds = []
+    for k in range(5):
+        rounds.append(f"""
+near{k} AS (
+  SELECT r, part, min_by(entry, gap * 256 + entry) AS entry, min(gap) AS gap
+  FROM (SELECT v.r, v.part, b.entry, sum((v.x - b.x) * (v.x - b.x)) AS gap
+        FROM v JOIN book{k} b USING (part, pos) GROUP BY v.r, v.part, b.entry)
+  GROUP BY r, part
+)""")
+        if k < 4:
+            rounds.append(f"""
+book{k + 1} AS (
+  SELECT part, entry, pos, coalesce(m.x, b.x) AS x
+  FROM book{k} b LEFT JOIN (
+    SELECT part, entry, pos, CAST((sum(v.x) - ((sum(v.x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS x
+    FROM v JOIN near{k} USING (r, part) GROUP BY part, entry, pos) m USING (part, entry, pos)
+)""")
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id) - 1 AS r, vec_id, label, embedding FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND list_count(embedding) = len(embedding) AND isfinite(list_min(embedding)) AND isfinite(list_max(embedding))
+), v AS (
+  SELECT r, i // (n // 4) AS part, i % (n // 4) AS pos, CAST(floor(1024 * CAST(embedding[i + 1] AS DOUBLE)) AS BIGINT) AS x
+  FROM (SELECT r, embedding, len(embedding) AS n, unnest(range(len(embedding))) AS i FROM kept)
+), book0 AS (SELECT part, r AS entry, pos, x FROM v WHERE r < 256
+),{",".join(rounds)},
+coded AS (
+  SELECT r, string_agg(lower(printf('%02x', entry)), '' ORDER BY part) AS code, CAST(sum(gap) AS BIGINT) AS error FROM near4 GROUP BY r
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, pos)) FROM book4) AS codebooks_sha256
+FROM kept JOIN coded USING (r)
+"""
+
+
+OP11_SQL = _op11_sql()
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without the 13-word passages of earlier documents."""
+    out = remove_phrases(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS gram FROM d, unnest(range(1, len(w) - 11)) AS t(i)
+), first AS (
+  SELECT gram, min(doc_id) AS owner FROM g GROUP BY gram HAVING count(*) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS pos FROM g JOIN first USING (gram) WHERE owner < doc_id
+), words AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d
+), kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS text
+  FROM words ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words of each document, the longest one, and the text without its repeats."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = collapse_runs(repeat_tails(docs), min_length=12)
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("size"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    length = -F.col("longest.size")
+    return out.withColumn("longest", longest).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("longest.start").alias("start"),
+        length.alias("length"),
+        F.col("longest.period").alias("period"),
+        F.floor(1000 * length / F.col("longest.period")).alias("exponent_milli"),
+        F.sha2(F.encode(F.array_join(lines, ""), "UTF-8"), 256).alias("runs_sha256"),
+        F.sha2(F.encode("collapsed", "UTF-8"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_near_dedup": op2_near_dedup,
@@ -160,8 +267,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_decontaminate": op10_decontaminate,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_substring_dedup": op12_substring_dedup,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLES: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
     "op10_decontaminate": OP10_SQL,
+    "op11_vector_codes": OP11_SQL,
+    "op12_substring_dedup": OP12_SQL,
 }
