@@ -41,14 +41,15 @@ from pairlens.llm.common import empty_safe, materialized, mix, nonspace_table, p
 WIDTH = 13
 GRAM = 4
 HOT_CHUNKS = 128
-SHARD_PATTERNS = 1 << 15
+SHARD_PATTERNS = 1 << 13
 CHUNK_BYTES = 2 << 20
 NO_ID = (1 << 63) - 1
 #: Bits of a window's second hash beside the chunk number and the mark of several documents.
 TAG_BITS = 19
 
 NONSPACE = nonspace_table()
-UNKNOWN = "\x01"
+UNKNOWN = "\x01\x01"
+DIGITS = 128
 
 
 def _chunks(limit: int):
@@ -344,7 +345,11 @@ def _deal(shards: int):
 
 
 class Automaton:
-    """Recurring windows over numbered words; a word's number is one character, so a window is ``WIDTH`` of them."""
+    """Recurring windows over numbered words.
+
+    A word is two letters, the low and the high digit of its number, from different ranges: an automaton's node
+    looks its next letter up one by one, so no node should have as many as there are words.
+    """
 
     def __init__(self):
         self.letters: dict[bytes, str] = {}
@@ -354,14 +359,14 @@ class Automaton:
     def _letter(self, word: bytes) -> str:
         letter = self.letters.get(word)
         if letter is None:
-            number = len(self.letters) + 2
-            letter = self.letters[word] = chr(number if number < 0xD800 else number + 0x800)
+            number = len(self.letters)
+            letter = self.letters[word] = chr(2 + number % DIGITS) + chr(0x10000 + number // DIGITS)
         return letter
 
     def add(self, phrase: bytes, owner: int) -> None:
         text = "".join([self._letter(w) for w in phrase.split(b" ")])
-        for k in range(len(text) - WIDTH + 1):
-            window = text[k : k + WIDTH]
+        for k in range(0, len(text) - 2 * WIDTH + 1, 2):
+            window = text[k : k + 2 * WIDTH]
             if self.owners.get(window, NO_ID) >= owner:
                 self.owners[window] = owner
 
@@ -375,7 +380,7 @@ class Automaton:
         letters = self.letters
         text = "".join([letters.get(w, UNKNOWN) for w in phrases.split(b" ")])
         found = list(self.compiled.iter(text))
-        return [end - WIDTH + 1 for end, _ in found], [owner for _, owner in found]
+        return [end // 2 - WIDTH + 1 for end, _ in found], [owner for _, owner in found]
 
 
 def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
