@@ -41,7 +41,7 @@ from pairlens.llm.common import empty_safe, materialized, mix, nonspace_table, p
 WIDTH = 13
 GRAM = 4
 HOT_CHUNKS = 128
-SHARD_PATTERNS = 1 << 13
+SHARD_PATTERNS = 1 << 15
 CHUNK_BYTES = 2 << 20
 NO_ID = (1 << 63) - 1
 #: Bits of a window's second hash beside the chunk number and the mark of several documents.
@@ -299,20 +299,22 @@ def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _deal(shards: int):
-    """(shard, kind, chunk, data, owners): the chunk's patterns (kind 0) and pieces (kind 1) for each shard."""
+    """(shard, kind, chunk, size, data, owners): the chunk's patterns (kind 0) and pieces (kind 1) for each shard."""
 
     def packed(chunk: Chunk, kind: int, shard: np.ndarray, phrases: list[bytes], owners: np.ndarray | None) -> pa.RecordBatch:
         found, first = np.unique(shard, return_index=True)
         cuts = [*first.tolist(), len(shard)]
         spans = list(zip(cuts[:-1], cuts[1:], strict=True))
+        texts = [b" \n ".join(phrases[a:b]) for a, b in spans]
         columns = [
             pa.array(found, pa.int64()),
             pa.array(np.full(len(found), kind), pa.int32()),
             pa.array(np.full(len(found), chunk.number), pa.int64()),
-            pa.array([b" \n ".join(phrases[a:b]) for a, b in spans], pa.binary()),
+            pa.array([len(t) for t in texts], pa.int64()),
+            pa.array([pa.compress(t, codec="zstd", asbytes=True) for t in texts], pa.binary()),
             pa.array([owners[a:b].tobytes() if owners is not None else b"" for a, b in spans], pa.binary()),
         ]
-        return pa.RecordBatch.from_arrays(columns, names=["shard", "kind", "chunk", "data", "owners"])
+        return pa.RecordBatch.from_arrays(columns, names=["shard", "kind", "chunk", "size", "data", "owners"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
@@ -391,11 +393,12 @@ def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(iter([batch])):
             if row["shard"] != shard:
                 shard, automaton = row["shard"], Automaton()
+            data = bytes(pa.decompress(row["data"], decompressed_size=row["size"], codec="zstd", asbytes=True))
             if row["kind"] == 0:
-                for phrase, owner in zip(row["data"].split(b" \n "), np.frombuffer(row["owners"], "<i8").tolist(), strict=True):
+                for phrase, owner in zip(data.split(b" \n "), np.frombuffer(row["owners"], "<i8").tolist(), strict=True):
                     automaton.add(phrase, owner)
             elif automaton.owners:
-                places, owners = automaton.hits(row["data"])
+                places, owners = automaton.hits(data)
                 if places:
                     found = np.array(places, "<i4").tobytes() + np.array(owners, "<i8").tobytes()
                     replies.append((row["chunk"], shard, len(places), pa.compress(found, codec="zstd", asbytes=True)))
@@ -482,7 +485,7 @@ def remove_phrases(
     shards = max(1, owned.count() // shard_patterns)
     chunks = chunks.join(owned.groupBy("chunk").agg(F.collect_list("key").alias("owned")), "chunk", "left")
 
-    dealt = chunks.where("shared IS NOT NULL").mapInArrow(_deal(shards), "shard long, kind int, chunk long, data binary, owners binary")
+    dealt = chunks.where("shared IS NOT NULL").mapInArrow(_deal(shards), "shard long, kind int, chunk long, size long, data binary, owners binary")
     dealt = dealt.repartition("shard").sortWithinPartitions("shard", "kind")
     found = materialized(dealt.mapInArrow(_locate, "chunk long, shard long, n long, found binary"), "phrase-hits")
     replies = found.groupBy("chunk").agg(F.collect_list(F.struct("shard", "n", "found")).alias("replies"))
