@@ -2,35 +2,27 @@
 
 ``row_number() OVER (PARTITION BY key ...)`` sorts each key in a single task, so
 a key with a third of all rows would stall a cluster. Here every key's order is
-cut into ranges first; rows are numbered inside a range and shifted by the
+cut into ranges; rows are numbered inside a range and shifted by the
 number of rows in the ranges before it. The result equals the plain window.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pairlens.functions.hashing import UNIFORM_RANGE
-from pairlens.session import materialized
+from pairlens.session import lookup_side, materialized
 
-RANGES = 1024
 
-
-def _number(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    with_total: bool,
-    first: Column | None,
-) -> DataFrame:
+def _number(df: DataFrame, keys: Sequence[str], order: Sequence[Column], with_total: bool) -> DataFrame:
     """Number rows that already carry ``__range``, an order-preserving cut per key.
 
-    ``first`` asks for the leading rows only: ranges that begin beyond it are
-    dropped before anything is shuffled or sorted. The offsets are one row per
-    key and range, written down so that the join sees their true size.
+    The offsets are one row per key and range, written down so that the join sees their true size.
     """
     counts = df.groupBy(*keys, "__range").agg(F.count(F.lit(1)).alias("__n"))
     running = Window.partitionBy(*keys).orderBy("__range")
@@ -44,13 +36,8 @@ def _number(
         "offsets",
     )
     placed = df.join(offsets, [*keys, "__range"])
-    if first is not None:
-        placed = placed.where(F.col("__before") < first)
     inside = Window.partitionBy(*keys, "__range").orderBy(*order)
-    position = F.col("__before") + F.row_number().over(inside)
-    positioned = placed.withColumn("position", position)
-    if first is not None:
-        positioned = positioned.where(F.col("position") <= first)
+    positioned = placed.withColumn("position", F.col("__before") + F.row_number().over(inside))
     dropped = ["__range", "__before"] + ([] if with_total else ["group_rows"])
     return positioned.drop(*dropped)
 
@@ -62,32 +49,40 @@ def positions_by_hash(
     ties: Sequence[str] = (),
     hex_digits: int = 3,
     with_total: bool = False,
-    first: Column | None = None,
 ) -> DataFrame:
     """1-based ``position`` per key in ascending order of a uniform hex digest.
 
     A uniform digest needs no statistics: its leading digits are the ranges.
-    ``first`` (over ``group_rows`` and the input columns) keeps the leading rows.
     """
     cut = df.withColumn("__range", F.substring(digest, 1, hex_digits))
     order = [F.col(digest), *[F.col(t) for t in ties]]
-    return _number(cut, keys, order, with_total, first)
-
-
-def _bounds_before(holds: Callable[[Column], Column], ranges: int) -> Column:
-    """How many leading entries of the sorted ``__bounds`` satisfy ``holds``: a binary search."""
-    steps = []
-    step = ranges // 2
-    while step:
-        steps.append(step)
-        step //= 2
-    return F.aggregate(
-        F.array(*[F.lit(s) for s in steps]),
-        F.lit(0),
-        lambda low, step: F.when(
-            holds(F.get("__bounds", low + step - 1)), low + step
-        ).otherwise(low),
-    )
+    return _number(cut, keys, order, with_total)
+
+
+def _runs(keys: Sequence[str]):
+    """Per row of a sorted batch, where its run of equal ``keys`` begins and ends, and whether the run may go on outside."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            new = np.zeros(n, bool)
+            new[0] = True
+            for key in keys:
+                codes = batch[key].dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                new[1:] |= codes[1:] != codes[:-1]
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], n) - 1
+            run_of = np.cumsum(new) - 1
+            place = np.arange(n)
+            edge = (run_of == 0) | (run_of == len(first) - 1)
+            columns = [pa.array(place - first[run_of]), pa.array(last[run_of] - place), pa.array(edge)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *columns], names=[*batch.schema.names, "__back", "__ahead", "__edge"]
+            )
+
+    return run
 
 
 def positions_by_value(
@@ -97,35 +92,44 @@ def positions_by_value(
     digest: str,
     ties: Sequence[str] = (),
     descending: bool = True,
-    ranges: int = RANGES,
     with_total: bool = False,
-    first: Column | None = None,
+    with_rank: bool = False,
 ) -> DataFrame:
-    """1-based ``position`` per key by value, then digest, then ``ties``.
-
-    Range bounds are approximate quantiles per key (at most ``ranges`` numbers
-    per key). A value so frequent that it fills several bounds is cut further by
-    the leading part of the uniform digest, which is also the next sort key, so
-    heavy ties spread over ranges too. Bounds only steer the cut: positions are
-    exact whatever they are, but all branches must see the same ones, so they are
-    written down. ``first`` keeps the leading rows, as in ``positions_by_hash``.
+    """1-based ``position`` per key by value, then digest, then ``ties``; NULL values first.
+
+    One range exchange on that whole order, so that neither a hot key nor a hot value fills a task. A row's number in its
+    partition becomes a position by one offset per key and partition. ``with_rank`` adds ``rank``, the average position of
+    all rows of equal value: inside a batch it follows from the ends of the value's run, and only
+    runs at a batch's ends, at most two a batch, are merged with those of their neighbours.
     """
-    if ranges < 2 or ranges & (ranges - 1):
-        raise ValueError("ranges must be a power of two")
-    signed = -F.col(value) if descending else F.col(value)
-    prepared = df.withColumn("__signed", signed)
-    steps = [i / ranges for i in range(1, ranges)]
-    bounds = materialized(
-        prepared.groupBy(*keys).agg(
-            F.percentile_approx("__signed", steps, F.lit(ranges * 8)).alias("__bounds")
+    signed = F.col("__signed")
+    order = [*keys, signed, digest, *ties]
+    prepared = df.withColumn("__signed", (-F.col(value) if descending else F.col(value)) + F.lit(0.0))
+    dealt = prepared.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = dealt.withColumn("__at", F.monotonically_increasing_id())
+    if with_rank:
+        runs = [("__back", T.LongType()), ("__ahead", T.LongType()), ("__edge", T.BooleanType())]
+        schema = T.StructType([*dealt.schema.fields, *[T.StructField(*r) for r in runs]])
+        dealt = dealt.mapInArrow(_runs([*keys, "__signed"]), schema)
+    placed = materialized(dealt.withColumn("__part", F.shiftright("__at", 33)), "ordered")
+    pieces = placed.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+    running = Window.partitionBy(*keys).orderBy("__part")
+    offsets = materialized(
+        pieces.select(
+            *keys,
+            "__part",
+            (F.sum("__n").over(running) - F.col("__n") - F.col("__first") + 1).alias("__shift"),
+            F.sum("__n").over(Window.partitionBy(*keys)).alias("group_rows"),
         ),
-        "bounds",
+        "offsets",
     )
-    share = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(UNIFORM_RANGE)
-    below = _bounds_before(lambda bound: bound < F.col("__signed"), ranges)
-    equal = _bounds_before(lambda bound: bound <= F.col("__signed"), ranges) - below
-    # A key without bounds has only NULL values: one range.
-    cut = F.coalesce(below + F.floor(share * equal), F.lit(0)).cast("bigint")
-    ranged = prepared.join(bounds, [*keys]).withColumn("__range", cut).drop("__bounds")
-    order = [F.col("__signed"), F.col(digest), *[F.col(t) for t in ties]]
-    return _number(ranged, keys, order, with_total, first).drop("__signed")
+    placed = placed.join(lookup_side(offsets), [*keys, "__part"]).withColumn("position", F.col("__at") + F.col("__shift"))
+    if with_rank:
+        low, high = F.col("position") - F.col("__back"), F.col("position") + F.col("__ahead")
+        edges = placed.where("__edge").groupBy(*keys, "__signed").agg(F.min(low).alias("__low"), F.max(high).alias("__high"))
+        edges = lookup_side(materialized(edges, "run-borders"))
+        placed = placed.join(edges, [*keys, "__signed"], "left")
+        ends = F.coalesce("__low", low) + F.coalesce("__high", high)
+        placed = placed.withColumn("rank", ends / 2).drop("__low", "__high", "__back", "__ahead", "__edge")
+    dropped = ["__signed", "__at", "__part", "__shift"] + ([] if with_total else ["group_rows"])
+    return placed.drop(*dropped)

@@ -1,8 +1,7 @@
 """Score-based selection, matched controls and agreement of repeated runs.
 
-Ranks and samples inside a dataset use the range-cut positions of
-``pairlens.operators.ordering``, so a dataset with a third of all rows is spread
-over many tasks.
+Samples inside a dataset are cut off at their last row, found by radix selection
+(``pairlens.operators.radix``): a dataset with a third of all rows is neither sorted nor moved.
 """
 
 from __future__ import annotations
@@ -15,8 +14,9 @@ from pyspark.sql import functions as F
 from pairlens.functions.hashing import hash_order
 from pairlens.functions.numeric import pearson
 from pairlens.operators.associate import average_rank
-from pairlens.operators.ordering import positions_by_hash, positions_by_value
-from pairlens.session import materialized
+from pairlens.operators.ordering import positions_by_value
+from pairlens.operators.radix import first_rows, quantiles
+from pairlens.session import lookup_side, materialized
 
 
 def select_by_score(
@@ -39,14 +39,14 @@ def select_by_score(
     if threshold is not None:
         rule = f"{score} >= {threshold}"
         return df.where(F.col(score) >= threshold).withColumn("rule", F.lit(rule))
-    keyed = df.withColumn("__digest", hash_order(seed, F.col(row_id)))
     if top_k is not None:
         wanted, rule = F.lit(top_k), f"top {top_k} by {score}"
     else:
         wanted = F.ceil(F.col("group_rows") * F.lit(top_fraction))
         rule = f"top fraction {top_fraction} by {score}"
-    kept = positions_by_value(keyed, [dataset], score, "__digest", [row_id], first=wanted)
-    return kept.drop("__digest", "position").withColumn("rule", F.lit(rule))
+    digest = hash_order(seed, F.col(row_id))
+    kept = first_rows(df, [dataset], digest, [row_id], wanted, value=score)
+    return kept.withColumn("rule", F.lit(rule))
 
 
 def selection_manifest(selected: DataFrame, dataset: str, hashes: Sequence[str]) -> DataFrame:
@@ -59,13 +59,8 @@ def random_control(
 ) -> DataFrame:
     """As many rows per dataset as were selected, in seeded hash order."""
     quota = selected.groupBy(dataset).agg(F.count(F.lit(1)).alias("__quota"))
-    keyed = df.withColumn("__digest", hash_order(seed, F.col(row_id)))
-    # The inner join also drops datasets nothing was selected from.
-    wanted = keyed.join(materialized(quota, "quota"), dataset)
-    placed = positions_by_hash(
-        wanted, [dataset], "__digest", [row_id], first=F.col("__quota")
-    )
-    return placed.drop("__digest", "position", "__quota")
+    digest = hash_order(seed, F.col(row_id))
+    return first_rows(df, [dataset], digest, [row_id], F.col("__quota"), quota=materialized(quota, "quota"))
 
 
 def length_control(
@@ -85,18 +80,18 @@ def length_control(
     if width < 1:
         raise ValueError("width must be positive")
     bucket = F.floor(length / width).alias("length_bucket")
-    quota = selected.groupBy(dataset, bucket).agg(F.count(F.lit(1)).alias("__quota"))
-    rest = df.join(selected.select(dataset, row_id), [dataset, row_id], "left_anti")
-    keyed = rest.select("*", bucket, hash_order(seed, F.col(row_id)).alias("__digest"))
-    wanted = keyed.join(materialized(quota, "quota"), [dataset, "length_bucket"])
-    placed = positions_by_hash(
-        wanted, [dataset, "length_bucket"], "__digest", [row_id], first=F.col("__quota")
+    # The selection is read twice; only its keys are written.
+    taken = materialized(selected.select(dataset, row_id, bucket), "selected-keys")
+    quota = taken.groupBy(dataset, "length_bucket").agg(F.count(F.lit(1)).alias("__quota"))
+    rest = df.join(lookup_side(taken.drop("length_bucket")), [dataset, row_id], "left_anti").select("*", bucket)
+    digest = hash_order(seed, F.col(row_id))
+    return first_rows(
+        rest, [dataset, "length_bucket"], digest, [row_id], F.col("__quota"), quota=materialized(quota, "quota")
     )
-    return placed.drop("__digest", "position", "__quota")
 
 
 def _row_ranks(runs: DataFrame, value: str) -> DataFrame:
-    """Descending positions of a run per trait, and the average rank of each value."""
+    """Descending positions of a run per trait, and the average rank of each row's value."""
     placed = positions_by_value(
         runs.select("trait", "row_id", value, "__digest"),
         ["trait"],
@@ -104,32 +99,9 @@ def _row_ranks(runs: DataFrame, value: str) -> DataFrame:
         "__digest",
         ["row_id"],
         with_total=True,
+        with_rank=True,
     )
-    return materialized(placed, "ranks")
-
-
-def pooled_quantiles(df: DataFrame, value: str, digest: str, levels: Sequence[float]) -> DataFrame:
-    """Exact linear-interpolation quantiles of a whole column as one row ``q0, q1, ..``.
-
-    The rows around each quantile are found by position, so no task has to hold
-    the column's distinct values.
-    """
-    placed = positions_by_value(
-        df.select(F.lit(0).alias("__all"), value, digest),
-        ["__all"],
-        value,
-        digest,
-        descending=False,
-        with_total=True,
-    )
-    columns = []
-    for i, level in enumerate(levels):
-        at = (F.col("group_rows") - 1) * F.lit(float(level))
-        low = F.max(F.when(F.col("position") == F.floor(at) + 1, F.col(value)))
-        high = F.max(F.when(F.col("position") == F.ceil(at) + 1, F.col(value)))
-        part = F.max(at - F.floor(at))
-        columns.append((low + (high - low) * part).alias(f"q{i}"))
-    return placed.agg(*columns)
+    return materialized(placed.select("trait", "row_id", "position", "group_rows", "rank"), "ranks")
 
 
 def repeatability(
@@ -153,8 +125,8 @@ def repeatability(
     means = materialized(
         runs.groupBy("trait").agg(F.avg("a").alias("a"), F.avg("b").alias("b")), "means"
     )
-    pooled = runs.select("__digest", F.explode(F.array("a", "b")).alias("v"))
-    quartiles = pooled_quantiles(pooled, "v", "__digest", (0.25, 0.75))
+    pooled = runs.select(F.explode(F.array("a", "b")).alias("v"))
+    quartiles = quantiles(pooled, "v", (0.25, 0.75))
     iqr = quartiles.select(F.col("q1") - F.col("q0")).scalar()
     everyone = F.lit("")
 
@@ -177,10 +149,10 @@ def repeatability(
         F.max(F.abs(F.col("a") - F.col("b"))).alias("gap"),
     )
     ranks_a, ranks_b = _row_ranks(runs, "a"), _row_ranks(runs, "b")
-    mean_a = ranks_a.groupBy("trait", "a").agg(F.avg("position").alias("ra"))
-    mean_b = ranks_b.groupBy("trait", "b").agg(F.avg("position").alias("rb"))
-    rows = runs.join(mean_a, ["trait", "a"]).join(mean_b, ["trait", "b"])
-    row_rank = rows.groupBy("trait").agg(pearson(F.col("ra"), F.col("rb")).alias("r"))
+    pairs = ranks_a.select("trait", "row_id", F.col("rank").alias("ra")).join(
+        ranks_b.select("trait", "row_id", F.col("rank").alias("rb")), ["trait", "row_id"]
+    )
+    row_rank = pairs.groupBy("trait").agg(pearson(F.col("ra"), F.col("rb")).alias("r"))
     size = F.ceil(F.col("group_rows") / deciles)
 
     def extremes(ranks: DataFrame, side: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from pairlens.operators import associate, calibrate, ordering, resample, scores
+from pairlens.operators import associate, calibrate, ordering, radix, resample, scores
 
 AXIS = [f"a{k}" for k in range(10)]
 
@@ -244,31 +244,85 @@ def test_positions_equal_plain_window_under_skew(spark):
     )
     df.createOrReplaceTempView("ranked_rows")
     for descending in (True, False):
-        placed = ordering.positions_by_value(df, ["k"], "v", "h", ["id"], descending, 64, True)
+        placed = ordering.positions_by_value(df, ["k"], "v", "h", ["id"], descending, True, True)
         want = spark.sql(
-            "SELECT id, row_number() OVER (PARTITION BY k ORDER BY v "
+            "SELECT *, avg(p) OVER (PARTITION BY k, v) AS r FROM (SELECT id, k, v, row_number() OVER (PARTITION BY k ORDER BY v "
             f"{'DESC' if descending else 'ASC'}, h, id) AS p, count(*) OVER (PARTITION BY k) AS n "
-            "FROM ranked_rows"
-        )
+            "FROM ranked_rows)"
+        ).drop("k", "v")
         assert placed.count() == 20_000
         joined = placed.join(want, "id")
-        assert joined.where("position = p AND group_rows = n").count() == 20_000
+        assert joined.where("position = p AND group_rows = n AND rank = r").count() == 20_000
 
 
-def test_hot_value_is_cut_into_ranges(spark):
+def test_hot_value_is_cut_into_ranges(spark, monkeypatch):
     """The largest range stays near its share although one value fills the key."""
     df = spark.range(20_000).select(
         F.lit("k").alias("k"), F.lit(1.0).alias("v"), F.md5(F.col("id").cast("string")).alias("h")
     )
     seen = []
-    original = ordering._number
-    ordering._number = lambda ranged, *rest: seen.append(ranged) or original(ranged, *rest)
+    written = ordering.materialized
+    monkeypatch.setattr(ordering, "materialized", lambda df, label: seen.append(written(df, label)) or seen[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed = ordering.positions_by_value(df, ["k"], "v", "h", with_rank=True)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = seen[0].groupBy("__part").count().agg(F.count("*"), F.max("count")).first()
+    assert parts[0] == 8 and parts[1] < 2 * 20_000 / 8
+    assert [r[0] for r in placed.select("rank").distinct().collect()] == [10_000.5]
+
+
+def test_runs_longer_than_a_batch(spark):
+    """Runs of equal values that go over several batches and partitions keep one rank."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
-        ordering.positions_by_value(df, ["k"], "v", "h", ranges=64)
+        df = spark.range(3000).select(
+            (F.col("id") % 2).alias("k"), F.floor(F.col("id") / 100).cast("double").alias("v"), F.col("id"), F.md5(F.col("id").cast("string")).alias("h")
+        )
+        placed = ordering.positions_by_value(df, ["k"], "v", "h", ["id"], False, with_rank=True)
+        assert {(r.v, r["rank"]) for r in placed.select("v", "rank").distinct().collect()} == {(float(v), v * 50 + 25.5) for v in range(30)}
     finally:
-        ordering._number = original
-    largest = seen[0].groupBy("__range").count().agg(F.max("count")).first()[0]
-    assert largest < 3 * 20_000 / 63
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("few", [0, 40, 1 << 14])
+@pytest.mark.parametrize("descending", [True, False])
+def test_first_rows_equal_plain_order(spark, few, descending):
+    """Radix selection against a plain sort: ties in value, equal digests, missing values, rows that are alike."""
+    rng = np.random.default_rng(few)
+    values = [None, float("nan"), 0.0, -0.0, 1e300, -1e300, 1e-300, float("inf"), float("-inf"), 2.5, 2.5, 2.5]
+    rows = []
+    for i in range(1500):
+        v = values[rng.integers(len(values))] if i % 3 else float(rng.normal())
+        rows.append((("hot" if i % 4 else f"k{i % 12}"), i, v, f"{(i // 5) % 40:032x}" if i % 2 else f"{int(rng.integers(1 << 62)):032x}"))
+    df = spark.createDataFrame(rows, "k string, id int, v double, h string").repartition(5)
+
+    def place(r):
+        missing = r[2] is None or math.isnan(r[2])
+        return (missing, 0.0 if missing else (-r[2] if descending else r[2]), r[3][:15], r[3], r[1])
+
+    by_key = {}
+    for r in sorted(rows, key=place):
+        by_key.setdefault(r[0], []).append(r[1])
+    for wanted, count in ((F.lit(7), lambda n: 7), (F.ceil(F.col("group_rows") * 0.6), lambda n: -(-n * 6 // 10)), (F.lit(5000), lambda n: n)):
+        got = radix.first_rows(df, ["k"], F.col("h"), ["id"], wanted, "v", descending, few=few)
+        assert got.columns == df.columns
+        assert sorted(r.id for r in got.collect()) == sorted(i for ids in by_key.values() for i in ids[: count(len(ids))])
+    quota = spark.createDataFrame([("hot", 11), ("k0", 0), ("nowhere", 5)], "k string, q long")
+    got = radix.first_rows(df, ["k"], F.col("h"), ["id"], F.col("q"), quota=quota, few=few)
+    hot = sorted((r for r in rows if r[0] == "hot"), key=lambda r: (r[3], r[1]))
+    assert sorted(r.id for r in got.collect()) == sorted(r[1] for r in hot[:11])
+
+
+@pytest.mark.parametrize("few", [0, 1 << 14])
+def test_quantiles_equal_interpolation(spark, few):
+    rng = np.random.default_rng(1)
+    values = np.concatenate([rng.normal(size=701), np.repeat(0.25, 900), [1e9, -1e9]])
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "v double")
+    levels = (0.0, 0.25, 0.333, 0.5, 0.9, 1.0)
+    assert list(radix.quantiles(df, "v", levels, few).first()) == pytest.approx(list(np.quantile(values, levels)), rel=1e-12)
+    assert radix.quantiles(df.where("false"), "v", (0.5,)).first()[0] is None
 
 
 SCORE_CSV, TARGET_CSV = os.environ.get("SCORE_MATRIX_CSV"), os.environ.get("TARGET_MATRIX_CSV")
