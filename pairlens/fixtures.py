@@ -118,16 +118,17 @@ def planted_scores(spark: SparkSession, sf_dir: str, revision: str) -> DataFrame
     )
 
 
-#: Turns a conversation may have in the ids below.
-TURN_IDS = 1 << 20
-
-
 def _turns_from(spark: SparkSession, sf_dir: str, later: int, role: str | None = None) -> DataFrame:
-    """Messages of ``role`` named by the turn ``later`` turns before them: ``conv_id * TURN_IDS`` plus its number."""
+    """Messages of ``role`` named by the turn ``later`` turns before them.
+
+    The name is the pairing number of conversation and turn, (a + b) (a + b + 1) / 2 + b, different for any two.
+    """
     turns = table(spark, sf_dir, "conversations").where(F.col("turn") >= later)
     if role is not None:
         turns = turns.where(F.col("role") == role)
-    start = F.col("conv_id").cast("long") * TURN_IDS + F.col("turn") - later
+    turn = F.col("turn").cast("long") - later
+    total = F.col("conv_id").cast("long") + turn
+    start = F.shiftright(total * (total + 1), 1) + turn
     return turns.select(start.alias("conv_id"), F.struct("role", F.col("text").alias("content")).alias(f"turn{later}"))
 
 

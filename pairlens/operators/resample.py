@@ -20,10 +20,11 @@ from pairlens.operators.associate import (
 from pairlens.operators.calibrate import calibrate
 from pairlens.operators.ordering import positions_by_hash
 from pairlens.operators.scores import mean_cells, mean_expressions
+from pairlens.operators.splitting import LEAF_GROUPS, split_draws
 from pairlens.session import lookup_side, materialized, spread
 from pairlens.vocabulary import FORMULAS, WEIGHTINGS, require_known
 
-BOOTSTRAP_METHODS = ("multinomial", "poisson")
+BOOTSTRAP_METHODS = ("multinomial", "split", "poisson")
 
 
 def _require_positive(name: str, value: int) -> None:
@@ -96,11 +97,13 @@ def bootstrap_groups(
     formulas: Sequence[str] = FORMULAS,
     weightings: Sequence[str] = WEIGHTINGS,
     fast_hash: bool = False,
+    leaf_groups: int = LEAF_GROUPS,
 ) -> DataFrame:
     """Resampled score cubes: ``(replicate, formula, weighting, c, t, value)``.
 
     ``multinomial`` draws exactly G groups per dataset and replicate and shuffles
-    the draws once. ``poisson`` gives every group an independent Poisson(1)
+    the draws once. ``split`` draws G as well, split down a tree of group ranges to leaves of
+    ``leaf_groups``, and shuffles counts of leaves instead of draws. ``poisson`` gives every group an independent Poisson(1)
     weight per replicate, computed where the group lies and combined before the
     shuffle; use it when groups x replicates is too large to shuffle.
     """
@@ -116,6 +119,10 @@ def bootstrap_groups(
         draws = multinomial_draws(indexed, replicates, seed, fast_hash)
         lookup = lookup_side(indexed.drop("prompt_hash", "group_rows"))
         drawn = draws.join(lookup, ["dataset_trait", "group_index"])
+    elif method == "split":
+        weight = "weight"
+        indexed = materialized(group_index(materialized(slim, "group-stats")), "group-index")
+        drawn = split_draws(indexed.drop("prompt_hash"), replicates, seed, leaf_groups, fast_hash)
     else:
         weight = "weight"
         drawn = poisson_draws(slim, replicates, seed, fast_hash).where("weight > 0")

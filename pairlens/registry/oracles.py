@@ -10,8 +10,7 @@ from pairlens.registry.settings import (
     DRAWS,
     EOS,
     EOS_ID,
-    FEW_DRAWS,
-    FEW_REPLICATES,
+    LEAF,
     LANGS,
     MAX_TOKENS,
     NAMED,
@@ -221,6 +220,57 @@ def multinomial(replicates: int, formulas, weightings) -> dict[str, str]:
     }
 
 
+def binomial_sql(source: str, name: str) -> dict[str, str]:
+    """Nodes (dataset_trait, b, node, m, size, half, u) with ``ml``, the draws of their left half."""
+    keys = "dataset_trait, b, node"
+    width = "(12 * sqrt(m * p * (1 - p)) + 12)"
+    log = "lgamma(m + 1) - lgamma(k + 1) - lgamma(m - k + 1) + k * ln(p) + (m - k) * ln(1 - p)"
+    return {
+        f"{name}p": f"SELECT *, greatest(0, CAST(floor(m * p - {width}) AS BIGINT)) AS lo, "
+        f"least(m, CAST(ceil(m * p + {width}) AS BIGINT)) AS hi FROM "
+        f"(SELECT *, half / CAST(size AS DOUBLE) AS p FROM {source} WHERE size > 0)",
+        f"{name}c": f"SELECT {keys}, u, sum(exp({log})) OVER (PARTITION BY {keys} ORDER BY k) AS cdf "
+        f"FROM {name}p, unnest(range(lo, hi)) AS x(k) WHERE m > 0 AND p < 1",
+        name: f"SELECT {name}p.*, CASE WHEN m = 0 OR p >= 1 THEN m ELSE lo + coalesce(c, 0) END AS ml "
+        f"FROM {name}p LEFT JOIN (SELECT {keys}, count(*) FILTER (cdf < u) AS c FROM {name}c GROUP BY {keys}) "
+        f"USING ({keys})",
+    }
+
+
+def split_multinomial(replicates: int, formulas, weightings) -> dict[str, str]:
+    """Two levels: the given tables have at most 200 groups a dataset, so four leaves."""
+    ctes = multinomial(replicates, formulas, weightings)
+    last = {k: ctes.pop(k) for k in ("mult", "bm", "boot")}
+    scale = "CAST(1152921504606846976 AS DOUBLE)"
+
+    def node(size: str, half: int, at: str) -> str:
+        return (
+            f"{size} AS size, least({size}, {half * LEAF}) AS half, "
+            f"{uniform('dataset_trait', 'b', str(half), at, digits=15)} / {scale} AS u"
+        )
+
+    ctes["top"] = (
+        f"SELECT dataset_trait, b, 0 AS node, groups, groups AS m, {node('groups', 2, '0')} "
+        f"FROM (SELECT DISTINCT dataset_trait, groups FROM idx), range({replicates}) AS x(b)"
+    )
+    ctes |= binomial_sql("top", "cut")
+    ctes["pair"] = (
+        f"SELECT dataset_trait, b, 0 AS node, groups, ml AS m, {node(f'least(groups, {2 * LEAF})', 1, '0')} FROM cut "
+        f"UNION ALL SELECT dataset_trait, b, 1, groups, m - ml, {node(f'greatest(0, groups - {2 * LEAF})', 1, '1')} FROM cut"
+    )
+    ctes |= binomial_sql("pair", "pcut")
+    ctes["leaves"] = (
+        f"SELECT dataset_trait, b, 2 * node AS leaf, groups, ml AS m FROM pcut "
+        f"UNION ALL SELECT dataset_trait, b, 2 * node + 1, groups, m - ml FROM pcut"
+    )
+    inside = uniform("dataset_trait", "b", "'leaf'", "leaf", "k", digits=15)
+    ctes["mult"] = (
+        f"SELECT dataset_trait, b AS replicate, leaf * {LEAF} + {inside} % least({LEAF}, groups - leaf * {LEAF}) AS i, "
+        "count(*) AS m FROM leaves, unnest(range(m)) AS x(k) GROUP BY 1, 2, 3"
+    )
+    return {**ctes, "bm": last["bm"], "boot": last["boot"]}
+
+
 def poisson(replicates: int, formulas, weightings) -> dict[str, str]:
     steps = poisson_thresholds()
     cases = " ".join(f"WHEN u < {limit} THEN {count}" for count, limit in enumerate(steps))
@@ -455,8 +505,10 @@ def ids_sql(text: str) -> str:
 def turns_from(later: int, role: str = "") -> str:
     """Messages named by the turn ``later`` turns before them."""
     mine = f" AND role = '{role}'" if role else ""
+    total = f"(CAST(conv_id AS BIGINT) + turn - {later})"
+    paired = f"{total} * ({total} + 1) // 2 + turn - {later}"
     return (
-        f"SELECT CAST(conv_id AS BIGINT) * 1048576 + turn - {later} AS conv_id, role, text "
+        f"SELECT {paired} AS conv_id, role, text "
         f"FROM conversations WHERE turn >= {later}{mine}"
     )
 
@@ -758,7 +810,7 @@ def oracle_sql() -> dict[str, str]:
         ]
     )
     boot_cells = (
-        f"SELECT replicate, formula, weighting, c, t, {r('value', 9, 'value')} FROM boot"
+        f"SELECT replicate, formula, weighting, c, t, {r('value + CAST(3e-10 AS DOUBLE)', 9, 'value')} FROM boot"
     )
     rounded_interval = (
         f"SELECT formula, weighting, replicates, {r('low', 8, 'low')}, {r('high', 8, 'high')} "
@@ -856,10 +908,9 @@ def oracle_sql() -> dict[str, str]:
             "(SELECT * FROM cal UNION ALL SELECT * FROM loo) JOIN target USING (c, t) "
             "WHERE c <> t GROUP BY 1, 2, 3",
         ),
-        "bootstrap_multinomial": query(
-            multinomial(FEW_REPLICATES, ["sum"], WEIGHTINGS), boot_cells
-        ),
-        "bootstrap_poisson": query(poisson(FEW_REPLICATES, ["sum"], WEIGHTINGS), boot_cells),
+        "bootstrap_multinomial": query(multinomial(REPLICATES, FORMULAS, WEIGHTINGS), boot_cells),
+        "bootstrap_split": query(split_multinomial(REPLICATES, FORMULAS, WEIGHTINGS), boot_cells),
+        "bootstrap_poisson": query(poisson(REPLICATES, FORMULAS, WEIGHTINGS), boot_cells),
         "bootstrap_associations": query(
             replicate_r(multinomial(REPLICATES, FORMULAS, WEIGHTINGS)),
             f"SELECT replicate, formula, weighting, cells, {r('r', 8, 'r')} FROM br",
@@ -871,8 +922,9 @@ def oracle_sql() -> dict[str, str]:
             replicate_r(poisson(REPLICATES, ["sum"], ["row"])), rounded_interval
         ),
         "perm_draws": query(
-            {**permutations(FEW_DRAWS), "target": TARGET},
-            "SELECT draw, perm.c AS c, source, t, e FROM perm JOIN target ON target.c = source",
+            {**permutations(DRAWS), "target": TARGET},
+            "SELECT draw, perm.c AS c, source, total FROM perm JOIN "
+            "(SELECT c AS source, sum(e) AS total FROM target GROUP BY 1) USING (source)",
         ),
         "perm_null": query(
             {**PRIMARY, **permutations(DRAWS)},
