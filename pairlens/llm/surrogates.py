@@ -11,7 +11,8 @@ title's gender and its script. Equal norms get equal surrogates wherever and
 however they are written. Surrogates that clash, with each other or with an
 entity that really occurs, are drawn again until all of a type are distinct. After ``PLAIN`` rounds
 names get keyed syllables, mailboxes and secrets keyed characters and phone numbers keyed digits at the end,
-one more each round, so that no list or short format runs out.
+one more each round, so that no list or short format runs out; after ``LATE`` rounds the other types do too.
+Patterns take time in proportion to the text, whatever it holds: no group without a bound is repeated.
 
 Everything is built from DataFrame functions. Only documents that hold an
 entity are joined; others pass by. Null text stays null; texts without entities
@@ -21,6 +22,7 @@ and all other columns stay as they are; repeated rows are treated alike.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,9 +31,10 @@ from pairlens.llm.common import fresh_name, materialized
 
 # Detection patterns, by type; the first that matches at a place wins.
 PATTERNS = {
-    "email": r"[\p{L}\p{N}_%+-]+(?:\.[\p{L}\p{N}_%+-]+)*@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
+    # Bounded as addresses are, and possessive before the @: a long run of letters or dots costs a bounded look at each place.
+    "email": r"[\p{L}\p{N}_%+-][\p{L}\p{N}_%+.-]{0,63}+@(?:[\p{L}\p{N}-]{1,63}\.){1,30}\p{L}{2,63}",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
-    "secret": r"(?<![0-9A-Za-z])(?=[0-9A-Fa-f]*[0-9])[0-9A-Fa-f]{32,128}(?![0-9A-Za-z])"
+    "secret": r"(?<![0-9A-Za-z])(?=[0-9A-Fa-f]{0,127}[0-9])[0-9A-Fa-f]{32,128}(?![0-9A-Za-z])"
     r"|(?<=(?i:token|secret|password|passwd|api_key|api-key|apikey) ?[=:] ?[\"']?)(?<![\p{L}\p{N}_-])[\p{L}\p{N}_./+-]{8,}",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?\d[A-Z0-9]{3}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -56,8 +59,9 @@ FAMILY_STEMS = {"latin": "Ald Ber Cor Dar El Fal Gan Har Is Jar Kel Lor Mar Nor
 FAMILY_ENDS = {"latin": "ake beck croft den er field gren holm ing lund man ner ow sen ton ura vik wood".split(), "cyrillic": "ан ин ич ко ов ский ух".split()}
 
 ALPHANUMERIC = list("abcdefghijklmnopqrstuvwxyz0123456789")
-#: Rounds before surrogates grow, and what names grow by.
+#: Rounds before surrogates grow, rounds before those of a fixed format do, and what names grow by.
 PLAIN = 3
+LATE = 10
 SYLLABLES = {"latin": "ba de fi go hu ka le mi no pu ra se ti vo wu za".split(), "cyrillic": "ба ве ги до жу за ке ли мо ну па ре си то фу ха".split()}
 
 # Letters of the same script for letters beyond a-z.
@@ -148,6 +152,8 @@ def surrogate_norm(key: str, kind: Column, norm: Column, attempt: Column) -> Col
     card = F.when(valid(norm) == 0, F.concat(body, check)).otherwise(digits)
     head = F.when(kind == "phone", F.substring(norm, 1, 1)).otherwise("")
     number = F.concat(head, F.substring(digits, F.length(head) + 1, F.length(norm)))
+    # A fixed format grows only when its space is all but used up.
+    late = _tail(ALPHANUMERIC[26:], stream, F.length(norm), attempt - (LATE - PLAIN))
     phone = F.concat(number, _tail(ALPHANUMERIC[26:], stream, F.length(norm), attempt))
     iban = F.concat(F.substring(norm, 1, 2), F.substring(digits, F.lit(3), F.length(norm)))
     words = F.split(norm, " ")
@@ -172,11 +178,11 @@ def surrogate_norm(key: str, kind: Column, norm: Column, attempt: Column) -> Col
     name = F.when(F.size(words) > 2, F.concat_ws(" ", words[0], given, family)).otherwise(F.concat_ws(" ", words[0], family))
     return (
         F.when(kind == "email", mail)
-        .when(kind == "ip", address)
-        .when(kind == "card", card)
+        .when(kind == "ip", F.concat(address, late))
+        .when(kind == "card", F.concat(card, late))
         .when(kind == "phone", phone)
-        .when(kind == "ssn", number)
-        .when(kind == "iban", iban)
+        .when(kind == "ssn", F.concat(number, late))
+        .when(kind == "iban", F.concat(iban, late))
         .when(kind == "name", name)
         .otherwise(F.concat(_substituted(norm, stream, hexadecimal), F.when(hexadecimal, _tail(list("0123456789abcdef"), stream, F.length(norm), attempt)).otherwise(_tail(ALPHANUMERIC, stream, F.length(norm), attempt))))
     )
@@ -207,12 +213,15 @@ def surrogate_text(kind: Column, entity: Column, surrogate: Column) -> Column:
     )
 
 
-def choose_surrogates(entities: DataFrame, key: str, max_attempts: int = 20) -> DataFrame:
-    """(kind, norm, surrogate) for distinct (kind, norm): distinct within a kind and none a real entity."""
+def choose_surrogates(entities: DataFrame, key: str) -> DataFrame:
+    """(kind, norm, surrogate) for distinct (kind, norm): distinct within a kind and none a real entity.
+
+    Every type grows with the rounds, so all are settled in the end.
+    """
     open_ = materialized(entities.select("kind", "norm").distinct(), "pii-entities")
     real = open_.select("kind", F.col("norm").alias("surrogate"))
     settled = None
-    for attempt in range(max_attempts):
+    for attempt in count():
         drawn = open_.withColumn("surrogate", surrogate_norm(key, F.col("kind"), F.col("norm"), F.lit(attempt)))
         drawn = materialized(drawn, "pii-drawn")
         winners = drawn.groupBy("kind", "surrogate").agg(F.min("norm").alias("norm"))
@@ -222,7 +231,6 @@ def choose_surrogates(entities: DataFrame, key: str, max_attempts: int = 20) ->
         open_ = materialized(open_.join(new, ["kind", "norm"], "left_anti"), "pii-open")
         if open_.isEmpty():
             return settled
-    raise ValueError(f"no distinct surrogates after {max_attempts} attempts; the key space of some type is exhausted")
 
 
 def replace_entities(docs: DataFrame, key: str, text: str = "text", n_entities: str = "n_entities") -> DataFrame:
