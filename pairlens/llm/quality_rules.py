@@ -1,8 +1,8 @@
 """Quality rules: base counts, and a calibrated logistic regression on hashed n-grams.
 
-The features of a text are the relative frequencies of its words and of its byte
-3-grams in ``DIMENSIONS`` hashed slots each, so a score is a mean of weights and
-needs one look-up per word and byte. The model is fitted on at most ``sample``
+The features of a text are the relative frequencies of its words and pairs of words, and of its
+3-grams of code points, in ``DIMENSIONS`` hashed slots each, so a score is a mean of weights and
+needs two look-ups per word and one per character. No n-gram reaches over a text's end. The model is fitted on at most ``sample``
 labelled rows (those of smallest hashed id) that pass the base rules, with every
 fifth one held out to calibrate the probability. A document is kept if it passes the
 base rules and its probability of good quality is at least ``threshold``.
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairlens.llm.common import empty_safe, fresh_name, nonspace_table, slices, texts_of, windows_hash, with_columns, words_of
+from pairlens.llm.common import empty_safe, fresh_name, mix, nonspace_table, slices, texts_of, windows_hash, with_columns, words_of
 
 DIMENSIONS = 1 << 13
 REPEAT_WINDOW = 8
@@ -71,17 +71,22 @@ def base_failed(counts: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def feature_slots(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Slots of words and of byte 3-grams, each with the text they are in."""
+    """Slots of single words and pairs, and of 3-grams of code points, each with the text they lie in as a whole."""
     words = words_of(texts, NONSPACE, lower=False)
-    grams = words.buffer[:-2].astype(np.uint32)
-    grams = (grams << 16) | (words.buffer[1:-1].astype(np.uint32) << 8) | words.buffer[2:]
-    grams = (grams * np.uint32(2654435761)) >> np.uint32(32 - 13)
-    text = np.repeat(np.arange(len(texts)), np.diff(words.offsets))[: len(grams)]
-    return (words.hashes & np.uint64(DIMENSIONS - 1)).astype(np.int64), words.text, grams.astype(np.int64) + DIMENSIONS, text
+    both = words.text[:-1] == words.text[1:]
+    pairs = mix(words.hashes[:-1] * np.uint64(0x9FB21C651E98DF25) + words.hashes[1:])[both]
+    slots = (np.concatenate([words.hashes, pairs]) & np.uint64(DIMENSIONS - 1)).astype(np.int64)
+    plain = [t.decode("utf-8", "replace") for t in texts]
+    points = np.frombuffer("".join(plain).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    text = np.repeat(np.arange(len(texts)), [len(t) for t in plain])
+    inside = text[:-2] == text[2:]
+    grams = mix((points[:-2] << np.uint64(42)) | (points[1:-1] << np.uint64(21)) | points[2:])[inside]
+    grams = (grams & np.uint64(DIMENSIONS - 1)).astype(np.int64) + DIMENSIONS
+    return slots, np.concatenate([words.text, words.text[:-1][both]]), grams, text[:-2][inside]
 
 
 def linear_scores(texts: list[bytes], weights: np.ndarray) -> np.ndarray:
-    """Mean weight of the words plus mean weight of the 3-grams."""
+    """Mean weight of the words and pairs plus mean weight of the 3-grams; a text's score does not depend on the others."""
     out = np.zeros(len(texts))
     slots = feature_slots(texts)
     for at, text in (slots[:2], slots[2:]):
