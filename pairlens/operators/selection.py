@@ -105,11 +105,17 @@ def _row_ranks(runs: DataFrame, value: str) -> DataFrame:
 
 
 def repeatability(
-    first: DataFrame, second: DataFrame, max_share: float = 0.1, top: int = 3, deciles: int = 10
+    first: DataFrame,
+    second: DataFrame,
+    max_share: float = 0.1,
+    top: int = 3,
+    deciles: int = 10,
+    min_rank: float = 0.9,
+    min_overlap: float = 0.5,
 ) -> DataFrame:
     """Gates on two scoring runs ``(row_id, trait, score)`` of the same rows.
 
-    Result ``(gate, trait, value)``: Spearman of the trait-mean vectors, equality
+    Result ``(gate, trait, value, passed)``; ``passed`` is NULL for a bound and for a value that does not exist: Spearman of the trait-mean vectors, equality
     of the top trait sets, largest trait-mean difference and its share of the
     pooled interquartile range (with the bound it must stay under), and per
     trait the row Spearman and the overlap of the extreme deciles.
@@ -130,8 +136,10 @@ def repeatability(
     iqr = quartiles.select(F.col("q1") - F.col("q0")).scalar()
     everyone = F.lit("")
 
-    def gate(df: DataFrame, name: str, value: Column, trait: Column = everyone) -> DataFrame:
-        return df.select(F.lit(name).alias("gate"), trait.alias("trait"), value.alias("value"))
+    def gate(df: DataFrame, name: str, value: Column, passed: Column, trait: Column = everyone) -> DataFrame:
+        return df.select(
+            F.lit(name).alias("gate"), trait.alias("trait"), value.alias("value"), passed.cast("boolean").alias("passed")
+        )
 
     ranked = means.select(
         average_rank("a", [F.lit(0)]).alias("a"), average_rank("b", [F.lit(0)]).alias("b")
@@ -168,15 +176,18 @@ def repeatability(
         )
         return both.groupBy("trait").agg((F.count("hit") / F.max("n")).alias("share"))
 
+    gap, share, r = F.col("gap"), F.col("share"), F.col("r")
+    allowed = iqr * F.lit(max_share)
+    trait = F.col("trait")
     gates = [
-        gate(summary, "trait_mean_spearman", F.col("r")),
-        gate(tops, "top_traits_equal", (F.col("a") == F.col("b")).cast("double")),
-        gate(tops, "max_mean_difference", F.col("gap")),
-        gate(tops, "share_of_pooled_iqr", F.try_divide(F.col("gap"), iqr)),
-        gate(tops, "allowed_mean_difference", iqr * F.lit(max_share)),
-        gate(row_rank, "row_spearman", F.col("r"), F.col("trait")),
-        gate(overlap("top"), "top_decile_overlap", F.col("share"), F.col("trait")),
-        gate(overlap("bottom"), "bottom_decile_overlap", F.col("share"), F.col("trait")),
+        gate(summary, "trait_mean_spearman", r, r >= min_rank),
+        gate(tops, "top_traits_equal", (F.col("a") == F.col("b")).cast("double"), F.col("a") == F.col("b")),
+        gate(tops, "max_mean_difference", gap, gap <= allowed),
+        gate(tops, "share_of_pooled_iqr", F.try_divide(gap, iqr), F.try_divide(gap, iqr) <= max_share),
+        gate(tops, "allowed_mean_difference", allowed, F.lit(None)),
+        gate(row_rank, "row_spearman", r, r >= min_rank, trait),
+        gate(overlap("top"), "top_decile_overlap", share, share >= min_overlap, trait),
+        gate(overlap("bottom"), "bottom_decile_overlap", share, share >= min_overlap, trait),
     ]
     result = gates[0]
     for more in gates[1:]:

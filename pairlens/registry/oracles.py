@@ -598,7 +598,7 @@ def pair_totals() -> dict[str, str]:
 
 SELECTABLE = {
     "s": score_rows_sql(f"{ROW_ID} AS row_id"),
-    "rows_": "SELECT dataset_trait, row_id, chosen_response_tokens, rejected_response_tokens, "
+    "rows_": "SELECT dataset_trait, row_id, prompt_hash, chosen_response_tokens, rejected_response_tokens, "
     f"{formula_sql('sum', 't0')} AS score FROM s",
     "ord": "SELECT *, row_number() OVER (PARTITION BY dataset_trait ORDER BY score DESC, "
     f"{digest('row_id')}, row_id) AS position, "
@@ -636,22 +636,20 @@ def repeatability_sql() -> str:
         "count(*) OVER (PARTITION BY trait) AS n FROM runs",
     }
     gates = [
-        "SELECT 'trait_mean_spearman' AS gate, '' AS trait, corr(a, b) AS value FROM mrank",
-        "SELECT 'top_traits_equal', '', CAST(same AS DOUBLE) FROM tops",
-        "SELECT 'max_mean_difference', '', g FROM gap",
-        "SELECT 'share_of_pooled_iqr', '', g / q FROM gap, iqr",
-        "SELECT 'allowed_mean_difference', '', q * CAST(0.1 AS DOUBLE) FROM iqr",
-        "SELECT 'row_spearman', trait, corr(a, b) FROM rk GROUP BY trait",
+        "SELECT 'trait_mean_spearman' AS gate, '' AS trait, corr(a, b) AS value, corr(a, b) >= 0.9 AS passed FROM mrank",
+        "SELECT 'top_traits_equal', '', CAST(same AS DOUBLE), same FROM tops",
+        "SELECT 'max_mean_difference', '', g, g <= q * CAST(0.1 AS DOUBLE) FROM gap, iqr",
+        "SELECT 'share_of_pooled_iqr', '', g / q, g / q <= CAST(0.1 AS DOUBLE) FROM gap, iqr",
+        "SELECT 'allowed_mean_difference', '', q * CAST(0.1 AS DOUBLE), NULL FROM iqr",
+        "SELECT 'row_spearman', trait, corr(a, b), corr(a, b) >= 0.9 FROM rk GROUP BY trait",
     ]
     size = "ceil(n / CAST(10 AS DOUBLE))"
     for side, rule in (("top", "{0} <= " + size), ("bottom", "{0} > n - " + size)):
         hit = f"({rule.format('pa')}) AND ({rule.format('pb')})"
-        gates.append(
-            f"SELECT '{side}_decile_overlap', trait, count(*) FILTER ({hit}) / max({size}) "
-            "FROM pos GROUP BY trait"
-        )
+        share = f"count(*) FILTER ({hit}) / max({size})"
+        gates.append(f"SELECT '{side}_decile_overlap', trait, {share}, {share} >= 0.5 FROM pos GROUP BY trait")
     body = union(gates)
-    return query(ctes, f"SELECT gate, trait, {r('value', 6, 'value')} FROM ({body})")
+    return query(ctes, f"SELECT gate, trait, {r('value', 6, 'value')}, passed FROM ({body})")
 
 
 def study_sql() -> str:
@@ -1061,6 +1059,10 @@ def oracle_sql() -> dict[str, str]:
         "select_threshold": query(
             SELECTABLE, "SELECT dataset_trait, row_id, score FROM rows_ WHERE score >= 2.5"
         ),
+        "selection_manifest": query(
+            SELECTABLE,
+            "SELECT dataset_trait, sha256(row_id) AS row_hash, prompt_hash, 'top fraction 0.1 by score' AS rule FROM sel",
+        ),
         "random_control": query(
             {
                 **SELECTABLE,

@@ -778,7 +778,7 @@ def sentinel_checks(spark, sf_dir):
 # --- selection and repeated runs -------------------------------------------
 
 
-def _selectable(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _selectable(spark: SparkSession, sf_dir: str, *extra) -> DataFrame:
     base = fx.lineitem_scores(spark, sf_dir, fx.row_id().alias("row_id"))
     kept = scores.with_scores(base, ["t0"], ["sum"])
     return kept.select(
@@ -787,6 +787,7 @@ def _selectable(spark: SparkSession, sf_dir: str) -> DataFrame:
         "chosen_response_tokens",
         "rejected_response_tokens",
         F.col("delta_sum_t0").alias("score"),
+        *extra,
     )
 
 
@@ -818,6 +819,13 @@ def select_threshold(spark, sf_dir):
     return chosen.select("dataset_trait", "row_id", "score")
 
 
+@register
+def selection_manifest(spark, sf_dir):
+    """The record a selection leaves: dataset, row and prompt hashes, and its rule."""
+    rows = _selectable(spark, sf_dir, "prompt_hash", F.sha2("row_id", 256).alias("row_hash"))
+    return selection.selection_manifest(_selected(rows), "dataset_trait", ["row_hash", "prompt_hash"])
+
+
 @register
 def random_control(spark, sf_dir):
     rows = _selectable(spark, sf_dir)
