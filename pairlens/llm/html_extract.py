@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -50,6 +51,7 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes".split(
 SILENT = frozenset("head script style template noscript title textarea select option button svg iframe object audio video canvas map input label".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPE = frozenset("ul ol dl table".split())
+P_SCOPE = frozenset("table td th button".split())
 
 AGAINST = frozenset("nav header footer aside form dialog menu".split())
 FOR = frozenset("article main".split())
@@ -94,8 +96,8 @@ def parse(page: str) -> list[Block]:
     """The page's blocks in page order; the first is the document."""
     blocks = [Block("html", -1, set(), 0, False)]
     stack: list[tuple[str, int, bool]] = [("html", 0, False)]  # open elements: tag, block, whether it is a link
-    serial = at = 0
-    skip_to = ""
+    open_tags: Counter[str] = Counter()
+    links = serial = at = 0
 
     def text(raw: str) -> None:
         nonlocal serial
@@ -104,14 +106,23 @@ def parse(page: str) -> list[Block]:
             piece = entities.unescape(raw)
             blocks[block].parts.append(piece)
             blocks[block].order.append(serial)
-            if any(link for _, _, link in stack):
+            if links:
                 blocks[block].linked += len(piece.strip())
         serial += 1
 
+    def drop(k: int) -> None:
+        nonlocal links
+        for name, _, link in stack[k:]:
+            open_tags[name] -= 1
+            links -= link
+        del stack[k:]
+
     def close(tag: str, barrier: frozenset = frozenset()) -> None:
+        if not open_tags[tag]:
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k][0] == tag:
-                del stack[k:]
+                drop(k)
                 return
             if stack[k][0] in barrier:
                 return
@@ -141,8 +152,7 @@ def parse(page: str) -> list[Block]:
         if tag in BLOCKS:
             for other in CLOSES.get(tag, ()):
                 close(other, SCOPE)
-            if any(t == "p" for t, _, _ in stack):
-                close("p", frozenset("table td th button".split()))
+            close("p", P_SCOPE)
             parent = stack[-1][1]
         tokens, hidden = _attributes(m[3]) if m[3] else (set(), False)
         silent = tag in SILENT or hidden or blocks[parent].silent
@@ -155,10 +165,13 @@ def parse(page: str) -> list[Block]:
             parent = len(blocks) - 1
         if not m[3].endswith("/") or tag in BLOCKS:
             stack.append((tag, parent, tag == "a"))
+            open_tags[tag] += 1
+            links += tag == "a"
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
-            stack.pop()
+            if stack[-1][0] == tag:
+                drop(len(stack) - 1)
     text(page[at:])
     return blocks
 
@@ -196,15 +209,21 @@ def features(blocks: list[Block]) -> np.ndarray:
     out = np.zeros((n, len(FEATURES)))
     total = max(1.0, whole[0, 0])
     before = np.concatenate([[0], np.cumsum(length)[:-1]])
+    place = np.zeros(n)
+    around_of = np.zeros((n, len(base)))
+    for k, b in enumerate(blocks):
+        if b.children:
+            place[b.children] = np.arange(len(b.children)) / len(b.children)
+            around_of[k] = whole[:, b.children].sum(axis=1)
     for k, b in enumerate(blocks):
-        family = blocks[b.parent].children if b.parent >= 0 else [0]
+        family = len(blocks[b.parent].children) if b.parent >= 0 else 1
         size = whole[:, k]
-        around = whole[:, family].sum(axis=1)
+        around = around_of[b.parent] if b.parent >= 0 else size
         bad = bool(b.tokens & BAD_TOKENS) or any("role " + r in b.tokens for r in BAD_ROLES)
         good = bool(b.tokens & GOOD_TOKENS)
         above = out[b.parent] if b.parent >= 0 else np.zeros(len(FEATURES))
         out[k] = (
-            b.depth, len(b.children), len(family), family.index(k) / len(family) if len(family) < 1000 else 0.5, size[0] / max(1, around[0]),
+            b.depth, len(b.children), family, place[k], size[0] / max(1, around[0]),
             np.log1p(length[k]), np.log1p(size[0]), size[1] / max(1, size[0]), size[2] / max(1, size[0]), size[3] / max(1, size[8]),
             size[4] / max(1, size[3]), size[5] / max(1, size[0]), np.log1p(size[6]), np.log1p(size[7]),
             b.tag in AGAINST, b.tag in FOR, b.tag in ("p", "blockquote", "pre"), b.tag[0] == "h" and b.tag[1:].isdigit(),

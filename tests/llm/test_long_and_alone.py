@@ -4,6 +4,7 @@ import time
 
 import numpy as np
 
+from pairlens.llm.html_extract import FEATURES, features, parse
 from pairlens.llm.quality_rules import DIMENSIONS, feature_slots, linear_scores
 from pairlens.llm.surrogates import replace_entities
 
@@ -39,3 +40,15 @@ def test_features_are_words_pairs_and_code_points():
     assert np.bincount(of_word, minlength=4).tolist() == [7, 1, 1, 0]
     assert len(set(words[of_word == 0].tolist())) == 4
     assert np.bincount(of_gram, minlength=4).tolist() == [5, 0, 1, 0]
+
+
+def test_pages_of_many_siblings_and_open_elements():
+    for count in (999, 1000, 20_000):
+        blocks = parse("<ul>" + "<li>item" * count)
+        table = features(blocks)
+        places = [row[FEATURES.index("place")] for row, b in zip(table, blocks) if b.tag == "li"]
+        assert places == [k / count for k in range(count)]
+    start = time.perf_counter()
+    page = "<div><b><a href=x>" * 3000 + "text</i></u>" * 20_000 + "<script/>" * 5 + "end"
+    assert features(parse(page)).shape[0] == 3002
+    assert time.perf_counter() - start < 30
