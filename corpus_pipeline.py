@@ -72,7 +72,7 @@ STAGES = [
     ("byte_bpe", encoded),
 ]
 
-#: The classifier and the tokenizer have no SQL form; tests hold the rows against a brute-force version.
+#: The classifier and the tokenizer have no SQL form. Tests run the stages one by one; there is no brute-force twin yet.
 ORACLE_SQL = None
 
 
