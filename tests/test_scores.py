@@ -217,6 +217,10 @@ def test_bootstrap_matches_its_draws(spark, method, limit):
         draws = resample.multinomial_draws(indexed, 20, 7).collect()
         picked = [(r.replicate, 1, *by_index[r.group_index]) for r in draws]
         assert len(draws) == 20 * 40
+    elif method == "split":
+        drawn = resample.split_draws(resample.group_index(stats), 20, 7).collect()
+        picked = [(r.replicate, r.weight, r.n, r.sum_sum_x) for r in drawn]
+        assert sum(p[1] for p in picked) == 20 * 40
     else:
         drawn = resample.poisson_draws(stats, 20, 7).collect()
         picked = [(r.replicate, r.weight, r.n, r.sum_sum_x) for r in drawn]
