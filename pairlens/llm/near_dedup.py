@@ -11,12 +11,20 @@ are independent. Nodes are never parted further; those of two or more members ar
   ``BLOCK`` members lie outside its main component. Its members are dealt into blocks of
   about ``BLOCK``, and each block meets all those outsiders: a task holds one block,
 - the members of other nodes are dealt into such blocks too and each block is compared in itself, which
-  joins most of a group of near copies. After ``MAX_LEVELS`` such rounds, dealt anew each time, what
-  is not small is compared in full, each block with all outsiders, part by part.
+  joins most of a group of near copies,
+- after ``MAX_LEVELS`` such rounds, dealt anew each time, the members of all nodes that are still not small branch
+  once more, on their rare shingles, and the nodes that this gives go through one such round. Only what is not small even then
+  is compared in full, each block with all guests, part by part.
+
+The last branching loses no link. In one order of all shingles, in which those that more than ``BLOCK`` of these members hold
+come last, two linked sets of n <= m shingles share one of the first n - ceil(2 t n / (1 + t)) + 1 of the smaller and the first
+m - ceil(t m) + 1 of the larger. So each member goes to the nodes of its first m - ceil(t m) + 1 shingles, and is a seed in those
+of the fewer. Pairs without a seed need not meet: the guests of a node are its seeds where these are fewer than the
+members outside its main component. Texts that are alike but for words of their own share no such node, however large their group.
+Only the ``HOT`` most frequent of those shingles are held, by count; any order is exact, more would only make smaller nodes.
 
 So no task holds a large node, no link is skipped because a node is large, and a block
-returns only the links that join what it had apart. The full comparison grows with members times outsiders
-of a node. Representatives of at most ``WHOLE`` shingles are
+returns only the links that join what it had apart. Representatives of at most ``WHOLE`` shingles are
 compared on their full sets, which they carry. Of longer ones the least ``WHOLE`` hashes
 are carried; pairs that these leave possible (five standard errors) are confirmed on the full
 sets, computed from both texts.
@@ -49,6 +57,7 @@ DEPTH = 3
 BLOCK = 256
 WHOLE = 256
 MAX_LEVELS = 2
+HOT = 1 << 19
 WIDTH = TREES * DEPTH * 2
 
 NONSPACE = nonspace_table()
@@ -135,6 +144,67 @@ def _planted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _frequencies(size: int):
+    """(shingle, number of sets that hold it), added up per slice of a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = texts_of(batch["text"])
+            for a, b in slices(texts):
+                values, times = np.unique(np.concatenate(shingle_sets(texts[a:b], size)), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(times)], names=["shingle", "times"])
+
+    return run
+
+
+def rare_first(shingles: np.ndarray, hot: np.ndarray, rank: np.ndarray, ratio: tuple[int, int]) -> tuple[np.ndarray, int]:
+    """The first shingles of a set that a linked set of at most its size may start to share, and how many of them may meet a larger one.
+
+    ``hot`` is sorted, ``rank`` its places in the common order, in which all other shingles come first, by value.
+    """
+    n = len(shingles)
+    at = np.minimum(np.searchsorted(hot, shingles), max(0, len(hot) - 1))
+    place = np.where(hot[at] == shingles, rank[at] + 1, 0) if len(hot) else np.zeros(n, np.int64)
+    probe = n + n * ratio[0] // -ratio[1] + 1
+    seeds = n + 2 * n * ratio[0] // -(ratio[0] + ratio[1]) + 1
+    return shingles[np.lexsort((shingles, place))[:probe]], seeds
+
+
+def _rare_nodes(size: int, ratio: tuple[int, int], order):
+    """One row per node of a text's rare shingles; ``order`` broadcasts hot shingles and their ranks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, rank = order.value
+        for batch in batches:
+            texts = texts_of(batch["text"])
+            for a, b in slices(texts):
+                sets = shingle_sets(texts[a:b], size)
+                firsts = [rare_first(s, hot, rank, ratio) for s in sets]
+                many = [len(first) for first, _ in firsts]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate([first for first, _ in firsts]).view(np.int64)),
+                        batch["id"].slice(a, b - a).take(pa.array(np.repeat(np.arange(b - a), many))),
+                        pa.array(np.repeat([len(s) for s in sets], many).astype(np.int64)),
+                        pa.array(np.concatenate([np.arange(len(first)) < seeds for first, seeds in firsts])),
+                    ],
+                    names=["node", "id", "n", "seed"],
+                )
+
+    return run
+
+
+def rare_nodes(plain: DataFrame, members: DataFrame, size: int, ratio: tuple[int, int]) -> DataFrame:
+    """(node, id, n, seed): the texts of ``members`` (id) at each of their rare shingles."""
+    texts = materialized(plain.join(members, "id", "left_semi"), "nd-wide")
+    counts = texts.mapInArrow(_frequencies(size), "shingle long, times long").groupBy("shingle").agg(F.sum("times").alias("times"))
+    hot = counts.where(F.col("times") > BLOCK).orderBy(F.desc("times"), "shingle").limit(HOT).toPandas()
+    values = hot["shingle"].to_numpy(np.int64).view(np.uint64)
+    by_value = np.argsort(values)
+    order = plain.sparkSession.sparkContext.broadcast((values[by_value], len(values) - 1 - by_value))
+    return materialized(texts.mapInArrow(_rare_nodes(size, ratio, order), "node long, id long, n long, seed boolean"), "nd-rare")
+
+
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     """The size of the intersection of any two of ``sets``."""
     owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
@@ -292,26 +362,29 @@ class _Texts:
 
 
 def _state(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """``nodes`` (node, id, n) with the members' components, and per node its size, main component and members outside that.
+    """``nodes`` (node, id, n, seed) with the members' components, and per node its size, main component and number of guests.
 
-    Nodes of one component go. Of nodes with the same members, one stays.
+    Guests are the members outside the main component, or the seeds where these are fewer.
+    Nodes of one component or without a guest go. Of nodes with the same members, one stays.
     """
     named = nodes.withColumn("component", F.col("id"))
     if labels is not None:
         named = nodes.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    marks = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"mark{k}") for k in (1, 2)]
-    counted = named.groupBy("node", "component").agg(F.count(F.lit(1)).alias("members"), *marks)
+    marks = [F.bit_xor(F.xxhash64("id", "seed", F.lit(k))).alias(f"mark{k}") for k in (1, 2)]
+    counted = named.groupBy("node", "component").agg(F.count(F.lit(1)).alias("members"), F.count_if("seed").alias("seeds"), *marks)
     top = counted.groupBy("node").agg(
-        F.max(F.struct("members", "component")).alias("top"), F.sum("members").alias("size"),
+        F.max(F.struct("members", "component")).alias("top"), F.sum("members").alias("size"), F.sum("seeds").alias("seeds"),
         *[F.bit_xor(m).alias(m) for m in ("mark1", "mark2")],
     )
-    top = top.withColumn("outside", F.col("size") - F.col("top.members")).where("outside > 0")
+    top = top.withColumn("outside", F.col("size") - F.col("top.members")).where("outside > 0 AND seeds > 0")
+    top = top.withColumns({"by_seed": F.col("seeds") < F.col("outside"), "outside": F.least("outside", "seeds")})
     top = (
         top.groupBy("size", "mark1", "mark2")
-        .agg(F.min(F.struct("node", F.col("top.component").alias("main"), "outside")).alias("x"))
+        .agg(F.min(F.struct("node", F.col("top.component").alias("main"), "outside", "by_seed")).alias("x"))
         .select("x.*", "size")
     )
-    return named.join(top, "node")
+    guest = F.when(F.col("by_seed"), F.col("seed")).otherwise(F.col("component") != F.col("main"))
+    return named.join(top, "node").withColumn("guest", guest).drop("main", "by_seed")
 
 
 def _blocks(state: DataFrame, level: int, last: bool) -> DataFrame:
@@ -324,7 +397,7 @@ def _blocks(state: DataFrame, level: int, last: bool) -> DataFrame:
     own = dealt.withColumn("block", F.pmod(F.xxhash64("id", "node", F.lit(level)), "blocks"))
     meets = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("parts") - 1, F.lit(0)))) if last else F.lit(0)
     own = own.withColumn("part", meets)
-    guests = dealt.where("parts > 0 AND component <> main").withColumn("part", F.pmod(F.xxhash64("node", "id"), "parts"))
+    guests = dealt.where("parts > 0 AND guest").withColumn("part", F.pmod(F.xxhash64("node", "id"), "parts"))
     guests = guests.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     columns = [*(F.col(c).cast("long").alias(c) for c in ("node", "block", "part")), "id", "component"]
     return own.select(*columns).unionByName(guests.select(*columns))
@@ -353,13 +426,18 @@ def near_duplicates(
     )
     planted = materialized(classes.select("id", "n", "nodes").mapInArrow(_planted, "node long, id long, n long"), "nd-nodes")
     shared = planted.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("node")
-    nodes = planted.join(shared, "node", "left_semi")
+    nodes = planted.join(shared, "node", "left_semi").withColumn("seed", F.lit(True))
 
     carried = classes.select("id", "n", "least")
     links = labels = tested = texts = None
-    for level in range(MAX_LEVELS + 1):
-        last = level == MAX_LEVELS
+    for level in range(MAX_LEVELS + 2):
+        last = level == MAX_LEVELS + 1
         state = materialized(_state(nodes, labels), "nd-state")
+        wide = state.where(f"outside > {BLOCK}")
+        if level == MAX_LEVELS and not wide.isEmpty():
+            rare = rare_nodes(plain, wide.select("id").distinct(), size, ratio)
+            small = state.where(f"outside <= {BLOCK}").select(*rare.columns)
+            state = materialized(_state(small.unionByName(rare), labels), "nd-state")
         if state.isEmpty():
             break
         work = _blocks(state, level, last)
@@ -385,7 +463,7 @@ def near_duplicates(
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             labels = components(links)
-        nodes = state.where(f"outside > {BLOCK}").select("node", "id", "n")
+        nodes = state.where(f"outside > {BLOCK}").select("node", "id", "n", "seed")
     if texts is not None:
         texts.drop()
 

@@ -115,7 +115,7 @@ def test_near_duplicates(docs, rows, size, ratio):
         assert (r.n_shingles, r.component_id, r.kept) == (len(sets[i]), component[i], component[i] == i)
 
 
-@pytest.mark.parametrize("limits", [{"BLOCK": 4}, {"BLOCK": 3, "MAX_LEVELS": 1}])
+@pytest.mark.parametrize("limits", [{"BLOCK": 4}, {"BLOCK": 3, "MAX_LEVELS": 1}, {"BLOCK": 4, "MAX_LEVELS": 0, "HOT": 3}])
 def test_near_duplicates_in_wide_nodes(docs, rows, limits, monkeypatch):
     """Blocks, branching and the full comparison at the end, forced by small limits; more members are similar by just less than the threshold."""
     rng = random.Random(9)
@@ -147,6 +147,25 @@ def test_near_duplicates_in_a_group_just_below(spark, monkeypatch):
     test_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4), rows, 1, (85, 100))
 
 
+@pytest.mark.parametrize("ratio", [(85, 100), (80, 100)])
+def test_rare_shingles_of_linked_sets_meet(ratio):
+    """A seed of the smaller set is among the rare shingles of the larger, whichever shingles are hot."""
+    rng, linked = np.random.default_rng(1), 0
+    for _ in range(5000):
+        pool = np.unique(rng.integers(0, 1 << 40, 60).astype(np.uint64))
+        n, edits = rng.integers(1, 40), rng.integers(0, 4)
+        x = np.sort(rng.choice(pool, n, False))
+        y = np.union1d(rng.choice(x, max(1, n - edits), False), rng.choice(pool, edits, False))
+        both = len(np.intersect1d(x, y))
+        if ratio[1] * both >= ratio[0] * (len(x) + len(y) - both):
+            linked += 1
+            hot = np.sort(rng.choice(pool, rng.integers(0, 20), False))
+            rank = rng.permutation(len(hot))
+            (a, seeds), (b, _) = (near_dedup.rare_first(s, hot, rank, ratio) for s in sorted((x, y), key=len))
+            assert set(a[:seeds].tolist()) & set(b.tolist())
+    assert linked > 2000
+
+
 def test_trees_are_independent(monkeypatch):
     """Two trees miss a pair at the threshold as seldom as the docstring says for independent ones."""
     monkeypatch.setattr(near_dedup, "TREES", 2)
