@@ -79,6 +79,20 @@ def bundle_scores(spark: SparkSession, sf_dir: str, revision: str) -> DataFrame:
     return scored.select(*score_schema(TRAITS).names)
 
 
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of orders, a thousand keys a part; every 500th key holds a path that a scan finds."""
+    key = F.col("o_orderkey")
+    mark = F.when(key % 500 == 0, "see /mnt/share")
+    value = F.concat_ws("|", key.cast("string"), F.col("o_custkey").cast("string"), "o_orderstatus", mark)
+    return table(spark, sf_dir, "orders").select(F.floor(key / 1000).cast("long").alias("part"), value.alias("value"))
+
+
+def write_order_files(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """``order_lines`` as one text file per part, lines in binary order."""
+    lines = order_lines(spark, sf_dir).repartition("part").sortWithinPartitions("part", "value")
+    lines.write.partitionBy("part").text(path)
+
+
 def planted_scores(spark: SparkSession, sf_dir: str, revision: str) -> DataFrame:
     """The 61-column table with one kind of defect per residue of ``row_key``."""
     key = F.col("row_key")

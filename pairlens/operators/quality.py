@@ -300,8 +300,14 @@ def dataset_report(checks: DataFrame, facts: DataFrame) -> DataFrame:
     )
 
 
-def bundle_totals(report: DataFrame) -> DataFrame:
-    """Totals over the datasets that passed."""
+def bundle_totals(
+    report: DataFrame, checks: DataFrame | None = None, findings: DataFrame | None = None
+) -> DataFrame:
+    """Totals over the datasets that passed.
+
+    ``checks`` add ``schema_identical``; ``findings`` of a text scan are counted and
+    each fails the bundle.
+    """
     passed = F.col("passed")
     columns = [
         F.every(passed).alias("passed"),
@@ -312,4 +318,11 @@ def bundle_totals(report: DataFrame) -> DataFrame:
     if "size_bytes" in report.columns:
         total = F.coalesce(F.sum(F.when(passed, F.col("size_bytes"))), F.lit(0))
         columns.append(total.alias("total_bytes"))
-    return report.agg(*columns)
+    totals = report.agg(*columns)
+    if checks is not None:
+        differs = (F.col("check") == "schema_differs") & (F.col("n_bad") > 0)
+        totals = totals.withColumn("schema_identical", checks.select(F.count_if(differs) == 0).scalar())
+    if findings is not None:
+        totals = totals.withColumn("text_findings", findings.select(F.count(F.lit(1))).scalar())
+        totals = totals.withColumn("passed", F.col("passed") & (F.col("text_findings") == 0))
+    return totals

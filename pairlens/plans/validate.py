@@ -21,39 +21,50 @@ from pairlens.operators.quality import (
     schema_checks,
     unique_checks,
 )
+from pairlens.operators.scan import BINARY_SUFFIXES, PATTERNS, TEXT_SUFFIXES, Pattern, scan_files, scan_text
 from pairlens.session import materialized
-from pairlens.sources.files import file_facts, parquet_footers
+from pairlens.sources.files import (
+    dataset_digests,
+    file_facts,
+    list_files,
+    parquet_footers,
+    read_text_files,
+)
 from pairlens.sources.tables import read_manifest, read_score_files, score_files
 
 
 class BundleReport(NamedTuple):
-    """Checks per dataset, one report row per dataset, and the totals row."""
+    """Checks per dataset, one report row per dataset, the totals row, and findings of the text scan, if asked for."""
 
     checks: DataFrame
     datasets: DataFrame
     totals: DataFrame
+    findings: DataFrame | None = None
 
 
 def observed_facts(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(facts per dataset, footers per file)`` of listed score files.
 
-    A dataset of one file has that file's digest; of several, the digest of their
-    sorted digests.
+    A dataset of one file has that file's digest; of several, ``dataset_digests`` combines them.
     """
     names = files.select("path", "dataset")
     footers = materialized(parquet_footers(files).join(names, "path"), "footers")
-    facts = file_facts(files).join(footers.select("path", "dataset", "rows"), "path")
-    digests = F.array_sort(F.collect_list("sha256"))
-    one = F.element_at(digests, 1)
-    combined = F.sha2(F.array_join(digests, ""), 256)
-    per_dataset = facts.groupBy("dataset").agg(
-        F.sum("rows").alias("rows"),
-        F.sum("length").alias("size_bytes"),
-        F.when(F.count(F.lit(1)) == 1, one).otherwise(combined).alias("sha256"),
-    )
+    digests = dataset_digests(file_facts(files).join(names, "path")).drop("files")
+    rows = footers.groupBy("dataset").agg(F.sum("rows").alias("rows"))
+    per_dataset = rows.join(digests, "dataset").select("dataset", "rows", "size_bytes", "sha256")
     return materialized(per_dataset, "facts"), footers
 
 
+def text_findings(
+    spark: SparkSession, path: str, patterns: Sequence[Pattern] = PATTERNS
+) -> DataFrame:
+    """Findings ``(path, line_number, pattern)`` in texts and files below ``path``; those on whole files have no line."""
+    texts = read_text_files(spark, path, TEXT_SUFFIXES)
+    lines = scan_text(texts, "path", "text", patterns)
+    whole = scan_files(list_files(spark, path), suffixes=BINARY_SUFFIXES)
+    return lines.unionByName(whole, allowMissingColumns=True)
+
+
 def validate_bundle(
     spark: SparkSession,
     path: str,
@@ -61,9 +72,12 @@ def validate_bundle(
     adapters: Sequence[str],
     manifest_path: str,
     revision: str | None = None,
+    text_root: str | None = None,
 ) -> BundleReport:
     """Run every check; a manifest that does not cover the vocabulary fails at once.
 
+    With ``text_root`` the texts below it are scanned too, and any finding fails the bundle.
+
     Datasets whose files cannot be read under the closed schema are reported from
     their footers and left out of the row scan, so they do not hide the others.
     """
@@ -98,4 +112,7 @@ def validate_bundle(
     union = materialized(union, "checks")
     names = manifest.select("dataset")
     report = dataset_report(union, names.join(observed, "dataset", "left"))
-    return BundleReport(union, report, bundle_totals(report))
+    findings = None
+    if text_root is not None:
+        findings = materialized(text_findings(spark, text_root), "findings")
+    return BundleReport(union, report, bundle_totals(report, union, findings), findings)

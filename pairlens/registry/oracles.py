@@ -44,6 +44,55 @@ def commas(items) -> str:
     return ", ".join(items)
 
 
+def order_files() -> dict[str, str]:
+    """CTEs: text files of orders as (part, content)."""
+    mark = "CASE WHEN o_orderkey % 500 = 0 THEN 'see /mnt/share' END"
+    return {
+        "ol": f"SELECT o_orderkey // 1000 AS part, concat_ws('|', o_orderkey, o_custkey, o_orderstatus, {mark}) AS v "
+        "FROM orders",
+        "files": "SELECT part, string_agg(v, chr(10) ORDER BY v) || chr(10) AS content FROM ol GROUP BY 1",
+    }
+
+
+def tree_digest_sql(levels: int = 8) -> str:
+    """Range digests of 1,024 bytes combined four at a time; an only child stands for its node."""
+    ctes = order_files() | {
+        "n0": "SELECT part, unnest(range((length(content) + 1023) // 1024)) AS c, content FROM files",
+        "l0": "SELECT part, c, sha256(substr(content, c * 1024 + 1, 1024)) AS h, 1 AS n FROM n0",
+    }
+    for k in range(levels):
+        ctes[f"l{k + 1}"] = (
+            "SELECT part, c // 4 AS c, CASE WHEN count(*) = 1 THEN min(h) "
+            f"ELSE sha256(string_agg(h, '' ORDER BY c)) END AS h, sum(n) AS n FROM l{k} GROUP BY part, c // 4"
+        )
+    return query(
+        ctes,
+        "SELECT part, length(content) AS length, sha256(content) AS sha256, CAST(n AS BIGINT) AS chunks, "
+        f"h AS tree_sha256 FROM files JOIN l{levels} USING (part)",
+    )
+
+
+def dataset_digest_sql() -> str:
+    """Distinct digests with counts, combined by six, four, two and no leading digits."""
+    ctes = order_files() | {
+        "d": "SELECT CASE WHEN part = 0 THEN 'first' ELSE concat('d', part % 3) END AS dataset, "
+        "sha256(content) AS h, count(*) AS n, sum(length(content)) AS size FROM files GROUP BY 1, 2",
+        "x7": "SELECT dataset, h AS place, concat(h, ':', n) AS p, n, size, h AS one FROM d",
+    }
+    before = "x7"
+    for digits in (6, 4, 2, 0):
+        ctes[f"x{digits}"] = (
+            f"SELECT dataset, substr(place, 1, {digits}) AS place, sha256(string_agg(p, ',' ORDER BY place)) AS p, "
+            f"sum(n) AS n, sum(size) AS size, min(one) AS one FROM {before} GROUP BY dataset, substr(place, 1, {digits})"
+        )
+        before = f"x{digits}"
+    return query(
+        ctes,
+        "SELECT dataset, CAST(n AS BIGINT) AS files, CAST(size AS BIGINT) AS size_bytes, "
+        "CASE WHEN n = 1 THEN one ELSE p END AS sha256 FROM x0",
+    )
+
+
 def union(selects) -> str:
     return "\nUNION ALL ".join(selects)
 
@@ -964,6 +1013,20 @@ def oracle_sql() -> dict[str, str]:
             "CASE WHEN dataset_trait = 't7' THEN CAST(0.25 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END "
             "AS max_error FROM s GROUP BY dataset_trait",
         ),
+        "dq_bundle_totals": query(
+            {"s": score_rows_sql()},
+            "SELECT false AS passed, count(DISTINCT dataset_trait) AS datasets_validated, count(*) AS total_rows, "
+            "CAST(0 AS DOUBLE) AS max_error, true AS schema_identical, "
+            "(SELECT count(*) FROM orders WHERE o_orderkey % 500 = 0) AS text_findings "
+            "FROM s WHERE dataset_trait NOT IN ('t3', 't7')",
+        ),
+        "dq_file_schemas": query(
+            {"s": f"SELECT DISTINCT dataset_trait AS dataset FROM ({score_rows_sql()})"},
+            "SELECT dataset, 'schema_differs' AS \"check\", dataset = 't6' AS failed FROM s "
+            "UNION ALL SELECT dataset, 'hidden_raw_text', dataset IN ('t2', 't4') FROM s",
+        ),
+        "source_file_digests": tree_digest_sql(),
+        "source_dataset_digests": dataset_digest_sql(),
         "source_scores": query(
             deltas | {"s": score_rows_sql()},
             "SELECT dataset_trait AS file_dataset, dataset_trait, count(*) AS n, "

@@ -420,8 +420,7 @@ def dq_manifest(spark, sf_dir):
     return found.select("dataset", "check", "n_bad")
 
 
-@register
-def dq_bundle(spark, sf_dir):
+def _bundle_report(spark: SparkSession, sf_dir: str, text_root: str | None = None):
     """Write a bundle and its manifest, then validate the files."""
     path = scratch_path(spark, "bundle")
     table = fx.bundle_scores(spark, sf_dir, REVISION)
@@ -443,8 +442,46 @@ def dq_bundle(spark, sf_dir):
     # One entry per dataset, so the list is as short as the vocabulary.
     listed = entries.agg(F.to_json(F.collect_list(F.struct(*entries.columns))).alias("value"))
     listed.coalesce(1).write.text(f"{path}/manifest")
-    report = validate_bundle(spark, path, TRAITS, TRAITS, f"{path}/manifest", REVISION)
-    return report.datasets.drop("size_bytes", "sha256")
+    return validate_bundle(spark, path, TRAITS, TRAITS, f"{path}/manifest", REVISION, text_root)
+
+
+@register
+def dq_bundle(spark, sf_dir):
+    return _bundle_report(spark, sf_dir).datasets.drop("size_bytes", "sha256")
+
+
+@register
+def dq_bundle_totals(spark, sf_dir):
+    """Totals of the same bundle, two datasets of which fail, beside texts with findings."""
+    texts = scratch_path(spark, "texts")
+    fx.write_order_files(spark, sf_dir, texts)
+    totals = _bundle_report(spark, sf_dir, texts).totals
+    return totals.drop("total_bytes")
+
+
+@register
+def dq_file_schemas(spark, sf_dir):
+    """Footer checks on files of which t2 hides text in its metadata, t4 says so, and t6 has a type of its own."""
+    path = scratch_path(spark, "schemas")
+    base = fx.lineitem_scores(spark, sf_dir)
+    key = F.col("row_key")
+    own = {
+        "t2": key.alias("row_key", metadata={"note": {"response_text": "hidden"}}),
+        "t4": key.alias("row_key", metadata={"contains_raw_text": True}),
+        "t5": key.alias("row_key", metadata={"contains_raw_text": False}),
+        "t6": key.cast("double").alias("row_key"),
+    }
+    rest = [c for c in base.columns if c != "row_key"]
+    write_scores(base.where(~F.col("dataset_trait").isin(list(own))).select("row_key", *rest), f"{path}/logprobs")
+    for name, column in own.items():
+        some = base.where(F.col("dataset_trait") == name).select(column, *rest)
+        some.write.parquet(f"{path}/logprobs/file_dataset={name}")
+    files = score_files(spark, path)
+    footers = materialized(sf.parquet_footers(files).join(files.select("path", "dataset"), "path"), "footers")
+    found = quality.schema_agreement(footers, TRAITS).unionByName(
+        quality.metadata_checks(footers.select("dataset", F.inline("entries")))
+    )
+    return found.select("dataset", "check", (F.col("n_bad") > 0).alias("failed"))
 
 
 # --- sources and sinks ------------------------------------------------------
@@ -487,6 +524,28 @@ def source_file_facts(spark, sf_dir):
     return facts.select(name.alias("name"), "length", "sha256")
 
 
+@register
+def source_file_digests(spark, sf_dir):
+    """Size, digest and tree digest of text files written from the orders."""
+    path = scratch_path(spark, "files")
+    fx.write_order_files(spark, sf_dir, path)
+    files = sf.list_files(spark, path, "*.txt")
+    facts = sf.file_facts(files).join(sf.tree_digests(files, range_bytes=1024, fanout=4), "path")
+    part = F.regexp_extract("path", "part=([0-9]+)", 1).cast("long")
+    return facts.select(part.alias("part"), "length", "sha256", "chunks", "tree_sha256")
+
+
+@register
+def source_dataset_digests(spark, sf_dir):
+    """Digests of datasets of several of these files, and of one."""
+    path = scratch_path(spark, "files")
+    fx.write_order_files(spark, sf_dir, path)
+    part = F.regexp_extract("path", "part=([0-9]+)", 1).cast("long")
+    facts = sf.file_facts(sf.list_files(spark, path, "*.txt"))
+    dataset = F.when(part == 0, "first").otherwise(F.concat(F.lit("d"), (part % 3).cast("string")))
+    return sf.dataset_digests(facts.withColumn("dataset", dataset))
+
+
 @register
 def source_footers(spark, sf_dir):
     files = score_files(spark, sf_dir)

@@ -20,12 +20,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairlens.functions.text import split_lines
+from pairlens.session import spread
 
 CHUNK_BYTES = 1 << 20
+RANGE_BYTES = 64 << 20
+FANOUT = 256
 
 
 def list_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """``(path, length)`` of files below ``path``; contents are not read."""
+    """``(path, length)`` of files below ``path``; contents are not read. Spark passes empty files over."""
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
@@ -60,6 +63,82 @@ def file_facts(files: DataFrame) -> DataFrame:
     )
 
 
+def range_digests(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """``(path, chunk, sha256)`` of every ``range_bytes`` long range of every listed file.
+
+    Ranges are dealt to tasks one by one, so a large file is read by many; an empty
+    file is one empty range.
+    """
+
+    def digest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            values = []
+            for uri, chunk in zip(frame["path"], frame["chunk"], strict=True):
+                filesystem, name = _open(uri)
+                state, left = hashlib.sha256(), range_bytes
+                with filesystem.open_input_file(name) as stream:
+                    stream.seek(chunk * range_bytes)
+                    while left and (part := stream.read(min(CHUNK_BYTES, left))):
+                        state.update(part)
+                        left -= len(part)
+                values.append(state.hexdigest())
+            yield frame.assign(sha256=values)
+
+    last = F.greatest(F.ceil(F.col("length") / range_bytes) - 1, F.lit(0)).cast("long")
+    ranges = files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("chunk"))
+    return spread(ranges, "path", "chunk").mapInPandas(digest, "path string, chunk long, sha256 string")
+
+
+def tree_digests(
+    files: DataFrame, range_bytes: int = RANGE_BYTES, fanout: int = FANOUT
+) -> DataFrame:
+    """``(path, chunks, tree_sha256)``: range digests combined ``fanout`` at a time up to one.
+
+    A node is the SHA-256 of its children's hex digests in order; an only child stands for its
+    node, so a file's digest depends on no other file. No array is longer than ``fanout``.
+    """
+    level = range_digests(files, range_bytes).withColumn("chunks", F.lit(1).cast("long"))
+    # One number: the size of the largest file decides how many levels there are.
+    left = -(-(files.agg(F.max("length")).first()[0] or 0) // range_bytes)
+    while left > 1:
+        left = -(-left // fanout)
+        children = F.transform(
+            F.array_sort(F.collect_list(F.struct("chunk", "sha256"))), lambda x: x["sha256"]
+        )
+        node = F.when(F.count(F.lit(1)) == 1, F.min("sha256"))
+        level = level.groupBy("path", F.floor(F.col("chunk") / fanout).alias("chunk")).agg(
+            node.otherwise(F.sha2(F.array_join(children, ""), 256)).alias("sha256"),
+            F.sum("chunks").alias("chunks"),
+        )
+    return level.select("path", "chunks", F.col("sha256").alias("tree_sha256"))
+
+
+def dataset_digests(facts: DataFrame) -> DataFrame:
+    """``(dataset, files, size_bytes, sha256)`` of files ``(dataset, length, sha256)``.
+
+    A dataset of one file has that file's digest. That of several does not depend on
+    names or order: distinct digests with their counts are combined by their first six hex
+    digits, then by four, two and none, each time the SHA-256 of the sorted parts joined. Equal
+    files are one part, so a part list stays short up to some billion files.
+    """
+    level = facts.groupBy("dataset", "sha256").agg(
+        F.count(F.lit(1)).alias("files"), F.sum("length").alias("size_bytes")
+    )
+    level = level.withColumns(
+        {"place": F.col("sha256"), "part": F.concat_ws(":", "sha256", "files"), "only": F.col("sha256")}
+    )
+    for digits in (6, 4, 2, 0):
+        parts = F.transform(F.array_sort(F.collect_list(F.struct("place", "part"))), lambda x: x["part"])
+        level = level.groupBy("dataset", F.substring("place", 1, digits).alias("place")).agg(
+            F.sum("files").alias("files"),
+            F.sum("size_bytes").alias("size_bytes"),
+            F.min("only").alias("only"),
+            F.sha2(F.array_join(parts, ","), 256).alias("part"),
+        )
+    digest = F.when(F.col("files") == 1, F.col("only")).otherwise(F.col("part"))
+    return level.select("dataset", "files", "size_bytes", digest.alias("sha256"))
+
+
 def _keys_with_values(value: Any) -> Iterator[tuple[str, str]]:
     """Every mapping key at any depth with its value as JSON."""
     if isinstance(value, dict):

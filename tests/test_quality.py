@@ -323,3 +323,50 @@ def test_repeated_identical_runs_agree(spark):
     for trait in "abcd":
         assert gates["row_spearman", trait] == pytest.approx(1.0)
         assert gates["top_decile_overlap", trait] == gates["bottom_decile_overlap", trait] == 1.0
+
+
+def test_digest_trees(spark, tmp_path):
+    """Ranges, nodes and only children by hand; empty and equal files; no digest depends on another file."""
+    import hashlib
+
+    sha = lambda x: hashlib.sha256(x if isinstance(x, bytes) else x.encode()).hexdigest()
+    contents = {"a.d": b"", "b.d": b"0123456789", "c.d": b"x" * 95, "d.d": b"x" * 95, "e.d": b"0123456789abc"}
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    files = sf.list_files(spark, str(tmp_path), "*.d")
+    assert files.count() == 4  # Spark's reader passes empty files over
+    files = files.union(spark.createDataFrame([(f"file:{tmp_path}/a.d", 0)], "path string, length long"))
+
+    def tree(content):
+        level = [sha(content[k : k + 10]) for k in range(0, max(1, len(content)), 10)]
+        while len(level) > 1:
+            groups = [level[k : k + 3] for k in range(0, len(level), 3)]
+            level = [g[0] if len(g) == 1 else sha("".join(g)) for g in groups]
+        return level[0]
+
+    found = {os.path.basename(r.path): r for r in sf.tree_digests(files, 10, 3).collect()}
+    assert {n: r.tree_sha256 for n, r in found.items()} == {n: tree(c) for n, c in contents.items()}
+    assert {n: r.chunks for n, r in found.items()} == {"a.d": 1, "b.d": 1, "c.d": 10, "d.d": 10, "e.d": 2}
+    assert sf.tree_digests(files.where("length < 11"), 10, 3).where("path LIKE '%b.d'").first().tree_sha256 == sha(contents["b.d"])
+    assert sf.tree_digests(files.where("false"), 10, 3).count() == 0
+    facts = sf.file_facts(files).withColumn("dataset", F.when(F.col("path").endswith("a.d"), "one").otherwise("many"))
+    digests = {r.dataset: r for r in sf.dataset_digests(facts).collect()}
+    assert (digests["one"].sha256, digests["many"].files, digests["many"].size_bytes) == (sha(b""), 4, 213)
+    again = sf.dataset_digests(facts.where("path NOT LIKE '%d.d'")).where("dataset = 'many'").first()
+    assert again.sha256 != digests["many"].sha256
+
+
+def test_text_findings_fail_a_bundle(spark, tmp_path):
+    manifest = write_bundle(spark, tmp_path / "b", sound())
+    (tmp_path / "texts").mkdir()
+    (tmp_path / "texts" / "fine.md").write_text("nothing here")
+    report = validate_bundle(spark, str(tmp_path / "b"), AXIS, AXIS, manifest, REVISION, str(tmp_path / "texts"))
+    totals = report.totals.first()
+    assert totals.passed and totals.schema_identical and totals.text_findings == 0
+    (tmp_path / "texts" / "bad.md").write_text("one\nsee /mnt/x")
+    (tmp_path / "texts" / "m.ckpt").write_bytes(b"0")
+    report = validate_bundle(spark, str(tmp_path / "b"), AXIS, AXIS, manifest, REVISION, str(tmp_path / "texts"))
+    assert not report.totals.first().passed
+    assert sorted((os.path.basename(r.path), r.line_number, r.pattern) for r in report.findings.collect()) == [
+        ("bad.md", 2, "/mnt"), ("m.ckpt", None, "model_binary"),
+    ]
