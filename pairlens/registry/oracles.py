@@ -44,6 +44,35 @@ def commas(items) -> str:
     return ", ".join(items)
 
 
+def gates_sql() -> str:
+    """Gates of the study's metrics, two points of the target, and the 18 matrices."""
+    def row(gate, name, value, target, tolerance, passed, source=""):
+        return (
+            f"SELECT {gate} AS gate, {name} AS name, CAST({value} AS DOUBLE) AS value, CAST({target} AS DOUBLE) AS target, "
+            f"CAST({tolerance} AS DOUBLE) AS tolerance, {passed} AS passed {source}"
+        )
+
+    kind = "CASE WHEN metric LIKE 'bootstrap%' OR metric LIKE 'permutation%' THEN 'resampling' ELSE 'target' END"
+    goal = "round(value, 2)"
+    name = "concat_ws('/', kind, formula, weighting, scheme)"
+    off = "(n IN ('raw/lls/row/none', 'calibrated/sum/row/all'))"
+    matrices = (
+        f"(SELECT {name} AS n FROM (VALUES ('raw', 'none'), ('calibrated', 'all'), ('calibrated', 'leave_one_dataset_out')) k(kind, scheme), "
+        "(VALUES ('sum'), ('lls'), ('separate')) f(formula), (VALUES ('row'), ('prompt')) w(weighting))"
+    )
+    return query(
+        {"metrics": study_sql(), "points": TARGET},
+        union([
+            row(kind, "metric", "value", goal, 0.0025, f"abs(value - {goal}) <= 0.0025", "FROM metrics WHERE metric NOT LIKE '%rank'"),
+            row("'rank'", "metric", "value", "NULL", "NULL", "metric = 'column_rank'", "FROM metrics WHERE metric LIKE '%rank'"),
+            row("'rank'", "'absent'", "NULL", "NULL", "NULL", "false"),
+            row("'sentinel'", "'t0/t1'", "e", 1, 1e-12, "abs(e - 1) <= 1e-12", "FROM points WHERE c = 't0' AND t = 't1'"),
+            row("'sentinel'", "'t0/t2'", "e", "e", 1e-12, "true", "FROM points WHERE c = 't0' AND t = 't2'"),
+            row("'matrix'", "n", f"{off}::INT", "NULL", "NULL", f"NOT {off}", f"FROM {matrices}"),
+        ]),
+    )
+
+
 def order_files() -> dict[str, str]:
     """CTEs: text files of orders as (part, content)."""
     mark = "CASE WHEN o_orderkey % 500 = 0 THEN 'see /mnt/share' END"
@@ -983,6 +1012,7 @@ def oracle_sql() -> dict[str, str]:
             f"{r('p_two_sided', 9, 'p_two_sided')} FROM ({PVALUES})",
         ),
         "headline_study": study_sql(),
+        "reproduction_gates": gates_sql(),
         "dq_columns": columns_sql(),
         "dq_identity": checks_sql("dataset_name", "source_revision"),
         "dq_hashes": checks_sql("hash"),

@@ -15,9 +15,10 @@ from pairlens.functions.numeric import general_format
 from pairlens.functions.text import text_hash, word_ids
 from pairlens.operators import associate, calibrate, checks, ordering, pairs, quality
 from pairlens.operators import resample, scan, scores, selection
+from pairlens.plans.reproduce import reproduction_gates as gates_of
 from pairlens.plans.reproduce import study
 from pairlens.plans.score_file import score_file
-from pairlens.plans.summarize import summarize
+from pairlens.plans.summarize import matrix_family, summarize
 from pairlens.plans.validate import observed_facts, validate_bundle
 from pairlens.registry.settings import (
     COLUMN,
@@ -322,6 +323,27 @@ def headline_study(spark, sf_dir):
     return rounded(metrics, 8, "value")
 
 
+@register
+def reproduction_gates(spark, sf_dir):
+    """Every gate of the study: targets at two decimals, ranks, points, and matrices of which one is off and one has a cell less."""
+    base, target = fx.lineitem_scores(spark, sf_dir), materialized(fx.quantity_target(spark, sf_dir), "target")
+    metrics = materialized(study(base, target, TRAITS, COLUMN, NAMED, REPLICATES, DRAWS, SEED), "metrics")
+    family = materialized(matrix_family(scores.score_cube(scores.group_stats(base, TRAITS), TRAITS)), "family")
+    targets = metrics.where("metric NOT LIKE '%rank'").select(
+        "metric", F.round("value", 2).alias("target"), F.lit(0.0025).alias("tolerance")
+    )
+    point = (F.col("c") == "t0") & (F.col("t") == "t1")
+    off = point & (F.col("kind") == "raw") & (F.col("formula") == "lls") & (F.col("weighting") == "row")
+    fewer = point & (F.col("scheme") == "all") & (F.col("formula") == "sum") & (F.col("weighting") == "row")
+    expected = family.withColumn("value", F.col("value") + F.when(off, 1e-6).otherwise(0.0)).where(~fewer)
+    right = target.where("c = 't0' AND t = 't2'").first()["e"]
+    found = gates_of(
+        metrics, targets, {"column_rank": range(1, 10), "column_raw_rank": [0], "absent": [1]},
+        target, {("t0", "t1"): 1.0, ("t0", "t2"): right}, family, expected,
+    )
+    return rounded(found, 8, "value")
+
+
 # --- data quality -----------------------------------------------------------
 
 

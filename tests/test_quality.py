@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairlens.operators import checks, quality, scan, selection
-from pairlens.plans.reproduce import study
+from pairlens.plans.reproduce import reproduce, study
 from pairlens.plans.summarize import summarize
 from pairlens.plans.validate import observed_facts, validate_bundle
 from pairlens.sources import files as sf
@@ -238,6 +238,23 @@ def test_family_files_and_study(spark, tmp_path):
     got = {r.metric: r.value for r in metrics.collect()}
     assert len(got) == 14 and got["column_rows"] == 6.0
 
+    goals = [("column_rows", 6.0, 0.0), ("bootstrap_low", 9.0, 0.0), ("combined_pearson", got["combined_pearson"], 1e-12)]
+    targets = spark.createDataFrame(goals, "metric string, target double, tolerance double")
+
+    def run(folder, **more):
+        args = (scores, cells(spark, "e"), AXIS, "t1", "t2", targets, str(tmp_path / folder), {"column_rank": (1, 2, 3)})
+        return reproduce(*args, expected=family, replicates=5, draws=20, **more)
+
+    good = run("good")
+    assert good.summary.first().asDict() == {"status": "passed", "mode": "smoke", "gates": 21, "failed": 0}
+    assert {r.gate for r in good.gates.collect()} == {"target", "rank", "matrix"}  # few replicates are not gated
+    assert spark.read.json(str(tmp_path / "good" / "reproduction_summary")).first().status == "passed"
+    assert spark.read.json(str(tmp_path / "good" / "reproduction_metrics")).count() == 14
+    bad = run("bad", sentinels={("t0", "nowhere"): 1.0})
+    assert (bad.summary.first().status, bad.summary.first().failed) == ("failed", 1)
+    with pytest.raises(ValueError, match="positive"):
+        reproduce(scores, None, AXIS, "t1", "t2", targets, "", draws=0)
+
 
 def test_text_free_sink_refuses_text(spark, tmp_path):
     df = spark.createDataFrame([("d", "x", 1.0)], "dataset_trait string, prompt string, v double")
