@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from pairlens.functions.numeric import general_format
 from pairlens.vocabulary import IDENTITY_COLUMNS, RAW_TEXT_NAMES
 
+#: Open files of a task that writes a folder per dataset, and the bytes each may hold back.
+WRITERS = 32
+ROW_GROUP = 16 << 20
+CONCURRENT = "spark.sql.maxConcurrentOutputFileWriters"
+
 
 def matrix_wide(
     cells: DataFrame,
@@ -61,6 +66,9 @@ def write_scores(
     The dataset column stays in the rows too, so readers can check it against
     the folder. Only hashes, lengths, totals and scores may pass: any raw-text name or
     further string column is refused.
+
+    A task keeps one file open per dataset instead of sorting its wide rows by dataset, which
+    spills; beyond ``WRITERS`` datasets Spark sorts the rest.
     """
     raw = sorted(set(scores.columns) & set(RAW_TEXT_NAMES))
     if raw:
@@ -73,4 +81,14 @@ def write_scores(
         scores.write.format(format).save(path)
         return
     foldered = scores.withColumn("file_dataset", F.col(dataset))
-    foldered.write.partitionBy("file_dataset").format(format).save(path)
+    writer = foldered.write.partitionBy("file_dataset").option("parquet.block.size", ROW_GROUP)
+    conf = scores.sparkSession.conf
+    before = conf.get(CONCURRENT, None)
+    conf.set(CONCURRENT, str(WRITERS))
+    try:
+        writer.format(format).save(path)
+    finally:
+        if before is None:
+            conf.unset(CONCURRENT)
+        else:
+            conf.set(CONCURRENT, before)

@@ -387,3 +387,26 @@ def test_text_findings_fail_a_bundle(spark, tmp_path):
     assert sorted((os.path.basename(r.path), r.line_number, r.pattern) for r in report.findings.collect()) == [
         ("bad.md", 2, "/mnt"), ("m.ckpt", None, "model_binary"),
     ]
+
+
+def test_scores_are_written_without_a_sort_of_wide_rows(spark, tmp_path, monkeypatch):
+    """A file per dataset and task stays open; the setting holds for the write alone, also when it fails."""
+    from pyspark.sql import DataFrameWriter
+
+    from pairlens.sources import sinks
+
+    held, save = [], DataFrameWriter.save
+
+    def watched(self, *args, **kwargs):
+        held.append(spark.conf.get(sinks.CONCURRENT))
+        return save(self, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "save", watched)
+    before = spark.conf.get(sinks.CONCURRENT, "0")
+    rows = spark.range(400, numPartitions=1).select((F.col("id") % 40).cast("string").alias("dataset_trait"), F.col("id").alias("source_row_id"))
+    write_scores(rows, str(tmp_path / "s"))  # more datasets than open files
+    with pytest.raises(Exception, match="(?i)exist"):
+        write_scores(rows, str(tmp_path / "s"))
+    assert held == [str(sinks.WRITERS)] * 2 and spark.conf.get(sinks.CONCURRENT, "0") == before
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert back.where("file_dataset = dataset_trait").select("source_row_id").distinct().count() == back.count() == 400
