@@ -154,32 +154,47 @@ def response_logprob(df: DataFrame) -> DataFrame:
     )
 
 
+def _batches(sizes: Sequence[int], rows: int, tokens: int) -> Iterator[tuple[int, int]]:
+    """Borders of consecutive batches of at most ``rows`` sequences and, unless of one sequence, ``tokens`` tokens."""
+    start = held = 0
+    for end, size in enumerate(sizes):
+        if end > start and (end - start == rows or held + size > tokens):
+            yield start, end
+            start, held = end, 0
+        held += size
+    if sizes:
+        yield start, len(sizes)
+
+
 def score_sequences(
     df: DataFrame,
     model: Callable[[list[list[int]]], list[list[dict[int, float] | None]]],
     batch_size: int = 64,
+    batch_tokens: int = 1 << 14,
 ) -> DataFrame:
     """Run a user model over ``input_ids`` in batches inside the tasks.
 
     ``model`` gets token id lists and returns, for each, one candidate map (or
     None) per position. Adds ``prompt_logprobs`` for ``response_logprob``.
+    A batch ends at ``batch_size`` sequences or ``batch_tokens`` tokens (a longer sequence goes
+    alone) and leaves the task before the next begins: no more candidate maps are held.
     """
-    if batch_size < 1:
-        raise ValueError("batch_size must be positive")
+    if batch_size < 1 or batch_tokens < 1:
+        raise ValueError("batch_size and batch_tokens must be positive")
     maps = T.ArrayType(T.MapType(T.IntegerType(), T.DoubleType()))
     schema = T.StructType([*df.schema.fields, T.StructField("prompt_logprobs", maps)])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            outputs: list = []
-            for start in range(0, len(frame), batch_size):
-                ids = frame["input_ids"].iloc[start : start + batch_size]
-                batch = [[int(token) for token in row] for row in ids]
+            sizes = [len(row) for row in frame["input_ids"]]
+            for start, end in _batches(sizes, batch_size, batch_tokens):
+                part = frame.iloc[start:end]
+                batch = [[int(token) for token in row] for row in part["input_ids"]]
                 scored = model(batch)
                 if len(scored) != len(batch):
                     raise ValueError(f"the model must give one result per sequence: {len(scored)} for {len(batch)}")
-                outputs.extend(scored)
-            yield frame.assign(prompt_logprobs=outputs)
+                yield part.assign(prompt_logprobs=scored)
+                del batch, scored, part
 
     return df.mapInPandas(run, schema)
 

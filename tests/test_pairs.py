@@ -145,6 +145,24 @@ def test_model_must_answer_every_sequence(spark):
         pairs.score_sequences(df, lambda batch: []).collect()
 
 
+def test_candidate_maps_leave_batch_by_batch(spark):
+    """A batch is bounded by sequences and tokens, and one longer sequence goes alone; a task holds one batch at a time."""
+    sizes = [3, 3, 3, 20, 1, 1, 1, 1, 1]
+    rows = [(list(range(n)), k) for k, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "input_ids array<int>, k int").coalesce(1)
+
+    def answer(batch):
+        whole = ",".join(str(len(b)) for b in batch)
+        return [[{t: float(len(whole.split(",")))} for t in b] for b in batch]
+
+    got = pairs.score_sequences(df, answer, batch_size=4, batch_tokens=7)
+    seen = {r.k: r.prompt_logprobs for r in got.collect()}
+    assert [len(seen[k]) for k in range(len(sizes))] == sizes
+    assert [int(seen[k][0][0]) for k in range(len(sizes))] == [2, 2, 1, 1, 4, 4, 4, 4, 1]
+    with pytest.raises(ValueError):
+        pairs.score_sequences(df, answer, batch_tokens=0)
+
+
 @pytest.mark.parametrize("limit", ["10MB", "-1"])
 def test_token_scoring_by_both_joins(spark, limit):
     """Broadcast and salted joins give the brute-force smoothed totals."""
