@@ -60,6 +60,7 @@ def nth_rows(
     largest: int,
     carry: Sequence[str] = (),
     few: int | None = None,
+    total: int | None = None,
 ) -> DataFrame:
     """``(keys.., target, radix.., carry.., equal, inside)`` of the row of rank ``wanted`` (from 1) of each target.
 
@@ -67,6 +68,9 @@ def nth_rows(
     ``targets`` hold ``(keys.., target, wanted)``; ranks beyond a group give nothing. ``largest`` is the size of the
     largest group. ``equal`` rows have the same ``radix``, of which the one sought is number ``inside``: a value of
     any frequency is found without holding its rows.
+
+    Rows left after a pass are written for the next. With ``total``, the number of ``rows``, they are so only
+    when an eighth of those or fewer are left: until then ``rows``, to be read from a table, are read again.
     """
     few = FEW if few is None else few
     state = targets.select(*keys, "target", F.col("wanted").alias("__left"))
@@ -89,7 +93,7 @@ def nth_rows(
                 found.select(*keys, "target", "__digit", "__n", "__apart", (F.col("__left") - before).alias("__left")), "radix"
             )
             size = state.agg(
-                F.count(F.lit(1)).alias("groups"), F.max("__n").alias("rows"), F.max("__apart").alias("apart")
+                F.count(F.lit(1)).alias("groups"), F.max("__n").alias("rows"), F.max("__apart").alias("apart"), F.sum("__n").alias("all")
             ).first()
             largest, apart = size.rows or 0, bool(size.apart)
             side = state.select(*keys, F.col("target").alias("__target"), F.col("__digit").alias("__found"))
@@ -97,7 +101,10 @@ def nth_rows(
             if "target" in on:
                 same = same & (F.col("target") == F.col("__target"))
             left = left.join(lookup_side(side, size.groups), [*keys]).where(same)
-            left = materialized(left.select(*keys, F.col("__target").alias("target"), *radix, *carry), "radix-rows")
+            left = left.select(*keys, F.col("__target").alias("target"), *radix, *carry)
+            if total is None or (size["all"] or 0) * 8 <= total:
+                left = materialized(left, "radix-rows")
+                total = total and size["all"]
             on = [*keys, "target"]
     carried = [F.min(c).alias(c) for c in carry]
     counts = left.groupBy(*on, *radix).agg(F.count(F.lit(1)).alias("equal"), *carried)
@@ -164,10 +171,13 @@ def first_rows(
 
 
 def quantiles(df: DataFrame, value: str, levels: Sequence[float], few: int | None = None) -> DataFrame:
-    """Exact linear-interpolation quantiles of a whole column, NULL and NaN left out, as one row ``q0, q1, ..``."""
+    """Exact linear-interpolation quantiles of a whole column, NULL and NaN left out, as one row ``q0, q1, ..``.
+
+    ``df`` is read once a pass and not written.
+    """
     v = F.col(value).cast("double")
     rows = df.where(v.isNotNull() & ~F.isnan(v)).select(F.lit(0).alias("__all"), (v + 0.0).alias("__v"))
-    rows = materialized(with_sortable(rows, "__v", "__value"), "quantile-keys")
+    rows = with_sortable(rows, "__v", "__value")
     spark = df.sparkSession
     steps = spark.createDataFrame(
         [(i, float(level)) for i, level in enumerate(levels)], "i int, level double"
@@ -177,7 +187,7 @@ def quantiles(df: DataFrame, value: str, levels: Sequence[float], few: int | Non
     places = steps.select("i", (at - F.floor(at)).alias("part"), F.floor(at).alias("low"), F.ceil(at).alias("high"))
     ends = places.select("i", "part", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("low").alias("at")), F.struct(F.lit(1).alias("side"), F.col("high").alias("at")))).alias("e"))
     targets = ends.select(F.lit(0).alias("__all"), (F.col("i") * 2 + F.col("e.side")).alias("target"), (F.col("e.at") + 1).alias("wanted"))
-    found = nth_rows(rows, ["__all"], ["__value"], targets, count, ["__v"], few)
+    found = nth_rows(rows, ["__all"], ["__value"], targets, count, ["__v"], few, count)
     by_level = found.select(F.floor(F.col("target") / 2).cast("int").alias("i"), (F.col("target") % 2).alias("side"), F.col("__v").alias("limit"))
     columns = []
     for i in range(len(levels)):

@@ -6,16 +6,19 @@ Samples inside a dataset are cut off at their last row, found by radix selection
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairlens.functions.hashing import hash_order
 from pairlens.functions.numeric import pearson
 from pairlens.operators.associate import average_rank
 from pairlens.operators.ordering import positions_by_value
-from pairlens.operators.radix import first_rows, quantiles
+from pairlens.operators.radix import first_rows, nth_rows, quantiles, with_sortable
 from pairlens.session import lookup_side, materialized
 
 
@@ -90,18 +93,132 @@ def length_control(
     )
 
 
-def _row_ranks(runs: DataFrame, value: str) -> DataFrame:
-    """Descending positions of a run per trait, and the average rank of each row's value."""
-    placed = positions_by_value(
-        runs.select("trait", "row_id", value, "__digest"),
-        ["trait"],
-        value,
-        "__digest",
-        ["row_id"],
-        with_total=True,
-        with_rank=True,
+def _packed(keys: Sequence[str]):
+    """Rows of equal ``keys`` that follow each other as one row with arrays of the other columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            new = np.zeros(n, bool)
+            new[0] = True
+            for key in keys:
+                codes = batch[key].dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                new[1:] |= codes[1:] != codes[:-1]
+            first = np.flatnonzero(new)
+            ends = pa.array(np.append(first, n).astype(np.int32))
+            kept = [batch[key].take(pa.array(first)) for key in keys]
+            lists = [(c, pa.ListArray.from_arrays(ends, batch[c])) for c in batch.schema.names if c not in keys]
+            yield pa.RecordBatch.from_arrays([*kept, *[a for _, a in lists]], names=[*keys, *[c for c, _ in lists]])
+
+    return run
+
+
+def _paired(
+    first: DataFrame, second: DataFrame, keys: Sequence[str], names: Sequence[str]
+) -> tuple[DataFrame, DataFrame]:
+    """The join of ``(keys.., names.., v)`` with another such table, a few rows packed.
+
+    Result ``(keys.., again, cells)`` with cells ``(code, a, b)``, and ``(code, names..)``. Cells of a key that follow
+    each other, as they mostly do, travel as one row, so that the shuffle carries a key once;
+    where they do not, there are more and shorter rows of the same cells. ``again`` marks keys
+    in more than one row or with a name twice.
+    """
+    seen = first.select(*names).distinct().join(second.select(*names).distinct(), [*names])
+    known = materialized(seen.withColumn("code", F.monotonically_increasing_id()), "names")
+    side = lookup_side(known)
+
+    def pack(df: DataFrame, value: str) -> DataFrame:
+        slim = df.join(side, [*names]).select(*keys, "code", F.col("v").cast("double").alias(value))
+        schema = T.StructType([slim.schema[k] for k in keys]).add("c" + value, T.ArrayType(T.LongType())).add(value, T.ArrayType(T.DoubleType()))
+        return slim.withColumnRenamed("code", "c" + value).mapInArrow(_packed(keys), schema)
+
+    both = pack(first, "a").join(pack(second, "b"), [*keys])
+    left, right = F.arrays_zip("ca", "a"), F.arrays_zip("cb", "b")
+
+    def matches(x: Column) -> Column:
+        same = F.filter(right, lambda y: y["cb"] == x["ca"])
+        return F.transform(same, lambda y: F.struct(x["ca"].alias("code"), x["a"].alias("a"), y["b"].alias("b")))
+
+    met = both.select(*keys, F.flatten(F.transform(left, matches)).alias("cells"))
+    apart = F.count(F.lit(1)).over(Window.partitionBy(*keys)) > 1
+    again = apart | (F.size(F.array_distinct("cells.code")) < F.size("cells"))
+    return met.select(*keys, again.alias("again"), "cells"), known
+
+
+def _rank_products(runs: DataFrame) -> DataFrame:
+    """``(trait, r)``: correlation of the average ranks of ``a`` and of ``b``, over all pairs of rows that share trait and id.
+
+    Ranks need no ids, so only ids that come again are carried; values are ordered twice, ties in any order.
+    """
+    slim = runs.select("trait", "a", "b", F.when(F.col("again"), F.col("row_id")).alias("id"), F.xxhash64("row_id").bitwiseAND(F.lit(255)).alias("__salt"))
+    slim = positions_by_value(slim, ["trait"], "a", "__salt", with_rank=True).withColumnRenamed("rank", "ra")
+    slim = slim.select("trait", "b", "ra", "id", "__salt")
+    slim = positions_by_value(slim, ["trait"], "b", "__salt", with_rank=True).withColumnRenamed("rank", "rb")
+    ranks = materialized(slim.where(F.col("id").isNotNull()).select("trait", "id", "ra", "rb"), "ranks-again")
+    other = ranks.select("trait", "id", F.col("rb").alias("rb2"))
+    pairs = ranks.drop("rb").join(other, ["trait", "id"]).select("trait", "ra", F.col("rb2").alias("rb"))
+    alone = slim.where(F.col("id").isNull()).select("trait", "ra", "rb")
+    return alone.unionByName(pairs).groupBy("trait").agg(pearson(F.col("ra"), F.col("rb")).alias("r"))
+
+
+def _decile_overlaps(runs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``(trait, top, bottom)``: shares of the ``size`` first and last rows of a trait by ``a`` that are so by ``b`` too.
+
+    The last row of each cut is found by radix selection, by value, then digest; then one comparison a row decides.
+    Rows that share trait and id make as many pairs as there are of them on either side.
+    """
+    digest = F.md5(F.concat_ws("|", "row_id", "trait"))
+    keyed = runs.select("trait", "row_id", "again", digest.alias("__md5"), (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))
+    keyed = with_sortable(with_sortable(keyed, "a", "__a"), "b", "__b")
+    least = F.lit(-(1 << 63)).cast("bigint")  # NULL comes first
+    number = lambda x: F.conv(x, 16, 10).cast("bigint")
+    spots = keyed.select(
+        "trait", "row_id", "again",
+        F.when(F.col("a").isNull(), least).otherwise(F.col("__a")).alias("a"),
+        F.when(F.col("b").isNull(), least).otherwise(F.col("__b")).alias("b"),
+        number(F.substring("__md5", 1, 15)).alias("d"), number(F.substring("__md5", 16, 15)).alias("e"),
+    )
+    radix = ["value", "d", "e"]
+    every = F.array(*[F.struct(F.lit(x).alias("run"), F.col(x).alias("value"), "d", "e") for x in ("a", "b")])
+    cuts = F.array(F.struct(F.lit(0).alias("target"), F.col("size").alias("wanted")), F.struct(F.lit(1).alias("target"), (F.col("rows") - F.col("size")).alias("wanted")))
+    targets = sizes.select("trait", F.inline(cuts)).select("*", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("run"))
+    counted = sizes.agg(F.max("rows").alias("most"), F.sum("rows").alias("all")).first()
+    found = nth_rows(
+        spots.select("trait", F.inline(every)), ["trait", "run"], radix, targets.where("wanted > 0"),
+        counted["most"] or 0, total=2 * (counted["all"] or 0),
+    )
+    cut = F.struct(F.struct(*radix).alias("at"), "equal", "inside")
+    named = {f"{x}{t}": F.max(F.when((F.col("run") == x) & (F.col("target") == t), cut)) for x in "ab" for t in (0, 1)}
+    limits = materialized(found.groupBy("trait").agg(*[c.alias(n) for n, c in named.items()]), "cuts")
+    limits = sizes.join(limits, "trait").select("trait", "size", *[F.col(n).alias(f"__{n}") for n in named])
+    placed = spots.join(lookup_side(materialized(limits, "cuts")), "trait")
+    sure, even = {}, {}
+    for x in "ab":
+        at = F.struct(F.col(x).alias("value"), "d", "e")
+        top, rest = F.col(f"__{x}0"), F.col(f"__{x}1")
+        sure |= {f"{x}0": at < top["at"], f"{x}1": rest.isNull() | (at > rest["at"])}
+        # Rows at the cut itself: how many of them are inside, for rows that differ in nothing.
+        even |= {
+            f"{x}0": F.when(at == top["at"], top["inside"]).otherwise(0),
+            f"{x}1": F.when(at == rest["at"], rest["equal"] - rest["inside"]).otherwise(0),
+        }
+    flags = placed.select(
+        "trait", "size", "row_id", "again",
+        *[sure[n].cast("bigint").alias(f"s{n}") for n in sure], *[even[n].cast("bigint").alias(f"e{n}") for n in even],
     )
-    return materialized(placed.select("trait", "row_id", "position", "group_rows", "rank"), "ranks")
+
+    def held(n: str, many: bool) -> Column:
+        if not many:
+            return F.col(f"s{n}") + F.least(F.col(f"e{n}"), F.lit(1))
+        return F.sum(f"s{n}") + F.least(F.max(f"e{n}"), F.count_if(F.col(f"e{n}") > 0))
+
+    hits = lambda many: [(held(f"a{t}", many) * held(f"b{t}", many)).alias(f"hits{t}") for t in (0, 1)]
+    alone = flags.where("NOT again").select("trait", "size", *hits(False))
+    many = flags.where("again").groupBy("trait", "size", "row_id").agg(*hits(True)).drop("row_id")
+    total = alone.unionByName(many).groupBy("trait", "size").agg(F.sum("hits0").alias("hits0"), F.sum("hits1").alias("hits1"))
+    return total.select("trait", (F.col("hits0") / F.col("size")).alias("top"), (F.col("hits1") / F.col("size")).alias("bottom"))
 
 
 def repeatability(
@@ -120,14 +237,11 @@ def repeatability(
     pooled interquartile range (with the bound it must stay under), and per
     trait the row Spearman and the overlap of the extreme deciles.
     """
-    a = first.select("row_id", "trait", F.col("score").alias("a"))
-    b = second.select("row_id", "trait", F.col("score").alias("b"))
-    runs = materialized(
-        a.join(b, ["row_id", "trait"]).withColumn(
-            "__digest", F.md5(F.concat_ws("|", "row_id", "trait"))
-        ),
-        "runs",
-    )
+    a = first.select("row_id", "trait", F.col("score").alias("v"))
+    b = second.select("row_id", "trait", F.col("score").alias("v"))
+    both, names = _paired(a, b, ["row_id"], ["trait"])
+    both = materialized(both, "runs")
+    runs = both.select("row_id", "again", F.inline("cells")).join(lookup_side(names), "code").drop("code")
     means = materialized(
         runs.groupBy("trait").agg(F.avg("a").alias("a"), F.avg("b").alias("b")), "means"
     )
@@ -156,25 +270,13 @@ def repeatability(
         F.array_sort(F.slice(order_b, 1, top)).alias("b"),
         F.max(F.abs(F.col("a") - F.col("b"))).alias("gap"),
     )
-    ranks_a, ranks_b = _row_ranks(runs, "a"), _row_ranks(runs, "b")
-    pairs = ranks_a.select("trait", "row_id", F.col("rank").alias("ra")).join(
-        ranks_b.select("trait", "row_id", F.col("rank").alias("rb")), ["trait", "row_id"]
-    )
-    row_rank = pairs.groupBy("trait").agg(pearson(F.col("ra"), F.col("rb")).alias("r"))
-    size = F.ceil(F.col("group_rows") / deciles)
-
-    def extremes(ranks: DataFrame, side: str) -> DataFrame:
-        high = F.col("position") <= size
-        low = F.col("position") > F.col("group_rows") - size
-        return ranks.where(high if side == "top" else low).select("trait", "row_id", size.alias("n"))
+    sizes = runs.groupBy("trait").agg(F.count(F.lit(1)).alias("rows"))
+    sizes = materialized(sizes.withColumn("size", F.ceil(F.col("rows") / deciles)), "sizes")
+    row_rank = materialized(_rank_products(runs), "rank-correlations")
+    overlaps = materialized(_decile_overlaps(runs, sizes), "overlaps")
 
     def overlap(side: str) -> DataFrame:
-        both = extremes(ranks_a, side).join(
-            extremes(ranks_b, side).withColumn("hit", F.lit(1)).drop("n"),
-            ["trait", "row_id"],
-            "left",
-        )
-        return both.groupBy("trait").agg((F.count("hit") / F.max("n")).alias("share"))
+        return overlaps.select("trait", F.col(side).alias("share"))
 
     gap, share, r = F.col("gap"), F.col("share"), F.col("r")
     allowed = iqr * F.lit(max_share)
@@ -204,10 +306,12 @@ def engine_agreement(
     ``(model, comparisons, max_abs_difference, passed)``.
     """
     on = [*keys, "model", "side"]
-    a = first.select(*on, (F.col("logprob") / F.col("tokens")).alias("a"))
-    b = second.select(*on, (F.col("logprob") / F.col("tokens")).alias("b"))
+    a = first.select(*on, (F.col("logprob") / F.col("tokens")).alias("v"))
+    b = second.select(*on, (F.col("logprob") / F.col("tokens")).alias("v"))
+    both, names = _paired(a, b, keys, ["model", "side"])
+    cells = both.select(F.inline("cells")).join(lookup_side(names), "code")
     gap = F.max(F.abs(F.col("a") - F.col("b")))
-    return a.join(b, on).groupBy("model").agg(
+    return cells.groupBy("model").agg(
         F.count(F.lit(1)).alias("comparisons"),
         gap.alias("max_abs_difference"),
         (gap <= bound).alias("passed"),

@@ -410,3 +410,18 @@ def test_scores_are_written_without_a_sort_of_wide_rows(spark, tmp_path, monkeyp
     assert held == [str(sinks.WRITERS)] * 2 and spark.conf.get(sinks.CONCURRENT, "0") == before
     back = spark.read.parquet(str(tmp_path / "s"))
     assert back.where("file_dataset = dataset_trait").select("source_row_id").distinct().count() == back.count() == 400
+
+
+def test_packed_cells_meet_like_rows(spark):
+    """Copies, missing ids and names, and cells that lie apart give the pairs of a plain join; a key travels once."""
+    rows = [(1, "m", "x", 2, -4.0), (1, "m", "y", 2, -6.0), (1, "n", "x", 1, -1.0), (2, "m", "x", 4, -4.0), (None, "m", "x", 1, -50.0)]
+    rows += [(1, "m", "x", 2, -8.0), (3, None, "x", 1, -60.0), (4, "o", "x", 1, -1.0), (2, "n", "x", 1, None)]
+    kind = "row_id int, model string, side string, tokens int, logprob double"
+    first = spark.createDataFrame(rows, kind).coalesce(1)
+    second = spark.createDataFrame([r for r in reversed(rows) if r[1] != "o"], kind).repartition(3)
+    got = {r.model: tuple(r)[1:] for r in selection.engine_agreement(first, second, ["row_id"], 1.0).collect()}
+    assert got == {"m": (6, 2.0, False), "n": (2, 0.0, True)}
+    cells = spark.range(500, numPartitions=1).select(F.col("id").alias("k"), F.explode(F.array(F.lit("p"), F.lit("q"))).alias("n"))
+    cells = cells.withColumn("v", F.rand(1))
+    both, names = selection._paired(cells, cells, ["k"], ["n"])
+    assert names.count() == 2 and both.count() == 500 and both.where("again OR size(cells) != 2").count() == 0
