@@ -425,3 +425,24 @@ def test_packed_cells_meet_like_rows(spark):
     cells = cells.withColumn("v", F.rand(1))
     both, names = selection._paired(cells, cells, ["k"], ["n"])
     assert names.count() == 2 and both.count() == 500 and both.where("again OR size(cells) != 2").count() == 0
+
+
+def test_repeatability_writes_ids_once(spark, monkeypatch):
+    """One row an id is written; neither ids nor digests go through the sorts, and nothing is written for the quartiles."""
+    from pairlens.operators import ordering, radix
+
+    tables, write = {}, selection.materialized
+
+    def watched(df, label="stage"):
+        out = write(df, label)
+        tables.setdefault(label, []).append((out.count(), set(out.columns)))
+        return out
+
+    for module in (selection, ordering, radix):
+        monkeypatch.setattr(module, "materialized", watched)
+    run = spark.range(200, numPartitions=1).select(F.col("id").cast("string").alias("row_id"), F.explode(F.array(F.lit("p"), F.lit("q"))).alias("trait"))
+    run = run.withColumn("score", F.rand(3))
+    gates = {(r.gate, r.trait): r.value for r in selection.repeatability(run, run).collect()}
+    assert gates["row_spearman", "p"] == pytest.approx(1.0) and gates["bottom_decile_overlap", "q"] == 1.0
+    assert tables["runs"] == [(200, {"row_id", "again", "cells"})] and "quantile-keys" not in tables
+    assert all("row_id" not in names and "__digest" not in names for _, names in tables["ordered"]) and len(tables["ordered"]) == 2
