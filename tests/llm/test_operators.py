@@ -2,9 +2,11 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import struct
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -19,6 +21,7 @@ from pairlens.llm.html_extract import extract, fit_trees, main_text
 from pairlens.llm.line_dedup import LineRuns, drop_frequent_lines, line_keys
 from pairlens.llm import near_dedup
 from pairlens.llm.near_dedup import components, near_duplicates
+from pairlens.llm import quality_lm
 from pairlens.llm.quality_lm import classify
 from pairlens.llm.quality_rules import judge_quality
 from pairlens.llm.suffix_dedup import remove_repeats
@@ -291,6 +294,49 @@ def test_classifiers_on_held_out_rows(spark):
     assert judge_quality(docs, none).where("NOT kept AND NOT base_failed").count() == 0
 
 
+def dictionary_bits(trusted, texts, order):
+    """Bits of each text under interpolated modified Kneser-Ney, written plainly."""
+    grams = lambda t: [(b"\n" * (order - 1) + t + b"\n")[i : i + order] for i in range(len(t) + 1)]
+    counts = {order: Counter(g for t in trusted for g in grams(t))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    cuts = {k: quality_lm.discounts(Counter(c.values())) for k, c in counts.items()}
+
+    def p(g):
+        if not g:
+            return 1 / 256
+        cut = lambda n: cuts[len(g)][min(n, 3) - 1]
+        near = {x: n for x, n in counts[len(g)].items() if x[:-1] == g[:-1]}
+        total = sum(near.values())
+        if not total:
+            return p(g[1:])
+        n = near.get(g, 0)
+        return ((n - cut(n)) if n else 0) / total + sum(map(cut, near.values())) / total * p(g[1:])
+
+    return [-sum(math.log2(p(g)) for g in grams(t)) for t in texts]
+
+
+@pytest.mark.parametrize("order", [2, 3, 5])
+def test_model_equals_a_dictionary_model_over_many_blocks(spark, order):
+    """Counts of all blocks meet, every n-gram gets its value, repeated and null ids and texts too."""
+    texts = ["the cat sat on the mat", "the cat ran", "ähm, the mat", "", None, "zebra\nquartz", "the cat ran", "a" * 40]
+    ids = [0, 1, 2, 3, 4, 5, 1, None]
+    trusted = [0, 1, 2, 3, 4, 77]
+    docs = spark.createDataFrame(list(zip(ids, texts, range(8))), "doc_id long, text string, Block int").repartition(3)
+    dealt = quality_lm.deal(docs, block_bytes=30)
+    assert dealt.rows.select(dealt.block).distinct().count() > 4
+    good = spark.createDataFrame([(i,) for i in trusted + trusted], "id long")
+    asked = quality_lm.count_grams(dealt, good, order=order)
+    out = quality_lm.score_texts(dealt, asked, quality_lm.fit_model(asked, order), order=order).collect()
+    raw = [(t or "").encode() for t in texts]
+    want = dictionary_bits([t for i, t in zip(ids, raw) if i in trusted], raw, order)
+    assert sorted(r.Block for r in out) == list(range(8))
+    for r in out:
+        assert r.doc_id == ids[r.Block] and r.text == (texts[r.Block] or "")
+        assert r.n_bytes == len(raw[r.Block]) + 1
+        assert abs(r.bits - want[r.Block]) < 0.002
+
+
 def test_limits_are_quantiles_of_trusted_scores(spark):
     """A hundredth of the trusted is given up, text just beyond goes, and so does text that is too predictable."""
     rng = random.Random(8)
