@@ -28,6 +28,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -36,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import empty_safe, materialized, mix, nonspace_table, partitions_for, scratch_path, slices, texts_of, windows_hash, words_of
+from pairlens.llm.common import SPACES, empty_safe, materialized, mix, nonspace_table, partitions_for, scratch_path, slices, texts_of, windows_hash, words_of
 
 WIDTH = 13
 GRAM = 4
@@ -48,6 +50,7 @@ NO_ID = (1 << 63) - 1
 TAG_BITS = 19
 
 NONSPACE = nonspace_table()
+ONE_SPACE = bytes(32 if c in SPACES else c for c in range(256))
 UNKNOWN = "\x01\x01"
 DIGITS = 128
 
@@ -78,6 +81,16 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {name: column[k].as_py() for name, column in zip(batch.schema.names, batch.columns, strict=True)}
 
 
+def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` successive values, by doubling."""
+    held = 1
+    while held < width:
+        step = min(held, width - held)
+        x = np.minimum(x[:-step], x[step:])
+        held += step
+    return x
+
+
 class Chunk:
     """The words, windows and pieces of a chunk's texts."""
 
@@ -89,12 +102,11 @@ class Chunk:
         self.texts = [self.data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
         self.split = words = words_of(self.texts, NONSPACE, lower=False)
         n = max(0, len(words.hashes) - WIDTH + 1)
-        self.windows = windows_hash(words.hashes, WIDTH)
         grams = windows_hash(words.hashes, GRAM)
         at = np.arange(n)
         if n:
             keyed = (grams >> np.uint64(32) << np.uint64(32)) | np.arange(len(grams), dtype=np.uint64)
-            least = np.lib.stride_tricks.sliding_window_view(keyed, WIDTH - GRAM + 1).min(axis=1)
+            least = _sliding_min(keyed, WIDTH - GRAM + 1)
             at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
         starts = np.flatnonzero(words.text[:n] == words.text[WIDTH - 1 : WIDTH - 1 + n])
         at = at[starts]
@@ -107,6 +119,10 @@ class Chunk:
         self.anchor = mix(grams[at[first]] ^ np.uint64(0x8EBC6AF09C88C6E3)).view(np.int64) if n else np.zeros(0, np.int64)
         self.owner = self.ids[words.text[self.start]]
 
+    @cached_property
+    def windows(self) -> np.ndarray:
+        return windows_hash(self.split.hashes, WIDTH)
+
     def narrow(self, anchors: list[int] | None) -> None:
         """Keep the pieces with one of these anchors."""
         kept = np.isin(self.anchor, np.array(anchors or [], np.int64))
@@ -118,14 +134,36 @@ class Chunk:
         step = np.arange(len(piece)) - np.repeat(np.cumsum(self.count) - self.count, self.count)
         return self.start[piece] + step, piece
 
-    def phrase(self, start: int, count: int) -> bytes:
-        """The words of ``count`` windows from ``start`` on, parted by a space."""
+    @cached_property
+    def spaced(self) -> tuple[bytes, np.ndarray]:
+        """The texts' bytes with every white space a space, and the white space before each word."""
         words = self.split
-        if words.text[start] != words.text[start + count + WIDTH - 2]:
+        gaps = words.starts - np.concatenate([[0], np.cumsum(words.ends - words.starts)[:-1]])
+        return words.buffer.tobytes().translate(ONE_SPACE), gaps
+
+    def joined(self, left: np.ndarray) -> list[bytes]:
+        """Each text's words that are ``left``, parted by a space."""
+        words, (data, gaps) = self.split, self.spaced
+        text = words.text
+        begin, end = left.copy(), left.copy()  # of runs of words left in a text
+        begin[1:] &= ~left[:-1] | (text[1:] != text[:-1])
+        end[:-1] &= ~left[1:] | (text[1:] != text[:-1])
+        begin, end = np.flatnonzero(begin), np.flatnonzero(end)
+        single = gaps[end] - gaps[begin] == end - begin
+        spans = zip(words.starts[begin].tolist(), words.ends[end].tolist(), single.tolist(), strict=True)
+        runs = [data[a:b] if one else b" ".join(data[a:b].split()) for a, b, one in spans]
+        cuts = np.searchsorted(text[begin], np.arange(len(self.texts) + 1)).tolist()
+        return [b" ".join(runs[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def phrases(self, start: np.ndarray, count: np.ndarray) -> list[bytes]:
+        """The words of ``count`` windows from ``start`` on, parted by a space."""
+        words, last = self.split, start + count + WIDTH - 2
+        if (words.text[start] != words.text[last]).any():
             raise ValueError("a phrase lies in one text")
-        a = words.offsets[words.text[start]]
-        text = self.texts[words.text[start]]
-        return b" ".join(text[words.starts[start] - a : words.ends[start + count + WIDTH - 2] - a].split())
+        data, gaps = self.spaced
+        single = gaps[last] - gaps[start] == last - start
+        spans = zip(words.starts[start].tolist(), words.ends[last].tolist(), single.tolist(), strict=True)
+        return [data[a:b] if one else b" ".join(data[a:b].split()) for a, b, one in spans]
 
 
 @dataclass
@@ -322,7 +360,7 @@ def _deal(shards: int):
             chunk.narrow(row["shared"])
             at, piece = chunk.positions()
             dealt = _dealt(chunk, row["hot"], shards)
-            phrases = [chunk.phrase(a, n) for a, n in zip(dealt.start.tolist(), dealt.count.tolist(), strict=True)]
+            phrases = chunk.phrases(dealt.start, dealt.count)
             if phrases:
                 yield packed(chunk, 1, dealt.shard, phrases, None)
             if not row["owned"]:
@@ -340,7 +378,7 @@ def _deal(shards: int):
             count = np.diff(np.append(first, len(place)))
             shard = dealt.shard[entry[first]]
             by_shard = np.argsort(shard, kind="stable")
-            phrases = [chunk.phrase(a, n) for a, n in zip(start[first][by_shard].tolist(), count[by_shard].tolist(), strict=True)]
+            phrases = chunk.phrases(start[first][by_shard], count[by_shard])
             yield packed(chunk, 0, shard[by_shard], phrases, least[first][by_shard].astype("<i8"))
 
     return run
@@ -379,8 +417,7 @@ class Automaton:
             for window, owner in self.owners.items():
                 self.compiled.add_word(window, owner)
             self.compiled.make_automaton()
-        letters = self.letters
-        text = "".join([letters.get(w, UNKNOWN) for w in phrases.split(b" ")])
+        text = "".join(map(self.letters.get, phrases.split(b" "), repeat(UNKNOWN)))
         found = list(self.compiled.iter(text))
         return [end // 2 - WIDTH + 1 for end, _ in found], [owner for _, owner in found]
 
@@ -442,13 +479,9 @@ def _finish(shards: int):
                 np.add.at(change, gone, 1)
                 np.add.at(change, gone + WIDTH, -1)
             left = np.cumsum(change)[:-1] == 0
-            kept, n_words, n_removed = [], [], []
-            for k, text in enumerate(chunk.texts):
-                own = left[words.first[k] : words.first[k + 1]]
-                split = text.split()
-                n_words.append(len(split))
-                n_removed.append(len(split) - int(own.sum()))
-                kept.append(b" ".join([split[i] for i in np.flatnonzero(own).tolist()] if n_removed[-1] else split))
+            n_words = np.diff(words.first)
+            n_removed = n_words - np.diff(np.concatenate([[0], np.cumsum(left)])[words.first])
+            kept = chunk.joined(left)
             columns = [pa.array(row["ids"], pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept"])
 

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,6 +163,25 @@ def test_phrases_of_an_empty_table(spark):
     assert out.columns == ["doc_id", "n_words", "n_removed", "kept"] and out.count() == 0
 
 
+def test_phrases_and_kept_words_are_cut_from_the_text():
+    """Runs of words are cut as they stand; any other white space between them becomes one space."""
+    rng = random.Random(4)
+    texts = [sentence(rng, 50), "", " a\tb  c\n d ", "\n", "\t".join(sentence(rng, 20).split()), sentence(rng, 30).replace(" ", " \x0b", 5)]
+    raw = [t.encode() for t in texts]
+    chunk = phrase_dedup.Chunk(
+        {"chunk": 0, "ids": [*range(6)], "sizes": [len(t) for t in raw], "data": pa.compress(b"".join(raw), codec="zstd", asbytes=True)}
+    )
+    split = [t.split() for t in raw]
+    flat, text = [w for t in split for w in t], np.repeat(np.arange(6), [len(t) for t in split])
+    for share in (0, 0.3, 0.9, 1):
+        left = np.array([rng.random() < share for _ in flat])
+        assert chunk.joined(left) == [b" ".join([w for w, k, x in zip(flat, text, left) if k == i and x]) for i in range(6)]
+    starts = np.array([i for i in range(len(flat) - 15) if text[i] == text[i + 15]])
+    assert chunk.phrases(starts, np.full(len(starts), 4)) == [b" ".join(flat[i : i + 16]) for i in starts]
+    with pytest.raises(ValueError):
+        chunk.phrases(np.array([45]), np.array([4]))
+
+
 def test_hits_are_words_and_not_hashes():
     automaton = phrase_dedup.Automaton()
     phrase = " ".join(f"w{k}" for k in range(14)).encode()
