@@ -6,6 +6,7 @@ probability 1 / threshold - 1 a second one, and every member goes to the child n
 its own minimum there. Every level of every tree has two positions of its own, so trees
 are independent. Nodes are never parted further; those of two or more members are compared in rounds:
 
+- the first round has the nodes of the first ``FIRST`` trees, the second those of all others too,
 - nodes whose members are all in one component by now are closed,
 - small nodes are compared exhaustively and closed; small is a node of which at most
   ``BLOCK`` members lie outside its main component. Its members are dealt into blocks of
@@ -24,10 +25,13 @@ members outside its main component. Texts that are alike but for words of their
 Only the ``HOT`` most frequent of those shingles are held, by count; any order is exact, more would only make smaller nodes.
 
 So no task holds a large node, no link is skipped because a node is large, and a block
-returns only the links that join what it had apart. Representatives of at most ``WHOLE`` shingles are
-compared on their full sets, which they carry. Of longer ones the least ``WHOLE`` hashes
-are carried; pairs that these leave possible (five standard errors) are confirmed on the full
-sets, computed from both texts.
+returns only the links that join what it had apart. Of representatives the least ``WHOLE`` hashes are carried.
+Where these are the full sets, comparison is exact. Of other pairs, those that are possible (five standard errors) name groups:
+the members that chains of possible pairs hold together in a block. Groups are compared once more, exactly, on the full
+sets of the members' texts, no group with more than about ``FULL`` shingles at a time. So what a block returns grows with its members, not with its pairs.
+
+Only representatives that share a node are compared, so only their texts are read again, by a bitmap of ``BITS`` bits and a join,
+and written once, bucketed by id.
 
 A pair of similarity J is parted at a level with probability q = (2 - 1 / t) (1 - J) + (1 / t - 1) (1 - J) ** 2
 at most, t being the threshold, and by all trees with at most (1 - (1 - q) ** DEPTH) ** TREES: below
@@ -42,22 +46,27 @@ component null, kept. Ties do not arise, the smallest id names a component.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.llm.common import empty_safe, materialized, mix, nonspace_table, partitions_for, scratch_path, slices, texts_of, windows_hash, words_of
 
 TREES = 16
+FIRST = 4
 DEPTH = 3
 BLOCK = 256
 WHOLE = 256
 MAX_LEVELS = 2
 HOT = 1 << 19
+FULL = 1 << 22
+BITS = 1 << 25
 WIDTH = TREES * DEPTH * 2
 
 NONSPACE = nonspace_table()
@@ -91,7 +100,7 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
 
 
 def plant(sketches: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row of the sketch, node) of every path, all trees down to ``DEPTH``."""
+    """(row of the sketch, node) of every path, all trees down to ``DEPTH``; nodes of the first ``FIRST`` trees are odd numbers."""
     owners = np.tile(np.arange(len(sketches)), TREES)
     trees = np.repeat(np.arange(TREES), len(sketches))
     nodes = mix(trees.astype(np.uint64) + np.uint64(1))
@@ -103,7 +112,12 @@ def plant(sketches: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarra
         owners, trees, parents = (np.concatenate([x, x[two]]) for x in (owners, trees, nodes))
         values = sketches[owners, at].astype(np.uint64)
         nodes = mix(mix(parents + np.uint64(0x9E3779B97F4A7C15)) ^ mix(values + (at.astype(np.uint64) << np.uint64(32))))
-    return owners, nodes
+    return owners, (nodes & ~np.uint64(1)) | (trees < FIRST).astype(np.uint64)
+
+
+def _set_keys(sets: list[np.ndarray]) -> list[pa.Array]:
+    """Two numbers that equal sets share."""
+    return [pa.array([int(mix(s ^ np.uint64(salt)).sum(dtype=np.uint64).view(np.int64)) for s in sets], pa.int64()) for salt in (0x1234567, 0xABCDEF12345)]
 
 
 def _sketches(size: int, threshold: float):
@@ -112,7 +126,6 @@ def _sketches(size: int, threshold: float):
             texts = texts_of(batch["text"])
             for a, b in slices(texts):
                 sets = shingle_sets(texts[a:b], size)
-                key = lambda s, salt: int(mix(s ^ np.uint64(salt)).sum(dtype=np.uint64).view(np.int64))
                 full = [k for k, s in enumerate(sets) if len(s)]
                 owners, nodes = plant(np.array([sketch(sets[k]) for k in full], np.uint32).reshape(-1, WIDTH), threshold)
                 nodes = np.split(nodes[np.argsort(owners, kind="stable")], np.cumsum(np.bincount(owners, minlength=len(full)))[:-1])
@@ -121,17 +134,29 @@ def _sketches(size: int, threshold: float):
                     [
                         batch["id"].slice(a, b - a),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([key(s, 0x1234567) for s in sets], pa.int64()),
-                        pa.array([key(s, 0xABCDEF12345) for s in sets], pa.int64()),
+                        *_set_keys(sets),
                         pa.array([planted.get(k) for k in range(b - a)], pa.binary()),
-                        pa.array([s[:WHOLE].tobytes() for s in sets], pa.binary()),
                     ],
-                    names=["id", "n", "key1", "key2", "nodes", "least"],
+                    names=["id", "n", "key1", "key2", "nodes"],
                 )
 
     return run
 
 
+def _carried(size: int):
+    """Adds to (id, text) the set's keys and size, and its least hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = texts_of(batch["text"])
+            for a, b in slices(texts):
+                sets = shingle_sets(texts[a:b], size)
+                more = [*_set_keys(sets), pa.array([len(s) for s in sets], pa.int64()), pa.array([s[:WHOLE].tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *more], names=["id", "text", "key1", "key2", "n", "least"])
+
+    return run
+
+
 def _planted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per node of each row."""
     for whole in batches:
@@ -194,14 +219,14 @@ def _rare_nodes(size: int, ratio: tuple[int, int], order):
     return run
 
 
-def rare_nodes(plain: DataFrame, members: DataFrame, size: int, ratio: tuple[int, int]) -> DataFrame:
-    """(node, id, n, seed): the texts of ``members`` (id) at each of their rare shingles."""
-    texts = materialized(plain.join(members, "id", "left_semi"), "nd-wide")
+def rare_nodes(texts: DataFrame, members: DataFrame, size: int, ratio: tuple[int, int]) -> DataFrame:
+    """(node, id, n, seed): those of ``texts`` (id, text) whose id is in ``members`` at each of their rare shingles."""
+    texts = materialized(texts.join(members, "id", "left_semi"), "nd-wide")
     counts = texts.mapInArrow(_frequencies(size), "shingle long, times long").groupBy("shingle").agg(F.sum("times").alias("times"))
     hot = counts.where(F.col("times") > BLOCK).orderBy(F.desc("times"), "shingle").limit(HOT).toPandas()
     values = hot["shingle"].to_numpy(np.int64).view(np.uint64)
     by_value = np.argsort(values)
-    order = plain.sparkSession.sparkContext.broadcast((values[by_value], len(values) - 1 - by_value))
+    order = texts.sparkSession.sparkContext.broadcast((values[by_value], len(values) - 1 - by_value))
     return materialized(texts.mapInArrow(_rare_nodes(size, ratio, order), "node long, id long, n long, seed boolean"), "nd-rare")
 
 
@@ -223,31 +248,11 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def compare_block(
-    n: np.ndarray, component: np.ndarray, least: list[np.ndarray], ratio: tuple[int, int]
-) -> list[tuple[int, int, bool]]:
-    """The links (position, position, sure) that join the components of a block.
-
-    Sure links are exact and form a forest. The others are to be confirmed: those that are near
-    certain form part of the forest, the possible ones between its trees come all.
-    """
-    both = shared_counts(least)
-    fits = np.minimum(n[:, None], n) * ratio[1] >= np.maximum(n[:, None], n) * ratio[0]
-    whole = n <= WHOLE
-    exact = whole[:, None] & whole
-    same = component[:, None] == component
-    links = exact & fits & (both > 0) & (ratio[1] * both >= ratio[0] * (n[:, None] + n - both))
-    threshold = ratio[0] / ratio[1]
-    margin = 5 * (threshold * (1 - threshold) / WHOLE) ** 0.5
-    possible = ~exact & ~same & fits & (both >= (threshold - margin) * WHOLE)
-    for i, j in zip(*np.nonzero(np.triu(possible, 1)), strict=True):
-        top = min(least[k][-1] for k in (i, j) if not whole[k])
-        union = sum(np.searchsorted(least[k], top, "right") for k in (i, j)) - both[i, j]
-        possible[i, j] = possible[j, i] = both[i, j] >= (threshold - margin) * union
-        links[i, j] = links[j, i] = both[i, j] >= (threshold + margin) * union
-    tree = np.full(len(n), -1)
+def forest(links: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """The tree that each position is in by ``links`` and ``same``, and the links of a forest that join what is not the same."""
+    tree = np.full(len(links), -1)
     out = []
-    for root in range(len(n)):
+    for root in range(len(links)):
         if tree[root] >= 0:
             continue
         tree[root] = root
@@ -258,57 +263,108 @@ def compare_block(
                 tree[near] = root
                 todo.append(near)
                 if not same[at, near]:
-                    out.append((at, near, bool(exact[at, near])))
-    apart = np.triu(possible & (tree[:, None] != tree), 1)
-    return out + [(i, j, False) for i, j in zip(*np.nonzero(apart), strict=True)]
+                    out.append((at, near))
+    return tree, out
+
+
+def linked(both: np.ndarray, n: np.ndarray, ratio: tuple[int, int]) -> np.ndarray:
+    """Which pairs of sets of ``n`` shingles that share ``both`` are linked."""
+    return (both > 0) & (ratio[1] * both >= ratio[0] * (n[:, None] + n - both))
+
+
+def compare_block(
+    n: np.ndarray, component: np.ndarray, least: list[np.ndarray], ratio: tuple[int, int]
+) -> tuple[list[tuple[int, int]], list[np.ndarray]]:
+    """The links (position, position) that join the components of a block, and the groups to be compared on full sets.
+
+    Links are exact and form a forest. Groups are of members that possible pairs between its trees hold together.
+    """
+    both = shared_counts(least)
+    same = component[:, None] == component
+    whole = n <= WHOLE
+    exact = whole[:, None] & whole
+    tree, links = forest(exact & linked(both, n, ratio), same)
+    threshold = ratio[0] / ratio[1]
+    lowest = threshold - 5 * (threshold * (1 - threshold) / WHOLE) ** 0.5
+    fits = np.minimum(n[:, None], n) * ratio[1] >= np.maximum(n[:, None], n) * ratio[0]
+    possible = ~exact & fits & (tree[:, None] != tree) & (both >= lowest * WHOLE)
+    if not possible.any():
+        return links, []
+    last, many = np.array([x[-1] for x in least]), np.array([len(x) for x in least])
+    below = np.array([np.searchsorted(x, last, "right") for x in least])  # of the row's least, up to the column's last
+    end = np.where(whole, np.iinfo(np.uint64).max, last)
+    union = np.where(end[:, None] <= end, many[:, None] + below.T, below + many) - both
+    possible &= both >= lowest * union
+    group, _ = forest(possible, np.zeros_like(possible))
+    return links, [x for x in (np.flatnonzero(group == g) for g in np.unique(group)) if len(x) > 1]
+
+
+def portions(n: np.ndarray) -> list[np.ndarray]:
+    """Positions of sets of ``n`` shingles, dealt so that any two meet and few hold more than ``FULL`` shingles in all."""
+    piece = (np.cumsum(n) - n) // max(1, FULL // 2)
+    pieces = np.unique(piece)
+    if len(pieces) <= 2:
+        return [np.arange(len(n))]
+    return [np.flatnonzero((piece == p) | (piece == q)) for k, p in enumerate(pieces) for q in pieces[k + 1 :]]
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[list[pa.Table]]:
+    """The runs of rows with equal keys, batch by batch; a run may go on in the next batch."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if rest is not None:
+            table = pa.concat_tables([rest, table]).combine_chunks()
+        if not table.num_rows:
+            continue
+        other = [pc.not_equal(table[c].slice(1), table[c].slice(0, table.num_rows - 1)).to_numpy() for c in keys]
+        borders = [0, *(np.flatnonzero(np.any(other, axis=0)) + 1).tolist()]
+        rest = table.slice(borders[-1])
+        yield [table.slice(a, b - a) for a, b in zip(borders[:-1], borders[1:], strict=True)]
+    if rest is not None:
+        yield [rest]
 
 
 def _compare(ratio: tuple[int, int]):
-    """Runs ``compare_block`` on each run of rows with equal (node, block, part); a block may go on in the next batch."""
+    """Runs ``compare_block`` on each (node, block, part): links (a, b), and the members (a, with their component) of each group."""
 
-    def found(block: pa.Table) -> Iterator[tuple[int, int, bool]]:
+    def found(block: pa.Table) -> Iterator[tuple[int, int, bytes | None]]:
         ids, first = np.unique(block["id"].to_numpy(), return_index=True)
         block = block.take(pa.array(first))
-        least = [np.frombuffer(x, np.uint64) for x in block["least"].to_pylist()]
-        for i, j, sure in compare_block(block["n"].to_numpy(), block["component"].to_numpy(), least, ratio):
-            yield int(min(ids[i], ids[j])), int(max(ids[i], ids[j])), sure
-
-    def batch_of(rows: list[tuple[int, int, bool]]) -> pa.RecordBatch:
-        a, b, sure = zip(*rows, strict=True) if rows else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sure, pa.bool_())], names=["a", "b", "sure"])
+        n, component = block["n"].to_numpy(), block["component"].to_numpy()
+        links, groups = compare_block(n, component, [np.frombuffer(x, np.uint64) for x in block["least"].to_pylist()], ratio)
+        for i, j in links:
+            yield int(min(ids[i], ids[j])), int(max(ids[i], ids[j])), None
+        for group in groups:
+            for at in (group[x] for x in portions(n[group])):
+                name = hashlib.blake2b(ids[at].tobytes(), digest_size=16).digest()  # the same members in another node are the same group
+                yield from ((int(ids[k]), int(component[k]), name) for k in at)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            if rest is not None:
-                table = pa.concat_tables([rest, table]).combine_chunks()
-            if not table.num_rows:
-                continue
-            keys = [table[c].to_numpy() for c in ("node", "block", "part")]
-            cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
-            borders = [0, *cuts.tolist()]
-            rows = [x for a, b in zip(borders[:-1], borders[1:], strict=True) for x in found(table.slice(a, b - a))]
-            rest = table.slice(borders[-1])
-            yield batch_of(rows)
-        if rest is not None:
-            yield batch_of(list(found(rest)))
+        for blocks in _runs(batches, ["node", "block", "part"]):
+            rows = [x for block in blocks for x in found(block)]
+            a, b, names = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(names, pa.binary())], names=["a", "b", "group"])
 
     return run
 
 
-def _confirm(size: int, ratio: tuple[int, int]):
-    """Keeps the pairs whose full shingle sets are similar enough."""
+def _compare_full(size: int, ratio: tuple[int, int]):
+    """The links that join the components of a group, by the full shingle sets of its texts."""
+
+    def found(group: pa.Table) -> Iterator[tuple[int, int]]:
+        texts = texts_of(group["text"])
+        sets = [s for a, b in slices(texts) for s in shingle_sets(texts[a:b], size)]
+        ids, component = group["id"].to_numpy(), group["component"].to_numpy()
+        links = linked(shared_counts(sets), np.array([len(s) for s in sets]), ratio)
+        for i, j in forest(links, component[:, None] == component)[1]:
+            yield int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = texts_of(batch["text_a"]), texts_of(batch["text_b"])
-            keep = []
-            for a, b in slices([x + y for x, y in zip(left, right, strict=True)]):
-                for x, y in zip(shingle_sets(left[a:b], size), shingle_sets(right[a:b], size), strict=True):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(both > 0 and ratio[1] * both >= ratio[0] * (len(x) + len(y) - both))
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+        for groups in _runs(batches, ["group"]):
+            rows = [x for group in groups for x in found(group)]
+            a, b = zip(*rows, strict=True) if rows else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
@@ -342,20 +398,31 @@ def components(links: DataFrame) -> DataFrame:
             return materialized(labels, "cc-labels")
 
 
-class _Texts:
-    """Texts of the ids that some candidate names, bucketed by id so that look-ups move only the pairs."""
+def maybe_among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The ``rows`` whose id may be in ``ids``, by a bitmap of ``BITS`` bits: no row is moved for this, and few others stay."""
+    spot, bit = F.pmod(F.xxhash64("id"), F.lit(BITS)), "shiftleft(1L, int(spot % 64))"
+    word = F.shiftright("spot", 6).alias("word")
+    marked = ids.select(spot.alias("spot")).groupBy(word).agg(F.expr(f"bit_or({bit})").alias("bits"))
+    spotted = rows.withColumn("spot", spot).withColumn("word", word)
+    return spotted.join(F.broadcast(marked), "word").where(F.expr(f"bits & {bit} <> 0")).select(*rows.columns)
+
 
-    def __init__(self, docs: DataFrame, ids: DataFrame):
-        self.spark = docs.sparkSession
-        self.name = f"texts_{uuid.uuid4().hex}"
-        n = partitions_for(docs)
-        dealt = docs.repartition(n, "id").join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-        dealt.repartition(n, "id").write.bucketBy(n, "id").sortBy("id").option("path", scratch_path(self.spark, "texts")).format(
+class _Members:
+    """Size, least hashes and text of the representatives that share a node, bucketed by id so that look-ups do not move them."""
+
+    def __init__(self, plain: DataFrame, classes: DataFrame, ids: DataFrame, size: int):
+        self.spark = plain.sparkSession
+        self.name = f"members_{uuid.uuid4().hex}"
+        n, key = partitions_for(plain), ["id", "key1", "key2"]
+        texts = maybe_among(plain, ids).join(ids, "id", "left_semi")
+        read = texts.mapInArrow(_carried(size), "id long, text string, key1 long, key2 long, n long, least binary")
+        one = read.join(classes.select(*key), key, "left_semi").dropDuplicates(key).select("id", "n", "least", "text")
+        one.repartition(n, "id").write.bucketBy(n, "id").sortBy("id").option("path", scratch_path(self.spark, "members")).format(
             "parquet"
         ).saveAsTable(self.name)
 
-    def table(self, side: str) -> DataFrame:
-        return self.spark.table(self.name).select(F.col("id").alias(side), F.col("text").alias(f"text_{side}"))
+    def table(self, *columns: str) -> DataFrame:
+        return self.spark.table(self.name).select(*columns)
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
@@ -416,59 +483,53 @@ def near_duplicates(
     """
     threshold = ratio[0] / ratio[1]
     plain = docs.select(F.col(doc_id).cast("long").alias("id"), empty_safe(F.col(text)).alias("text"))
-    columns = "id long, n long, key1 long, key2 long, nodes binary, least binary"
+    columns = "id long, n long, key1 long, key2 long, nodes binary"
     sets = materialized(plain.mapInArrow(_sketches(size, threshold), columns), "nd-sketches")
     classes = materialized(
         sets.where("n > 0 AND id IS NOT NULL")
         .groupBy("key1", "key2")
-        .agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("nodes").alias("nodes"), F.min("least").alias("least")),
+        .agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("nodes").alias("nodes")),
         "nd-classes",
     )
     planted = materialized(classes.select("id", "n", "nodes").mapInArrow(_planted, "node long, id long, n long"), "nd-nodes")
     shared = planted.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("node")
-    nodes = planted.join(shared, "node", "left_semi").withColumn("seed", F.lit(True))
+    nodes = materialized(planted.join(shared, "node", "left_semi"), "nd-shared").withColumn("seed", F.lit(True))
+    members = _Members(plain, classes, materialized(nodes.select("id").distinct(), "nd-ids"), size)
 
-    carried = classes.select("id", "n", "least")
-    links = labels = tested = texts = None
+    links = labels = later = None
+    if MAX_LEVELS:
+        nodes, later = nodes.where("node % 2 <> 0"), nodes.where("node % 2 = 0")
     for level in range(MAX_LEVELS + 2):
         last = level == MAX_LEVELS + 1
         state = materialized(_state(nodes, labels), "nd-state")
         wide = state.where(f"outside > {BLOCK}")
         if level == MAX_LEVELS and not wide.isEmpty():
-            rare = rare_nodes(plain, wide.select("id").distinct(), size, ratio)
+            rare = rare_nodes(members.table("id", "text"), wide.select("id").distinct(), size, ratio)
             small = state.where(f"outside <= {BLOCK}").select(*rare.columns)
             state = materialized(_state(small.unionByName(rare), labels), "nd-state")
-        if state.isEmpty():
+        if state.isEmpty() and later is None:
             break
         work = _blocks(state, level, last)
-        pairs = work.join(carried, "id").repartition(partitions_for(docs), "node", "block", "part")
-        pairs = pairs.sortWithinPartitions("node", "block", "part").select("node", "block", "part", "id", "component", "n", "least")
-        pairs = materialized(pairs.mapInArrow(_compare(ratio), "a long, b long, sure boolean"), "nd-pairs")
-        found = pairs.where("sure").select("a", "b")
-        unsure = pairs.where("NOT sure").select("a", "b").distinct()
-        if tested is not None:
-            unsure = unsure.join(tested, ["a", "b"], "left_anti")
-        unsure = materialized(unsure, "nd-unsure")
+        met = work.join(members.table("id", "n", "least"), "id").repartition(partitions_for(docs), "node", "block", "part")
+        met = met.sortWithinPartitions("node", "block", "part").select("node", "block", "part", "id", "component", "n", "least")
+        pairs = materialized(met.mapInArrow(_compare(ratio), "a long, b long, group binary"), "nd-pairs")
+        found = pairs.where("group IS NULL").select("a", "b")
+        unsure = pairs.where("group IS NOT NULL").distinct()
         if not unsure.isEmpty():
-            tested = unsure if tested is None else tested.unionByName(unsure)
-            if texts is None:
-                # Only members of shared nodes are named by a pair, and no pair to be confirmed holds a shorter text.
-                long_ones = planted.join(shared, "node", "left_semi").where(F.col("n") >= int(WHOLE * threshold))
-                texts = _Texts(plain, long_ones.select("id").distinct())
-            confirmed = (
-                unsure.join(texts.table("a"), "a").join(texts.table("b"), "b")
-                .select("a", "b", "text_a", "text_b").mapInArrow(_confirm(size, ratio), "a long, b long")
-            )
-            found = found.unionByName(materialized(confirmed, "nd-links"))
+            unsure = unsure.select("group", F.col("a").alias("id"), F.col("b").alias("component"))
+            met = unsure.join(members.table("id", "text"), "id").repartition(partitions_for(docs), "group").sortWithinPartitions("group")
+            met = met.select("group", "id", "component", "text")
+            found = found.unionByName(materialized(met.mapInArrow(_compare_full(size, ratio), "a long, b long"), "nd-links"))
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             labels = components(links)
         nodes = state.where(f"outside > {BLOCK}").select("node", "id", "n", "seed")
-    if texts is not None:
-        texts.drop()
+        if later is not None:
+            nodes, later = nodes.unionByName(later), None
+    members.drop()
 
     named = classes.select("key1", "key2", F.col("id").alias("class_id"))
-    out = sets.drop("nodes", "least").join(named, ["key1", "key2"], "left")
+    out = sets.drop("nodes").join(named, ["key1", "key2"], "left")
     if labels is not None:
         out = out.join(labels.select(F.col("id").alias("class_id"), "component"), "class_id", "left")
     else:

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import os
 import random
 import re
 import struct
@@ -10,11 +11,13 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
 from pyspark.sql import functions as F
 
+from pairlens.llm.common import scratch_path
 from pairlens.llm.bpe import PrefixEncoder, Prefixes, decode_ids, encode_texts, read_ranks
 from pairlens.llm.decontaminate import contamination
 from pairlens.llm.html_extract import extract, fit_trees, main_text
@@ -150,6 +153,52 @@ def test_near_duplicates_in_a_group_just_below(spark, monkeypatch):
     test_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4), rows, 1, (85, 100))
 
 
+def test_groups_of_long_texts_in_portions(docs, rows, monkeypatch):
+    test_near_duplicates_in_wide_nodes(docs, rows, {"BLOCK": 6, "FULL": 3000}, monkeypatch)
+
+
+def test_portions_let_any_two_meet(monkeypatch):
+    monkeypatch.setattr(near_dedup, "FULL", 100)
+    n = np.array([10, 60, 5, 45, 200, 1, 30])
+    found = near_dedup.portions(n)
+    assert {(i, j) for x in found for i in x for j in x} == {(i, j) for i in range(7) for j in range(7)}
+    assert len(near_dedup.portions(n[:2])) == 1
+
+
+def test_a_block_returns_no_more_rows_than_members():
+    """Texts longer than what is carried, any two of which may be linked: their pairs are not listed."""
+    rng, members = np.random.default_rng(4), 60
+    common = rng.integers(0, 1 << 63, 820, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([common, rng.integers(0, 1 << 63, 80, dtype=np.uint64)])) for _ in range(members)]
+    block = pa.RecordBatch.from_arrays(
+        [
+            *(pa.array([0] * members, pa.int64()) for _ in range(3)), pa.array(range(members), pa.int64()), pa.array(range(members), pa.int64()),
+            pa.array([len(s) for s in sets], pa.int64()), pa.array([s[: near_dedup.WHOLE].tobytes() for s in sets], pa.binary()),
+        ],
+        names=["node", "block", "part", "id", "component", "n", "least"],
+    )
+    assert 0 < sum(x.num_rows for x in near_dedup._compare((85, 100))(iter([block]))) <= members
+
+
+def test_texts_alike_to_none_leave_little(spark):
+    """Only members of shared nodes carry hashes and text: what is written for other texts is their sketch's nodes."""
+    root = os.path.dirname(scratch_path(spark, "own").removeprefix("file:"))
+    size = lambda: sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(root) for f in files)
+    rows = [(k, " ".join(f"u{k}x{i}" for i in range(400))) for k in range(500)]
+    before = size()
+    assert near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).where("kept").count() == 500
+    assert size() - before < 500 * 1500
+
+
+def test_a_bitmap_keeps_the_rows_asked_for(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BITS", 1 << 12)
+    rows, ids = spark.range(-5000, 5000).withColumn("text", F.lit("x")), spark.range(-5000, 5000, 100)
+    found = near_dedup.maybe_among(rows, ids)
+    assert found.columns == ["id", "text"]
+    assert {r.id for r in ids.collect()} <= {r.id for r in found.collect()}
+    assert found.count() < 1000
+
+
 @pytest.mark.parametrize("ratio", [(85, 100), (80, 100)])
 def test_rare_shingles_of_linked_sets_meet(ratio):
     """A seed of the smaller set is among the rare shingles of the larger, whichever shingles are hot."""
