@@ -23,6 +23,8 @@ m - ceil(t m) + 1 of the larger. So each member goes to the nodes of its first m
 of the fewer. Pairs without a seed need not meet: the guests of a node are its seeds where these are fewer than the
 members outside its main component. Texts that are alike but for words of their own share no such node, however large their group.
 Only the ``HOT`` most frequent of those shingles are held, by count; any order is exact, more would only make smaller nodes.
+To find them, shingles are first counted by spot (their first bits), an array per task, and then one by one on those spots
+that have more than ``BLOCK``: what is moved follows the frequent shingles, not all words of these members.
 
 So no task holds a large node, no link is skipped because a node is large, and a block
 returns only the links that join what it had apart. Of representatives the least ``WHOLE`` hashes are carried.
@@ -67,6 +69,8 @@ MAX_LEVELS = 2
 HOT = 1 << 19
 FULL = 1 << 22
 BITS = 1 << 25
+PIECE = 1 << 12
+SPOT_BITS = 24
 WIDTH = TREES * DEPTH * 2
 
 NONSPACE = nonspace_table()
@@ -169,19 +173,74 @@ def _planted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _frequencies(size: int):
-    """(shingle, number of sets that hold it), added up per slice of a batch."""
+def _spots(shingles: np.ndarray, bits: int) -> np.ndarray:
+    """The first ``bits`` bits of each shingle."""
+    return (shingles >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _crowds(size: int, bits: int, most: int):
+    """(piece, counts): how many shingles of a task's sets fall on each spot, ``most`` at most; pieces of ``PIECE`` spots, empty ones left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << bits, np.uint16)
+        for batch in batches:
+            texts = texts_of(batch["text"])
+            for a, b in slices(texts):
+                spots, times = np.unique(_spots(np.concatenate(shingle_sets(texts[a:b], size)), bits), return_counts=True)
+                counts[spots] = np.minimum(counts[spots] + times, most)
+        pieces = counts.reshape(-1, PIECE)
+        for some in np.array_split(np.flatnonzero(pieces.any(axis=1)), max(1, len(pieces) // 256)):
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([pieces[k].tobytes() for k in some], pa.binary())], names=["piece", "counts"])
+
+    return run
+
+
+def _crowded(most: int):
+    """(piece, marks): one bit per spot of each piece, set where the counts of all tasks add up to ``most`` or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {}
+        for batch in batches:
+            for piece, counts in zip(batch["piece"].to_pylist(), batch["counts"].to_pylist(), strict=True):
+                sums[piece] = np.minimum(sums.get(piece, 0) + np.frombuffer(counts, np.uint16).astype(np.int64), most)
+        marks = [np.packbits(x >= most).tobytes() for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(marks, pa.binary())], names=["piece", "marks"])
+
+    return run
+
+
+def _frequencies(size: int, bits: int, crowded):
+    """(shingle, number of sets that hold it), added up per slice of a batch, of the shingles on spots that ``crowded`` broadcasts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = np.unpackbits(crowded.value).astype(bool)
         for batch in batches:
             texts = texts_of(batch["text"])
             for a, b in slices(texts):
-                values, times = np.unique(np.concatenate(shingle_sets(texts[a:b], size)), return_counts=True)
+                shingles = np.concatenate(shingle_sets(texts[a:b], size))
+                values, times = np.unique(shingles[marked[_spots(shingles, bits)]], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(times)], names=["shingle", "times"])
 
     return run
 
 
+def frequent_shingles(texts: DataFrame, size: int, total: int) -> DataFrame:
+    """(shingle, times) of the shingles that more than ``BLOCK`` of ``texts`` hold; ``total`` is the size of all sets together.
+
+    Shingles are counted one by one only where more than ``BLOCK`` fall on a spot. Others cannot be frequent, and as
+    a spot has about ``BLOCK / 8`` shingles (as long as ``SPOT_BITS`` allows), hardly one that is rare is moved.
+    """
+    bits = min(SPOT_BITS, max(PIECE.bit_length() - 1, (8 * total // BLOCK).bit_length()))
+    crowds = texts.mapInArrow(_crowds(size, bits, BLOCK + 1), "piece long, counts binary")
+    crowded = crowds.repartition(partitions_for(texts), "piece").mapInArrow(_crowded(BLOCK + 1), "piece long, marks binary").toPandas()
+    marks = np.zeros((1 << bits) // 8, np.uint8).reshape(-1, PIECE // 8)
+    for piece, bytes_ in zip(crowded["piece"], crowded["marks"], strict=True):
+        marks[piece] = np.frombuffer(bytes_, np.uint8)
+    marked = texts.sparkSession.sparkContext.broadcast(marks.reshape(-1))
+    counts = texts.mapInArrow(_frequencies(size, bits, marked), "shingle long, times long")
+    return counts.groupBy("shingle").agg(F.sum("times").alias("times")).where(F.col("times") > BLOCK)
+
+
 def rare_first(shingles: np.ndarray, hot: np.ndarray, rank: np.ndarray, ratio: tuple[int, int]) -> tuple[np.ndarray, int]:
     """The first shingles of a set that a linked set of at most its size may start to share, and how many of them may meet a larger one.
 
@@ -220,10 +279,10 @@ def _rare_nodes(size: int, ratio: tuple[int, int], order):
 
 
 def rare_nodes(texts: DataFrame, members: DataFrame, size: int, ratio: tuple[int, int]) -> DataFrame:
-    """(node, id, n, seed): those of ``texts`` (id, text) whose id is in ``members`` at each of their rare shingles."""
+    """(node, id, n, seed): those of ``texts`` (id, text) whose id is in ``members`` (id, n) at each of their rare shingles."""
     texts = materialized(texts.join(members, "id", "left_semi"), "nd-wide")
-    counts = texts.mapInArrow(_frequencies(size), "shingle long, times long").groupBy("shingle").agg(F.sum("times").alias("times"))
-    hot = counts.where(F.col("times") > BLOCK).orderBy(F.desc("times"), "shingle").limit(HOT).toPandas()
+    total = members.agg(F.sum("n")).first()[0]
+    hot = frequent_shingles(texts, size, total).orderBy(F.desc("times"), "shingle").limit(HOT).toPandas()
     values = hot["shingle"].to_numpy(np.int64).view(np.uint64)
     by_value = np.argsort(values)
     order = texts.sparkSession.sparkContext.broadcast((values[by_value], len(values) - 1 - by_value))
@@ -504,7 +563,7 @@ def near_duplicates(
         state = materialized(_state(nodes, labels), "nd-state")
         wide = state.where(f"outside > {BLOCK}")
         if level == MAX_LEVELS and not wide.isEmpty():
-            rare = rare_nodes(members.table("id", "text"), wide.select("id").distinct(), size, ratio)
+            rare = rare_nodes(members.table("id", "text"), wide.select("id", "n").distinct(), size, ratio)
             small = state.where(f"outside <= {BLOCK}").select(*rare.columns)
             state = materialized(_state(small.unionByName(rare), labels), "nd-state")
         if state.isEmpty() and later is None:

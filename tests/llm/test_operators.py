@@ -218,6 +218,36 @@ def test_rare_shingles_of_linked_sets_meet(ratio):
     assert linked > 2000
 
 
+def test_rare_shingles_are_not_counted_one_by_one(spark, monkeypatch):
+    """Of texts that share a passage, only shingles that may be frequent are moved, and the frequent ones are all found."""
+    rng = np.random.default_rng(6)
+    rows = [(k, " ".join([*(f"c{i}" for i in range(12 + k % 30)), *(f"u{k}x{i}" for i in range(150))])) for k in range(300)]
+    rows += [(300 + k, f"c0 c1 c2 v{rng.integers(0, 40)} w{k}") for k in range(100)]
+    texts, made, real = spark.createDataFrame(rows, "id long, text string").repartition(4), spark.sparkContext.accumulator(0), near_dedup._frequencies
+
+    def counted(*args):
+        def run(batches):
+            for batch in real(*args)(batches):
+                made.add(batch.num_rows)
+                yield batch
+
+        return run
+
+    monkeypatch.setattr(near_dedup, "_frequencies", counted)
+    monkeypatch.setattr(near_dedup, "BLOCK", 60)
+    sets = near_dedup.shingle_sets([t.encode() for _, t in rows], 3)
+    members = spark.createDataFrame([(k, len(x)) for k, x in enumerate(sets)], "id long, n long")
+    assert near_dedup.rare_nodes(texts, members, 3, (85, 100)).where("NOT seed").count() > 0
+    assert 0 < made.value < sum(map(len, sets)) / 20
+    values, times = np.unique(np.concatenate(sets), return_counts=True)
+    frequent = {int(v): int(t) for v, t in zip(values.view(np.int64), times, strict=True) if t > 60}
+    for bits in (24, 12):
+        monkeypatch.setattr(near_dedup, "SPOT_BITS", bits)
+        found = near_dedup.frequent_shingles(texts, 3, sum(map(len, sets))).collect()
+        assert {r.shingle: r.times for r in found} == frequent
+        assert frequent
+
+
 def test_trees_are_independent(monkeypatch):
     """Two trees miss a pair at the threshold as seldom as the docstring says for independent ones."""
     monkeypatch.setattr(near_dedup, "TREES", 2)
