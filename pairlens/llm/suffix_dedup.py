@@ -5,11 +5,13 @@ starts in a document of smaller id. Equal windows choose the same anchor, the
 leftmost of their ``GRAM``-byte strings of least hash; so windows are compared only
 among those that share an anchor. Successive windows with one anchor are a run.
 
-1. Texts are put into chunks of about ``chunk_bytes``, written once and bucketed.
+1. Texts are put into chunks of about ``chunk_bytes``, written once and bucketed, with the layout of their runs: two bytes a run, so
+   that later steps hash a text's bytes but need not look for anchors again.
 2. Anchors found in several documents are told apart from the rest, which ends
    the work for text that occurs once.
 3. Runs that an earlier document holds as a whole are removed at once.
-4. What is left of the shared anchors, one copy of each run, is sorted in suffix order.
+4. What is left of the shared anchors, one copy of each run, is sorted in suffix order, but for
+   windows whose hash a shard holds with one document only.
    In that order, suffixes that share ``LENGTH`` bytes are neighbours; one has an
    earlier match if a smaller position precedes or follows it there.
 
@@ -40,7 +42,11 @@ from pairlens.llm.common import empty_safe, materialized, mix, partitions_for, p
 LENGTH = 50
 GRAM = 24
 HOT_CHUNKS = 512
-SHARD_BYTES = 4 << 20
+CHUNK_BYTES = 4 << 20
+LAYOUT_BYTES = 1 << 16
+SHARD_BYTES = 16 << 20
+SHARD_BITS = 12
+BLOCK_BYTES = 2 << 20
 NO_ID = (1 << 63) - 1
 
 
@@ -55,6 +61,17 @@ class Runs:
     run: np.ndarray
 
 
+@dataclass
+class Chunk:
+    """Texts of one chunk end to end, with their borders, ids and the layout of their runs."""
+
+    data: np.ndarray
+    ends: np.ndarray  # where each text starts, and one past the end
+    ids: np.ndarray
+    lengths: np.ndarray  # windows per run; the runs of a text cover all its windows, in order
+    marks: np.ndarray  # anchor's place in the run's first window
+
+
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     span = 1
     while span * 2 <= width:
@@ -64,41 +81,97 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def runs_of(texts: list[bytes]) -> Runs:
-    """The runs of each text, in order."""
+def layout_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of each text, in order: how many windows they have, and where the first window holds the anchor.
+
+    Both fit a byte, as all windows of a run hold its anchor; the rest of a run follows by ``runs_of``.
+    """
     parts = []
-    for a, b in slices(texts):
+    for a, b in slices(texts, LAYOUT_BYTES):
         buffer = np.frombuffer(b"\n".join([*texts[a:b], b""]), np.uint8)
         n = len(buffer)
         if n < LENGTH:
             continue
         offsets = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts[a:b]])])
         up, down = powers(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((buffer.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
+        sums = _prefix_sums(buffer, up)
         grams = mix((sums[GRAM:] - sums[:-GRAM]) * down[: n - GRAM + 1])
-        keyed = (grams >> np.uint64(32) << np.uint64(32)) | np.arange(len(grams), dtype=np.uint64)
-        at = (_sliding_min(keyed, LENGTH - GRAM + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        change = np.zeros(n + 1, np.int64)  # windows that reach over a text's end
+        keyed = (grams & np.uint64(0xFFFFFFFF << 32)) | np.arange(len(grams), dtype=np.uint64)
+        least = _sliding_min(keyed, LENGTH - GRAM + 1)
+        new = np.ones(len(least), bool)
+        new[1:] = least[1:] != least[:-1]
         ends = offsets[1:] - 1
-        np.add.at(change, np.maximum(ends - LENGTH + 1, offsets[:-1]), 1)
-        np.add.at(change, ends + 1, -1)
-        starts = np.flatnonzero(np.cumsum(change)[: len(at)] == 0)
-        if not len(starts):
+        borders = np.concatenate([offsets[:-1], np.maximum(ends - LENGTH + 1, offsets[:-1])])
+        new[borders[borders < len(least)]] = True
+        first = np.flatnonzero(new)
+        lengths = np.diff(np.append(first, len(least)))
+        inside = first + LENGTH <= ends[np.searchsorted(offsets, first, side="right") - 1]  # else windows that reach over a text's end
+        first, lengths = first[inside], lengths[inside]
+        at = (least[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        parts.append((lengths.astype(np.uint8), (at - first).astype(np.uint8)))
+    if not parts:
+        return np.zeros(0, np.uint8), np.zeros(0, np.uint8)
+    lengths, marks = (np.concatenate(c) for c in zip(*parts, strict=True))
+    return lengths, marks
+
+
+def _prefix_sums(buffer: np.ndarray, up: np.ndarray) -> np.ndarray:
+    sums = np.zeros(len(buffer) + 1, np.uint64)
+    np.cumsum((buffer.astype(np.uint64) + np.uint64(1)) * up[: len(buffer)], out=sums[1:])
+    return sums
+
+
+def runs_of(chunk: Chunk) -> Runs:
+    """The runs of each text, in order, with the hashes of their anchors and of their bytes."""
+    lengths = chunk.lengths.astype(np.int64)
+    borders = np.concatenate([[0], np.cumsum(np.maximum(np.diff(chunk.ends) - LENGTH + 1, 0))])  # windows before each text
+    begin = np.cumsum(lengths) - lengths
+    text = np.searchsorted(borders, begin, side="right") - 1
+    low = begin - borders[text]
+    first = np.searchsorted(begin, borders)  # runs before each text
+    anchors, whole = np.empty(len(text), np.uint64), np.empty(len(text), np.uint64)
+    for a, b in spans(np.diff(chunk.ends), LAYOUT_BYTES):
+        r = slice(first[a], first[b])
+        if r.start == r.stop:
             continue
-        at = at[starts]
-        first = np.flatnonzero(np.concatenate([[True], (np.diff(starts) != 1) | (np.diff(at) != 0)]))
-        low, anchor_at = starts[first], at[first]
-        high = starts[np.append(first[1:] - 1, len(starts) - 1)]
-        whole = (sums[high + LENGTH] - sums[low]) * down[low]
-        shape = ((anchor_at - low) << 32 | (high - low)).astype(np.uint64)
-        text = np.searchsorted(offsets, low, side="right") - 1
-        # Least hashes are small numbers; mixed once more, their high bits spread evenly over the shards.
-        anchor = mix(grams[anchor_at] ^ np.uint64(0xA0761D6478BD642F))
-        parts.append((text + a, low - offsets[text], high - offsets[text], anchor, mix(whole ^ mix(shape))))
-    empty = np.zeros(0, np.int64)
-    columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [empty] * 3 + [empty.astype(np.uint64)] * 2
-    return Runs(*columns)
+        buffer = chunk.data[chunk.ends[a] : chunk.ends[b]]
+        up, down = powers(len(buffer) + 1)
+        sums = _prefix_sums(buffer, up)
+        start = chunk.ends[text[r]] - chunk.ends[a] + low[r]
+        at = start + chunk.marks[r]
+        anchors[r] = (sums[at + GRAM] - sums[at]) * down[at]
+        whole[r] = (sums[start + lengths[r] + (LENGTH - 1)] - sums[start]) * down[start]
+    shape = (chunk.marks.astype(np.int64) << 32 | (lengths - 1)).astype(np.uint64)
+    # Least hashes are small numbers; mixed once more, their high bits spread evenly over the shards.
+    anchors = mix(mix(anchors) ^ np.uint64(0xA0761D6478BD642F))
+    return Runs(text, low, low + lengths - 1, anchors, mix(whole ^ mix(shape)))
+
+
+def spans(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of entries whose sizes add up to about ``limit``, one entry at least."""
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    start = 0
+    while start < len(sizes):
+        end = max(start + 1, int(np.searchsorted(total, total[start] + limit, side="right")) - 1)
+        yield start, end
+        start = end
+
+
+def grouped(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, ascending, and for each entry its place among them."""
+    order = np.argsort(values)
+    ranked = values[order]
+    new = _changes(ranked)
+    inverse = np.empty(len(values), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return ranked[new], inverse
+
+
+def _changes(ranked: np.ndarray) -> np.ndarray:
+    """Marks the entries that differ from the one before."""
+    new = np.ones(len(ranked), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    return new
 
 
 def _chunks(limit: int):
@@ -108,25 +181,28 @@ def _chunks(limit: int):
             texts, ids = texts_of(batch["text"]), batch["id"]
             for a, b in slices(texts, limit):
                 packed = pa.compress(b"".join(texts[a:b]), codec="zstd", asbytes=True)
+                lengths, marks = layout_of(texts[a:b])
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([(TaskContext.get().partitionId() << 32) + number], pa.int64()),
                         pa.array([ids.slice(a, b - a).to_pylist()], pa.list_(pa.int64())),
                         pa.array([[len(t) for t in texts[a:b]]], pa.list_(pa.int64())),
                         pa.array([packed], pa.binary()),
+                        pa.array([lengths.tobytes()], pa.binary()),
+                        pa.array([marks.tobytes()], pa.binary()),
                     ],
-                    names=["chunk", "ids", "sizes", "data"],
+                    names=["chunk", "ids", "sizes", "data", "lengths", "marks"],
                 )
                 number += 1
 
     return run
 
 
-def _unpacked(row: dict) -> tuple[list[bytes], np.ndarray]:
-    data = bytes(pa.decompress(row["data"], decompressed_size=int(sum(row["sizes"])), codec="zstd", asbytes=True))
-    ends = np.cumsum([0, *row["sizes"]])
+def _unpacked(row: dict) -> Chunk:
+    ends = np.concatenate([[0], np.cumsum(np.array(row["sizes"], np.int64))])
+    data = np.frombuffer(pa.decompress(row["data"], decompressed_size=int(ends[-1]), codec="zstd", asbytes=True), np.uint8)
     ids = np.array([NO_ID if i is None else i for i in row["ids"]], np.int64)
-    return [data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], ids
+    return Chunk(data, ends, ids, np.frombuffer(row["lengths"], np.uint8), np.frombuffer(row["marks"], np.uint8))
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -140,13 +216,14 @@ def _shard(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _sent(chunk: int, shard: np.ndarray, **columns) -> pa.RecordBatch:
-    """One row per shard; ``shard`` ascends, and each column is an array or list cut at the same borders."""
-    shards, first = np.unique(shard, return_index=True)
-    borders = [*first.tolist(), len(shard)]
-    cut = lambda c, a, b: b"".join(c[a:b]) if isinstance(c, list) else np.ascontiguousarray(c[a:b]).tobytes()
+    """One row per shard; ``shard`` ascends, and each column is an array cut at the same borders, or a list with a string a shard."""
+    first = np.flatnonzero(_changes(shard))
+    shards, borders = shard[first], [*first.tolist(), len(shard)]
+    cut = lambda c, a, b: np.ascontiguousarray(c[a:b]).tobytes()
     arrays = [pa.array(np.full(len(shards), chunk, np.int64)), pa.array(shards)]
     for c in columns.values():
-        arrays.append(pa.array([cut(c, a, b) for a, b in zip(borders[:-1], borders[1:], strict=True)], pa.binary()))
+        cuts = c if isinstance(c, list) else [cut(c, a, b) for a, b in zip(borders[:-1], borders[1:], strict=True)]
+        arrays.append(pa.array(cuts, pa.binary()))
     return pa.RecordBatch.from_arrays(arrays, names=["chunk", "shard", *columns])
 
 
@@ -173,7 +250,8 @@ def _reply(chunk: np.ndarray, shard: int, borders: np.ndarray, **flags: np.ndarr
 def _send_anchors(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            anchors = np.unique(runs_of(_unpacked(row)[0]).anchor)
+            anchors = np.sort(runs_of(_unpacked(row)).anchor)
+            anchors = anchors[_changes(anchors)]
             if len(anchors):
                 low = anchors.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
                 yield _sent(row["chunk"], _shard(anchors, bits), keys=low)
@@ -187,8 +265,8 @@ def _judge_anchors(hot_chunks: int):
         borders = np.cumsum([0, *(len(b) // 5 for b in blobs)])
         wide = np.zeros((borders[-1], 8), np.uint8)
         wide[:, :5] = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 5)
-        _, inverse, count = np.unique(wide.view("<u8")[:, 0], return_inverse=True, return_counts=True)
-        count = count[inverse]
+        _, inverse = grouped(wide.view("<u8")[:, 0])
+        count = np.bincount(inverse)[inverse]
         shard = table["shard"][0].as_py()
         return _reply(table["chunk"].to_numpy(), shard, borders, shared=count > 1, hot=count > hot_chunks)
 
@@ -208,22 +286,23 @@ class Shared:
     hot: np.ndarray
 
 
-def _shared(row: dict, texts: list[bytes], ids: np.ndarray, bits: int) -> Shared:
-    runs = runs_of(texts)
-    anchors, inverse = np.unique(runs.anchor, return_inverse=True)
+def _shared(row: dict, chunk: Chunk, bits: int) -> Shared:
+    runs = runs_of(chunk)
+    anchors, inverse = grouped(runs.anchor)
     shard = _shard(anchors, bits)
-    owner = ids[runs.text]
+    owner = chunk.ids[runs.text]
     low, high = np.full(len(anchors), NO_ID), np.full(len(anchors), -NO_ID)
     np.minimum.at(low, inverse, owner)
     np.maximum.at(high, inverse, owner)
     known = (_bits(row["anchors"], "shared", shard) | (low < high))[inverse]
     which = np.flatnonzero(known)
-    order = np.lexsort((owner[which], runs.run[which]))
-    keys, first, back = np.unique(runs.run[which][order], return_index=True, return_inverse=True)
-    entry = np.empty(len(which), np.int64)
-    entry[order] = back
-    example = which[order][first]
-    return Shared(runs, which, entry, keys, owner[example], example, _bits(row["anchors"], "hot", shard)[inverse][example])
+    keys, entry = grouped(runs.run[which])
+    ids = np.full(len(keys), NO_ID)
+    np.minimum.at(ids, entry, owner[which])
+    of_least = np.flatnonzero(owner[which] == ids[entry])[::-1]
+    example = np.empty(len(keys), np.int64)
+    example[entry[of_least]] = which[of_least]  # the first of them is written last
+    return Shared(runs, which, entry, keys, ids, example, _bits(row["anchors"], "hot", shard)[inverse][example])
 
 
 # Step 3: whole runs, by their full hash.
@@ -232,7 +311,7 @@ def _shared(row: dict, texts: list[bytes], ids: np.ndarray, bits: int) -> Shared
 def _send_runs(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            found = _shared(row, *_unpacked(row), bits)
+            found = _shared(row, _unpacked(row), bits)
             if len(found.keys):
                 yield _sent(row["chunk"], _shard(found.keys, bits), keys=found.keys.astype("<u8"), ids=found.ids.astype("<i8"))
 
@@ -242,7 +321,7 @@ def _send_runs(bits: int):
 def _judge_runs(table: pa.Table) -> pa.Table:
     blobs = table["keys"].to_pylist()
     borders = np.cumsum([0, *(len(b) // 8 for b in blobs)])
-    _, inverse = np.unique(np.frombuffer(b"".join(blobs), "<u8"), return_inverse=True)
+    _, inverse = grouped(np.frombuffer(b"".join(blobs), "<u8"))
     ids = np.frombuffer(b"".join(table["ids"].to_pylist()), "<i8")
     least = np.full(inverse.max() + 1, NO_ID)
     np.minimum.at(least, inverse, ids)
@@ -254,50 +333,70 @@ def _judge_runs(table: pa.Table) -> pa.Table:
 
 @dataclass
 class Pieces:
-    """Byte strings to be sorted, by shard: whole runs, or single windows of hot anchors."""
+    """Byte strings to be sorted, by shard and place in it: whole runs, or single windows of hot anchors."""
 
-    shard: np.ndarray
+    key: np.ndarray  # ascending; its high bits are the shard
     entry: np.ndarray
     at: np.ndarray  # of the piece's first window within the run
     windows: np.ndarray
 
 
-def _pieces(found: Shared, texts: list[bytes], earlier: np.ndarray, bits: int) -> tuple[Pieces, list[bytes]]:
-    open_ = np.flatnonzero(~earlier)
-    runs, rows, data = found.runs, [], []
-    for e in open_.tolist():
-        k = found.example[e]
-        text, low, high = texts[runs.text[k]], int(runs.low[k]), int(runs.high[k])
-        if found.hot[e]:
-            for w in range(high - low + 1):
-                piece = text[low + w : low + w + LENGTH]
-                rows.append((_hash_of(piece), e, w, 1))
-                data.append(piece)
-        else:
-            rows.append((int(runs.anchor[k]), e, 0, high - low + 1))
-            data.append(text[low : high + LENGTH])
-    table = np.array(rows, dtype=[("key", "<u8"), ("entry", "<i8"), ("at", "<i8"), ("windows", "<i8")])
-    shard = _shard(table["key"], bits)
-    order = np.argsort(shard, kind="stable")
-    return Pieces(shard[order], table["entry"][order], table["at"][order], table["windows"][order]), [data[i] for i in order.tolist()]
-
-
-def _hash_of(piece: bytes) -> int:
-    up, _ = powers(len(piece))
-    value = ((np.frombuffer(piece, np.uint8).astype(np.uint64) + np.uint64(1)) * up).sum(dtype=np.uint64)
-    return int(mix(np.array([value]))[0])
+def _pieces(found: Shared, chunk: Chunk, earlier: np.ndarray) -> Pieces:
+    runs, open_ = found.runs, np.flatnonzero(~earlier)
+    size = (runs.high - runs.low + 1)[found.example]
+    hot = found.hot[open_]
+    whole, single = open_[~hot], np.repeat(open_[hot], size[open_[hot]])
+    at = np.arange(len(single)) - np.repeat(np.cumsum(size[open_[hot]]) - size[open_[hot]], size[open_[hot]])
+    run = found.example[single]
+    places = chunk.ends[runs.text[run]] + runs.low[run] + at
+    key = np.concatenate([runs.anchor[found.example[whole]], _hashes_at(chunk.data, places)])
+    order = np.argsort(key, kind="stable")
+    return Pieces(
+        key[order],
+        np.concatenate([whole, single])[order],
+        np.concatenate([np.zeros(len(whole), np.int64), at])[order],
+        np.concatenate([size[whole], np.ones(len(single), np.int64)])[order],
+    )
+
+
+def _hashes_at(data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Hashes of the windows that start at ``places``."""
+    up, _ = powers(LENGTH)
+    out = np.zeros(len(places), np.uint64)
+    for k in range(LENGTH if len(places) else 0):
+        out += (data[places + k].astype(np.uint64) + np.uint64(1)) * up[k]
+    return mix(out)
+
+
+def _strings(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The byte strings at ``starts`` end to end."""
+    parts = [np.zeros(0, np.uint8)]
+    for a, b in spans(sizes, 1 << 20):
+        ends = np.cumsum(sizes[a:b])
+        parts.append(data[np.arange(ends[-1]) + np.repeat(starts[a:b] - ends + sizes[a:b], sizes[a:b])])
+    return np.concatenate(parts)
 
 
 def _send_pieces(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            texts, ids = _unpacked(row)
-            found = _shared(row, texts, ids, bits)
-            pieces, data = _pieces(found, texts, _bits(row["runs"], "earlier", _shard(found.keys, bits)), bits)
-            if data:
-                yield _sent(
-                    row["chunk"], pieces.shard, data=data, windows=pieces.windows.astype("<u4"), ids=found.ids[pieces.entry].astype("<i8")
-                )
+            chunk = _unpacked(row)
+            found = _shared(row, chunk, bits)
+            pieces = _pieces(found, chunk, _bits(row["runs"], "earlier", _shard(found.keys, bits)))
+            if not len(pieces.key):
+                continue
+            example = found.example[pieces.entry]
+            starts = chunk.ends[found.runs.text[example]] + found.runs.low[example] + pieces.at
+            sizes = pieces.windows + LENGTH - 1
+            data, ends = _strings(chunk.data, starts, sizes), np.concatenate([[0], np.cumsum(sizes)])
+            shard = _shard(pieces.key, bits)
+            borders = ends[np.append(np.flatnonzero(_changes(shard)), len(shard))]
+            yield _sent(
+                row["chunk"], shard,
+                data=[data[a:b].tobytes() for a, b in zip(borders[:-1], borders[1:], strict=True)],
+                windows=pieces.windows.astype("<u4"), ids=found.ids[pieces.entry].astype("<i8"),
+                places=(pieces.key << np.uint64(bits) >> np.uint64(48)).astype("<u2"),
+            )
 
     return run
 
@@ -311,7 +410,7 @@ def earlier_matches(windows: np.ndarray, ids: np.ndarray) -> np.ndarray:
     order = np.lexsort(windows.T[::-1])
     ranked = windows[order]
     block = np.concatenate([[0], np.cumsum((ranked[1:] != ranked[:-1]).any(axis=1))])
-    values, rank = np.unique(ids[order], return_inverse=True)
+    values, rank = grouped(ids[order])
     r, size = rank.astype(np.int64), len(values)
     before = np.minimum.accumulate(r - block * size) + block * size
     back = (block[-1] - block)[::-1]
@@ -321,40 +420,70 @@ def earlier_matches(windows: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return out
 
 
+def window_matches(data: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether a window occurs with a smaller id, for all windows of strings that lie end to end.
+
+    Equal windows have equal hashes, so a window whose hash occurs with one id only has no match; the others are put in suffix order.
+    """
+    up, down = powers(len(data) + 1)
+    sums = _prefix_sums(data, up)
+    sizes = counts + LENGTH - 1
+    at = np.arange(counts.sum()) + np.repeat(np.cumsum(sizes) - sizes - np.cumsum(counts) + counts, counts)
+    owner = np.repeat(ids, counts)
+    hashes = (sums[at + LENGTH] - sums[at]) * down[at]
+    order = np.argsort(hashes)
+    ranked, sorted_ids = hashes[order], owner[order]
+    first = np.flatnonzero(_changes(ranked))
+    least, most = np.minimum.reduceat(sorted_ids, first), np.maximum.reduceat(sorted_ids, first)
+    several = np.empty(len(at), bool)
+    several[order] = np.repeat(least != most, np.diff(np.append(first, len(at))))
+    out, left = np.zeros(len(at), bool), np.flatnonzero(several)
+    if len(left):
+        wide = np.concatenate([data, np.zeros(8, np.uint8)])
+        raw = np.lib.stride_tricks.sliding_window_view(wide, 56)[at[left]]
+        raw[:, LENGTH:] = 0
+        out[left] = earlier_matches(raw.view(">u8").astype(np.uint64), owner[left])
+    return out
+
+
 def _judge_pieces(table: pa.Table) -> pa.Table:
-    windows = [np.frombuffer(w, "<u4").astype(np.int64) for w in table["windows"].to_pylist()]
-    per_blob = np.array([w.sum() for w in windows])
-    counts = np.concatenate(windows)
-    data = np.frombuffer(b"".join(table["data"].to_pylist()) + bytes(56), np.uint8)
-    ids = np.frombuffer(b"".join(table["ids"].to_pylist()), "<i8")
-    starts = np.concatenate([[0], np.cumsum(counts + LENGTH - 1)[:-1]])
-    inner = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    at = np.repeat(starts, counts) + inner
-    raw = np.lib.stride_tricks.sliding_window_view(data, 56)[at].copy()
-    raw[:, LENGTH:] = 0
-    flags = earlier_matches(raw.view(">u8").astype(np.uint64), np.repeat(ids, counts))
-    borders = np.concatenate([[0], np.cumsum(per_blob)])
+    """Pieces are taken by their place in the shard, so that equal windows meet while a block of the shard is held unfolded."""
+    joined = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind)
+    counts = joined("windows", "<u4").astype(np.int64)
+    data, ids, places = joined("data", np.uint8), joined("ids", "<i8"), joined("places", "<u2")
+    starts = np.cumsum(counts + LENGTH - 1) - counts - LENGTH + 1
+    first = np.cumsum(counts) - counts
+    flags = np.zeros(counts.sum(), bool)
+    order = np.argsort(places, kind="stable")
+    new = np.flatnonzero(_changes(places[order]))
+    groups = np.append(new, len(order))
+    for a, b in spans(np.add.reduceat(counts[order] + LENGTH - 1, new), BLOCK_BYTES):
+        rows = order[groups[a] : groups[b]]
+        n = counts[rows]
+        found = window_matches(_strings(data, starts[rows], n + LENGTH - 1), n, ids[rows])
+        flags[np.arange(len(found)) + np.repeat(first[rows] - np.cumsum(n) + n, n)] = found
+    sent = np.array([len(w) // 4 for w in table["windows"].to_pylist()])
+    borders = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum(sent)])]
     return _reply(table["chunk"].to_numpy(), table["shard"][0].as_py(), borders, earlier=flags)
 
 
 def _finish(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            texts, ids = _unpacked(row)
-            found = _shared(row, texts, ids, bits)
+            chunk = _unpacked(row)
+            found = _shared(row, chunk, bits)
             earlier = _bits(row["runs"], "earlier", _shard(found.keys, bits))
-            pieces, _ = _pieces(found, texts, earlier, bits)
-            each = _bits(row["pieces"], "earlier", np.repeat(pieces.shard, pieces.windows))
-            runs = found.runs
+            pieces = _pieces(found, chunk, earlier)
+            each = _bits(row["pieces"], "earlier", np.repeat(_shard(pieces.key, bits), pieces.windows))
+            runs, ends = found.runs, chunk.ends
             size = (runs.high - runs.low + 1)[found.example]
             # Flags of each entry's windows, one entry after the other.
             first = np.concatenate([[0], np.cumsum(size)])
             flags = np.zeros(first[-1], bool)
             inner = np.arange(len(each)) - np.repeat(np.cumsum(pieces.windows) - pieces.windows, pieces.windows)
             flags[np.repeat(first[pieces.entry] + pieces.at, pieces.windows) + inner] = each
-            ends = np.cumsum([0, *row["sizes"]])
-            change = np.zeros(ends[-1] + 1, np.int64)
-            owner = ids[runs.text[found.which]]
+            change = np.zeros(ends[-1] + 1, np.int32)
+            owner = chunk.ids[runs.text[found.which]]
             whole = earlier[found.entry] | (owner > found.ids[found.entry])
             at = ends[runs.text[found.which]] + runs.low[found.which]
             span = runs.high[found.which] - runs.low[found.which]
@@ -367,20 +496,22 @@ def _finish(bits: int):
             places = (np.repeat(at[part], n) + step)[hit]
             np.add.at(change, places, 1)
             np.add.at(change, places + LENGTH, -1)
-            gone = np.cumsum(change)[:-1] > 0
-            kept, removed, spans = [], [], []
-            for k, text in enumerate(texts):
-                own = gone[ends[k] : ends[k + 1]]
-                removed.append(int(own.sum()))
-                spans.append(int(np.count_nonzero(np.diff(own.astype(np.int8), prepend=0) == 1)))
-                kept.append(np.frombuffer(text, np.uint8)[~own].tobytes() if removed[-1] else text)
+            gone = np.cumsum(change, dtype=np.int32)[:-1] > 0
+            removed = np.diff(np.concatenate([[0], np.cumsum(gone, dtype=np.int32)])[ends])
+            begin = gone.copy()
+            begin[1:] &= ~gone[:-1]
+            borders = ends[:-1][np.diff(ends) > 0]
+            begin[borders] = gone[borders]  # what ends a text is not continued in the next
+            spans_of = np.searchsorted(ends, np.flatnonzero(begin), side="right") - 1
+            offsets = np.concatenate([[0], np.cumsum(np.diff(ends) - removed)]).astype(np.int32)
+            kept = pa.Array.from_buffers(pa.binary(), len(removed), [None, pa.py_buffer(offsets), pa.py_buffer(chunk.data[~gone])])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(row["ids"], pa.int64()),
                     pa.array(row["sizes"], pa.int64()),
-                    pa.array(removed, pa.int64()),
-                    pa.array(spans, pa.int64()),
-                    pa.array(kept, pa.binary()),
+                    pa.array(removed.astype(np.int64)),
+                    pa.array(np.bincount(spans_of, minlength=len(removed)), pa.int64()),
+                    kept,
                 ],
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
             )
@@ -388,20 +519,28 @@ def _finish(bits: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, chunk_bytes: int = 2 << 20, hot_chunks: int = HOT_CHUNKS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def shard_bits(total: int) -> int:
+    """Shards of ``SHARD_BYTES`` of text at least once there are 256, of 1 MB before that, and ``2**SHARD_BITS`` of them at most.
+
+    A chunk sends a row to every shard; with a bounded number of shards rows grow with the text, not with its square.
+    """
+    return max(5, min(SHARD_BITS, max(int(total // SHARD_BYTES).bit_length(), min(8, int(total >> 20).bit_length()))))
+
+
+def remove_repeats(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, hot_chunks: int = HOT_CHUNKS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) per row; ``kept`` are the bytes that no earlier document holds."""
     spark = docs.sparkSession
     plain = docs.select(F.col(doc_id).cast("long").alias("id"), empty_safe(F.col(text)).alias("text"))
     buckets = partitions_for(docs)
     name = f"chunks_{uuid.uuid4().hex}"
     (
-        plain.mapInArrow(_chunks(chunk_bytes), "chunk long, ids array<long>, sizes array<long>, data binary")
+        plain.mapInArrow(_chunks(chunk_bytes), "chunk long, ids array<long>, sizes array<long>, data binary, lengths binary, marks binary")
         .repartition(buckets, "chunk").write.bucketBy(buckets, "chunk").sortBy("chunk")
         .option("path", scratch_path(spark, "chunks")).format("parquet").saveAsTable(name)
     )
     chunks = spark.table(name)
     total = chunks.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    bits = max(5, int(total // SHARD_BYTES).bit_length())
+    bits = shard_bits(total)
 
     def replies(source: DataFrame, send, sent: str, judge, names: list[str], label: str) -> DataFrame:
         """Send from every chunk, judge by shard, and gather each chunk's replies in one row."""
@@ -412,5 +551,5 @@ def remove_repeats(docs: DataFrame, chunk_bytes: int = 2 << 20, hot_chunks: int
 
     chunks = replies(chunks, _send_anchors(bits), "keys binary", _judge_anchors(hot_chunks), ["shared", "hot"], "anchors")
     chunks = replies(chunks, _send_runs(bits), "keys binary, ids binary", _judge_runs, ["earlier"], "runs")
-    chunks = replies(chunks, _send_pieces(bits), "data binary, windows binary, ids binary", _judge_pieces, ["earlier"], "pieces")
+    chunks = replies(chunks, _send_pieces(bits), "data binary, windows binary, ids binary, places binary", _judge_pieces, ["earlier"], "pieces")
     return chunks.mapInArrow(_finish(bits), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
