@@ -18,6 +18,11 @@ from pyspark.sql import types as T
 
 from pairlens.session import lookup_side, materialized
 
+#: Values to a range, values for each one picked to cut the ranges, and the most picked in all.
+RANGE_VALUES = 1 << 20
+PICK_EVERY = 1 << 12
+PICKS = 1 << 18
+
 
 def _number(df: DataFrame, keys: Sequence[str], order: Sequence[Column], with_total: bool) -> DataFrame:
     """Number rows that already carry ``__range``, an order-preserving cut per key.
@@ -133,3 +138,108 @@ def positions_by_value(
         placed = placed.withColumn("rank", ends / 2).drop("__low", "__high", "__back", "__ahead", "__edge")
     dropped = ["__signed", "__at", "__part", "__shift"] + ([] if with_total else ["group_rows"])
     return placed.drop(*dropped)
+
+
+def grouped(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, ascending, and for each entry its place among them."""
+    order = np.argsort(values)
+    ranked = values[order]
+    new = np.ones(len(values), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    inverse = np.empty(len(values), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return ranked[new], inverse
+
+
+def picked(keys: np.ndarray, seed: int) -> np.ndarray:
+    """A few of ``keys`` at random, the same for the same seed. Only the balance of ranges rests on them."""
+    rng = np.random.default_rng(seed)
+    return keys[rng.integers(0, len(keys), -(-len(keys) // PICK_EVERY))]
+
+
+def _send_values(column: str, bounds: dict[int, np.ndarray]):
+    """The distinct packed keys of a chunk with their counts, one row per range of its group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, code, blob in zip(batch["chunk"].to_pylist(), batch["code"].to_pylist(), batch[column], strict=True):
+                keys = np.sort(np.frombuffer(blob.as_buffer(), np.int64))
+                first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+                distinct, counts = keys[first], np.diff(np.append(first, len(keys)))
+                cuts = np.concatenate([[0], np.searchsorted(distinct, bounds[code]), [len(distinct)]])
+                shards = np.flatnonzero(cuts[1:] > cuts[:-1])
+                parts = [slice(cuts[k], cuts[k + 1]) for k in shards]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(shards), chunk)),
+                        pa.array(np.full(len(shards), code)),
+                        pa.array(shards),
+                        pa.array([int(counts[p].sum()) for p in parts], pa.int64()),
+                        pa.array([distinct[p].tobytes() for p in parts], pa.binary()),
+                        pa.array([counts[p].tobytes() for p in parts], pa.binary()),
+                    ],
+                    names=["chunk", "code", "shard", "n", "keys", "counts"],
+                )
+
+    return run
+
+
+def _judge_values(table: pa.Table) -> pa.Table:
+    """For each key sent to a range, how many values of the range come before it and how many are equal."""
+    joined = lambda name: np.frombuffer(b"".join(table[name].to_pylist()), np.int64)
+    keys, counts = joined("keys"), joined("counts")
+    sizes = [len(b) // 8 for b in table["keys"].to_pylist()]
+    _, inverse = grouped(keys)
+    equal = np.zeros(inverse.max() + 1, np.int64)
+    np.add.at(equal, inverse, counts)
+    less = np.cumsum(equal) - equal
+    borders = np.concatenate([[0], np.cumsum(sizes)])
+    blobs = lambda x: pa.array([x[inverse[a:b]].tobytes() for a, b in zip(borders[:-1], borders[1:], strict=True)], pa.binary())
+    return pa.table({**{c: table[c] for c in ("chunk", "code", "shard", "n")}, "less": blobs(less), "equal": blobs(equal)})
+
+
+def value_bounds(chunks: DataFrame, picks: str, total: int) -> dict[int, np.ndarray]:
+    """Keys that cut the values of each ``code`` into ranges of about equal size, by the chunks' picked keys."""
+    spark = chunks.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = min(RANGE_VALUES, max(1 << 14, total // partitions))
+    share = min(1.0, PICKS * PICK_EVERY / max(1, total))
+    few = F.expr(f"substring({picks}, 1, 8 * greatest(1, int(length({picks}) / 8 * {share}D)))")
+    found: dict[int, list[bytes]] = {}
+    rows: dict[int, int] = {}
+    for row in chunks.select("code", "n", few.alias("picks")).collect():
+        found.setdefault(row["code"], []).append(bytes(row["picks"]))
+        rows[row["code"]] = rows.get(row["code"], 0) + row["n"]
+    out = {}
+    for code, blobs in found.items():
+        keys, ranges = np.sort(np.frombuffer(b"".join(blobs), np.int64)), -(-rows[code] // size)
+        out[code] = np.unique(keys[np.arange(1, ranges) * len(keys) // ranges])
+    return out
+
+
+def packed_places(chunks: DataFrame, column: str, picks: str, total: int) -> DataFrame:
+    """``(chunk, <column>_places)``: for the distinct packed keys of a chunk, how many values of its ``code`` come before each and are equal.
+
+    ``chunks`` hold ``(chunk, code, n, <column>, <picks>)``, the keys of one code each. A key goes to its range once per chunk,
+    however frequent, with its count, so that no value fills a task; the rows themselves stay where they are. Places are arrays
+    ``(shard, before, less, equal)``: ``before`` counts the values of all lower ranges.
+    """
+    sent = chunks.mapInArrow(
+        _send_values(column, value_bounds(chunks, picks, total)), "chunk long, code long, shard long, n long, keys binary, counts binary"
+    )
+    judged = sent.groupBy("code", "shard").applyInArrow(
+        _judge_values, "chunk long, code long, shard long, n long, less binary, equal binary"
+    )
+    ordered = materialized(judged, "ordered")
+    sizes = ordered.groupBy("code", "shard").agg(F.sum("n").alias("n"))
+    running = Window.partitionBy("code").orderBy("shard")
+    offsets = materialized(sizes.select("code", "shard", (F.sum("n").over(running) - F.col("n")).alias("before")), "offsets")
+    placed = ordered.join(lookup_side(offsets), ["code", "shard"])
+    return placed.groupBy("chunk").agg(F.collect_list(F.struct("shard", "before", "less", "equal")).alias(f"{column}_places"))
+
+
+def unpacked_places(places: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of values before and equal, for the distinct keys of a chunk in ascending order."""
+    places = sorted(places, key=lambda p: p["shard"])
+    less = np.concatenate([np.frombuffer(p["less"], np.int64) + p["before"] for p in places])
+    return less, np.concatenate([np.frombuffer(p["equal"], np.int64) for p in places])

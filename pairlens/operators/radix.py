@@ -21,6 +21,9 @@ from pairlens.session import lookup_side, materialized
 
 DIGIT = 12
 HEX = 15
+WIDE_DIGIT = 16
+NULL_KEY = np.int64(-(1 << 63))
+NAN_KEY = np.int64((1 << 63) - 1)
 FEW = 1 << 14
 
 
@@ -31,6 +34,18 @@ def sortable(values: np.ndarray) -> np.ndarray:
     return np.where(np.isnan(values), np.int64((1 << 63) - 1), keys)
 
 
+def order_keys(values: pa.Array) -> np.ndarray:
+    """64-bit integers in descending order of doubles: NULL first, NaN last."""
+    known = values.is_valid().to_numpy(zero_copy_only=False)
+    keys = sortable(-values.cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False))
+    return np.where(known, keys, NULL_KEY)
+
+
+def values_of(keys: np.ndarray) -> np.ndarray:
+    """The doubles of ``order_keys`` integers that are not those of NULL."""
+    return -np.where(keys < 0, keys ^ np.int64((1 << 63) - 1), keys).view(np.float64)
+
+
 def _with_keys(value: str, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,3 +211,54 @@ def quantiles(df: DataFrame, value: str, levels: Sequence[float], few: int | Non
         columns.append((low + (high - low) * part).alias(f"q{i}"))
     found = by_level.join(F.broadcast(places.select("i", "part")), "i").agg(*columns)
     return materialized(found, "quantiles")
+
+
+def _digit_counts(columns: Sequence[str], prefixes: Sequence[int], done: int):
+    """``(prefix, digit, n)`` of the packed keys of a task whose first ``done`` bits are one of ``prefixes``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((len(prefixes), 1 << WIDE_DIGIT), np.int64)
+        for batch in batches:
+            for column in columns:
+                for blob in batch[column]:
+                    keys = np.frombuffer(blob.as_buffer(), np.int64)
+                    unsigned = keys[(keys != NULL_KEY) & (keys != NAN_KEY)].view(np.uint64) ^ np.uint64(1 << 63)
+                    for i, prefix in enumerate(prefixes):
+                        mine = unsigned[unsigned >> np.uint64(64 - done) == np.uint64(prefix)] if done else unsigned
+                        digit = (mine >> np.uint64(64 - done - WIDE_DIGIT)) & np.uint64((1 << WIDE_DIGIT) - 1)
+                        counts[i] += np.bincount(digit.astype(np.int64), minlength=1 << WIDE_DIGIT)
+        at, digit = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(digit), pa.array(counts[at, digit])], names=["at", "digit", "n"])
+
+    return run
+
+
+def packed_quantiles(chunks: DataFrame, columns: Sequence[str], levels: Sequence[float]) -> list[float | None]:
+    """Exact linear-interpolation quantiles of all values in ``columns``, packed ``order_keys``; NULL and NaN left out.
+
+    A pass counts the values of the next ``WIDE_DIGIT`` bits behind the few prefixes sought, one array per task and prefix.
+    The driver holds those counts, summed: at most ``2**WIDE_DIGIT`` numbers for each of two ranks a level.
+    """
+    sought: dict[int, tuple[int, int]] = {}  # rank: prefix, rank among the values that share it
+    ends: list[tuple[int, int, float]] = []
+    for done in range(0, 64, WIDE_DIGIT):
+        prefixes = sorted({prefix for prefix, _ in sought.values()}) or [0]
+        found = chunks.select(*columns).mapInArrow(_digit_counts(columns, prefixes, done), "at long, digit long, n long")
+        counts = np.zeros((len(prefixes), 1 << WIDE_DIGIT), np.int64)
+        for row in found.groupBy("at", "digit").agg(F.sum("n").alias("n")).collect():
+            counts[row["at"], row["digit"]] = row["n"]
+        if not done:
+            total = int(counts.sum())
+            if not total:
+                return [None] * len(levels)
+            # Keys descend with the values.
+            places = [(total - 1) * level for level in levels]
+            ends = [(total - int(np.floor(x)), total - int(np.ceil(x)), x - np.floor(x)) for x in places]
+            sought = {rank: (0, rank) for low, high, _ in ends for rank in (low, high)}
+        running = np.cumsum(counts, axis=1)
+        for rank, (prefix, left) in sought.items():
+            i = prefixes.index(prefix)
+            digit = int(np.searchsorted(running[i], left))
+            sought[rank] = (prefix << WIDE_DIGIT | digit, left - int(running[i][digit] - counts[i][digit]))
+    values = {rank: float(values_of(np.array([prefix - (1 << 63)]))[0]) for rank, (prefix, _) in sought.items()}
+    return [values[low] + (values[high] - values[low]) * part for low, high, part in ends]
